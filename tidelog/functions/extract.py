@@ -134,10 +134,24 @@ def time_field(v: Column, keys) -> Column:
     return F.coalesce(*options) if len(options) > 1 else options[0]
 
 
-def event_date(time: Column, ingested_at: Column) -> Column:
-    """Partition key: the date of the retention key, NULL outside the supported range."""
+def event_date(time: Column, ingested_at: Column, unit: str = "day") -> Column:
+    """Partition key: start of the day (or month) of the retention key, NULL outside the range."""
     d = F.to_date(F.coalesce(time, ingested_at))
-    return F.when(d.between(F.lit(EVENT_DATE_MIN).cast("date"), F.lit(EVENT_DATE_MAX).cast("date")), d)
+    key = d if unit == "day" else F.trunc(d, "month")
+    return F.when(d.between(F.lit(EVENT_DATE_MIN).cast("date"), F.lit(EVENT_DATE_MAX).cast("date")), key)
+
+
+def unit_start(d, unit: str = "day"):
+    """Partition value holding date `d`."""
+    return d if unit == "day" else d.replace(day=1)
+
+
+def unit_next(d, unit: str = "day"):
+    """Start of the partition after the one starting at `d`."""
+    from datetime import timedelta
+    if unit == "day":
+        return d + timedelta(days=1)
+    return (d.replace(day=28) + timedelta(days=4)).replace(day=1)
 
 
 def severity_bucket(level: Column) -> Column:

@@ -78,10 +78,11 @@ def plan_groups(files: list[tuple[str, str, int]], split_bytes: int) -> list[lis
 
 
 def recover(store: LogStore, spec: SourceSpec) -> int:
-    """Finish or undo loads interrupted between publishing rows and writing their manifest rows."""
+    """Undo loads interrupted between publishing rows and writing their manifest rows."""
     spark = store.spark
+    h = fs.Handle(spark, store.table_dir(spec.id))
     undone = 0
-    for name, is_dir, _ in fs.list_dir(spark, store.journal_dir(spec.id)):
+    for name in h.names(store.journal_dir(spec.id)):
         if not name.endswith(".json"):
             continue
         entry = json.loads(fs.read_text(spark, f"{store.journal_dir(spec.id)}/{name}"))
@@ -89,26 +90,39 @@ def recover(store: LogStore, spec: SourceSpec) -> int:
         committed = (store.manifest_raw(spec.id)
                      .where((F.col("ingested_at") == F.lit(ts)) & F.col("file_name").isin(entry["files"]))
                      .limit(1).count() > 0)
-        if not committed:
-            for p in fs.glob(spark, f"{store.data_dir(spec.id)}/*/{entry['load_id']}-*"):
-                fs.delete(spark, p, False)
+        if not committed and entry.get("job"):
+            for p in fs.glob(spark, f"{store.data_dir(spec.id)}/*/part-*{entry['job']}*"):
+                h.delete(p, False)
             undone += 1
-        fs.delete(spark, f"{store.staging_dir(spec.id)}/{entry['load_id']}", True)
-        fs.delete(spark, f"{store.journal_dir(spec.id)}/{name}", False)
+        h.delete(f"{store.staging_dir(spec.id)}/{entry['load_id']}", True)
+        h.delete(f"{store.journal_dir(spec.id)}/{name}", False)
     return undone
 
 
-def publish_staged(store: LogStore, spec: SourceSpec, stage: str, load_id: str) -> None:
-    spark = store.spark
+def staged_job_id(h: "fs.Handle", stage: str) -> str | None:
+    """The write job's id that Spark puts in every output file name (part-NNNNN-<id>...)."""
+    for part in h.names(stage):
+        for f in h.names(f"{stage}/{part}"):
+            if f.startswith("part-"):
+                return f.split("-", 2)[2].split(".", 1)[0][:36]
+    return None
+
+
+def publish_staged(store: LogStore, spec: SourceSpec, stage: str) -> None:
+    """Move staged partitions into the table: a new date directory in one rename, files of an
+    existing date one by one (their names are unique per write job)."""
+    h = fs.Handle(store.spark, store.table_dir(spec.id))
     data = store.data_dir(spec.id)
-    for part, is_dir, _ in fs.list_dir(spark, stage):
-        if not is_dir or "=" not in part:
+    existing = set(h.names(data))
+    for part in h.names(stage):
+        if not part.startswith("event_date="):
             continue
-        fs.mkdirs(spark, f"{data}/{part}")
-        for fname, fdir, _ in fs.list_dir(spark, f"{stage}/{part}"):
-            if fdir or fname.startswith((".", "_")):
-                continue
-            fs.rename(spark, f"{stage}/{part}/{fname}", f"{data}/{part}/{load_id}-{fname}")
+        if part not in existing:
+            h.rename(f"{stage}/{part}", f"{data}/{part}")
+            continue
+        for fname in h.names(f"{stage}/{part}"):
+            if not fname.startswith((".", "_")):
+                h.rename(f"{stage}/{part}/{fname}", f"{data}/{part}/{fname}")
 
 
 def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, int]],
@@ -135,7 +149,10 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
                         F.first("file_lines").alias("lines"), F.first("file_nonblank").alias("nonblank"),
                         F.first("file_max_len").alias("max_len")).collect()}
         rows = N.parse_rows(N.numbered_lines(lines, splits, bcast), spec.fields,
-                            F.lit(ingested_at).cast("timestamp_ntz"), N.relative_name(root_q))
+                            F.lit(ingested_at).cast("timestamp_ntz"), N.relative_name(root_q), spec.partition_unit)
+        # One shuffle so each date gets few, large files whatever the input order: adaptive
+        # execution merges small dates and splits a date that holds a large share of the rows.
+        rows = rows.hint("rebalance", "event_date")
         (rows.write.mode("overwrite").partitionBy("event_date").option("compression", "zstd")
          .parquet(stage))
     finally:
@@ -145,7 +162,10 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
             spark.conf.set("spark.sql.files.minPartitionNum", prev_min)
     inserted = {r["source_file"]: r["n"] for r in
                 spark.read.parquet(stage).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
-    publish_staged(store, spec, stage, load_id)
+    job = staged_job_id(fs.Handle(spark, stage), stage)
+    fs.write_text(spark, journal, json.dumps({"load_id": load_id, "ingested_at": ingested_at.isoformat(),
+                                              "files": [n for n, _, _ in group], "job": job}))
+    publish_staged(store, spec, stage)
     summaries, marks = [], []
     for name, path, _ in group:
         st = per_file.get(fs.qualify(spark, path)) or per_file.get(path)

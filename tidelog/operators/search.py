@@ -32,13 +32,13 @@ def _ntz(ts: datetime) -> Column:
     return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def date_bounds(time_from: datetime | None, time_to: datetime | None) -> Column | None:
+def date_bounds(time_from: datetime | None, time_to: datetime | None, unit: str = "day") -> Column | None:
     """Partition-pruning form of a time range: event_date within the range's dates, or NULL."""
     preds = []
     if time_from is not None:
-        preds.append(F.col("event_date") >= F.lit(time_from.date()))
+        preds.append(F.col("event_date") >= F.lit(X.unit_start(time_from.date(), unit)))
     if time_to is not None:
-        preds.append(F.col("event_date") <= F.lit(time_to.date()))
+        preds.append(F.col("event_date") <= F.lit(X.unit_start(time_to.date(), unit)))
     if not preds:
         return None
     return X.all_of(preds) | F.col("event_date").isNull()
@@ -54,7 +54,7 @@ def predicates(spec: SourceSpec, time_from: datetime | None = None, time_to: dat
         out.append(F.col("time") >= _ntz(time_from))
     if time_to is not None:
         out.append(F.col("time") <= _ntz(time_to))
-    b = date_bounds(time_from, time_to)
+    b = date_bounds(time_from, time_to, spec.partition_unit)
     if b is not None:
         out.append(b)
     if level:
@@ -102,24 +102,33 @@ def search(table: DataFrame, spec: SourceSpec, time_from=None, time_to=None, lev
     return SearchResult(rows[:size], len(rows) > size)
 
 
-def after_cursor(cursor_time: datetime | None, cursor_file: str, cursor_line: int) -> Column:
-    """Rows strictly after a cursor in (time DESC NULLS LAST, file, line) order (O-25)."""
-    tie = (F.col("source_file") > F.lit(cursor_file)) | (
+def _tie_after(cursor_file: str, cursor_line: int) -> Column:
+    return (F.col("source_file") > F.lit(cursor_file)) | (
         (F.col("source_file") == F.lit(cursor_file)) & (F.col("source_line") > F.lit(cursor_line)))
-    if cursor_time is None:
-        return F.col("time").isNull() & tie
-    ct = _ntz(cursor_time)
-    older = (F.col("time") < ct) | ((F.col("time") == ct) & tie) | F.col("time").isNull()
-    prune = (F.col("event_date") <= F.lit(cursor_time.date())) | F.col("event_date").isNull()
-    return older & prune
 
 
 def keyset_page(df: DataFrame, spec: SourceSpec, cursor=None, size: int = PAGE_SIZE) -> DataFrame:
-    """Next page after the last row of the previous one (infinite scroll): cost does not grow
-    with depth, unlike an offset."""
-    if cursor is not None:
-        df = df.where(after_cursor(*cursor))
-    return df.orderBy(*order()).limit(size + 1).select(*result_columns(spec))
+    """Next page after a cursor (time, file, line) = the last row of the previous page, in
+    (time DESC NULLS LAST, file, line) order (O-25): cost does not grow with depth.
+
+    Rows with a time older than the cursor sit in date partitions up to the cursor's date, so
+    that branch is pruned; NULL-time rows sit in the partition of their load date, so they are a
+    second top-k (Parquet null counts skip row groups without NULL time).  A final top-k merges
+    the two bounded branches."""
+    def top(d: DataFrame) -> DataFrame:
+        return d.orderBy(*order()).limit(size + 1)
+
+    if cursor is None:
+        return top(df).select(*result_columns(spec))
+    ct_val, cf, cl = cursor
+    if ct_val is None:
+        return top(df.where(F.col("time").isNull() & _tie_after(cf, cl))).select(*result_columns(spec))
+    ct = _ntz(ct_val)
+    older = (F.col("time") < ct) | ((F.col("time") == ct) & _tie_after(cf, cl))
+    prune = (F.col("event_date") <= F.lit(X.unit_start(ct_val.date(), spec.partition_unit))) | F.col("event_date").isNull()
+    timed = top(df.where(older & prune))
+    nulls = top(df.where(F.col("time").isNull()))
+    return top(timed.unionByName(nulls)).select(*result_columns(spec))
 
 
 def end_of_day_bound(day: date, hour: int | None = None, minute: int | None = None,

@@ -15,12 +15,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions import extract as X
+
 # Fixed values that must match for identical behaviour.
 MIN_TRIM_FRACTION = 0.10
 MAX_TRIM_FRACTION = 0.50
 TRIM_SLACK = 1.1
 
-BUCKETS = 4096
+BUCKETS = 1 << 16
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -62,21 +64,26 @@ def range_counts(table: DataFrame, unit: str = "day") -> DataFrame:
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")))
 
 
-def _range_filter(lo: int, hi: int) -> Column:
-    """key in [lo, hi) µs, in a form Parquet statistics and date partitions can prune."""
+def _range_filter(lo: int, hi: int, unit: str | None = None) -> Column:
+    """key in [lo, hi) µs, in a form Parquet statistics and date partitions can prune.
+
+    Without the table's partition unit the month bound is used: it is valid for day and month
+    partitions alike (it only prunes less for daily ones)."""
+    unit = unit or "month"
     pred = (key_micros() >= F.lit(lo)) & (key_micros() < F.lit(hi))
     lo_dt, hi_dt = micros_to_datetime(lo), micros_to_datetime(hi)
     if lo_dt is not None and hi_dt is not None:
         a, b = micros_lit(lo), micros_lit(hi)
         pushable = (((F.col("time") >= a) & (F.col("time") < b))
                     | (F.col("time").isNull() & (F.col("ingested_at") >= a) & (F.col("ingested_at") < b)))
-        dates = (((F.col("event_date") >= F.lit(lo_dt.date())) & (F.col("event_date") <= F.lit(hi_dt.date())))
+        dates = (((F.col("event_date") >= F.lit(X.unit_start(lo_dt.date(), unit)))
+                  & (F.col("event_date") <= F.lit(X.unit_start(hi_dt.date(), unit))))
                  | F.col("event_date").isNull())
         pred = pushable & dates & pred
     return pred
 
 
-def kth_key_micros(table: DataFrame, k: int, buckets: int = BUCKETS) -> int:
+def kth_key_micros(table: DataFrame, k: int, buckets: int = BUCKETS, unit: str | None = None) -> int:
     """Exact k-th (0-based) smallest retention key, in µs since the epoch."""
     b = table.agg(F.min(key_micros()).alias("lo"), F.max(key_micros()).alias("hi")).collect()[0]
     if b["lo"] is None:
@@ -84,7 +91,7 @@ def kth_key_micros(table: DataFrame, k: int, buckets: int = BUCKETS) -> int:
     lo, hi = int(b["lo"]), int(b["hi"]) + 1
     while hi - lo > 1:
         width = -(-(hi - lo) // buckets)
-        hist = (table.where(_range_filter(lo, hi))
+        hist = (table.where(_range_filter(lo, hi, unit))
                 .groupBy(F.floor((key_micros() - F.lit(lo)) / F.lit(width)).cast("bigint").alias("b"))
                 .agg(F.count(F.lit(1)).alias("n")).collect())
         acc = 0
@@ -100,13 +107,13 @@ def kth_key_micros(table: DataFrame, k: int, buckets: int = BUCKETS) -> int:
     return lo
 
 
-def oldest_cutoff_micros(table: DataFrame, remaining: int, fraction: float) -> int:
+def oldest_cutoff_micros(table: DataFrame, remaining: int, fraction: float, unit: str | None = None) -> int:
     """Cutoff that removes the oldest `fraction` of rows (O-32): value at offset
     clamp(floor(n * f), 1, n - 1) plus one microsecond, so rows tied with it go too."""
     k = int(remaining * fraction)
     k = max(k, 1)
     k = min(k, remaining - 1)
-    return kth_key_micros(table, k) + 1
+    return kth_key_micros(table, k, unit=unit) + 1
 
 
 def trim_fraction(size_bytes: int, cap_bytes: int) -> float:

@@ -89,3 +89,38 @@ def read_text(spark: SparkSession, uri: str) -> str:
         return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+
+
+class Handle:
+    """One resolved FileSystem for many metadata calls under a root (fewer JVM round trips)."""
+
+    def __init__(self, spark: SparkSession, uri: str):
+        self.spark = spark
+        self._P = _jvm(spark).org.apache.hadoop.fs.Path
+        self.fs = _fs(spark, uri)
+
+    def rename(self, src: str, dst: str) -> bool:
+        return bool(self.fs.rename(self._P(src), self._P(dst)))
+
+    def delete(self, uri: str, recursive: bool = True) -> bool:
+        return bool(self.fs.delete(self._P(uri), recursive))
+
+    def exists(self, uri: str) -> bool:
+        return bool(self.fs.exists(self._P(uri)))
+
+    def mkdirs(self, uri: str) -> None:
+        self.fs.mkdirs(self._P(uri))
+
+    def names(self, uri: str) -> list[str]:
+        """Child names of a directory (empty when absent)."""
+        p = self._P(uri)
+        if not self.fs.exists(p):
+            return []
+        return [st.getPath().getName() for st in self.fs.listStatus(p)]
+
+    def sizes(self, uri: str) -> list[tuple[str, int]]:
+        """(name, length) of the files directly in a directory."""
+        p = self._P(uri)
+        if not self.fs.exists(p):
+            return []
+        return [(st.getPath().getName(), int(st.getLen())) for st in self.fs.listStatus(p) if st.isFile()]

@@ -71,7 +71,7 @@ def numbered_lines(lines: DataFrame, splits: DataFrame, broadcast_splits: bool)
     )
 
 
-def parse_rows(numbered: DataFrame, fields, ingested_at: Column, source_file: Column) -> DataFrame:
+def parse_rows(numbered: DataFrame, fields, ingested_at: Column, source_file: Column, unit: str = "day") -> DataFrame:
     """Valid rows in table layout (O-17): bookkeeping columns, fields, then event_date."""
     v = X.parse_line(F.col("raw"))
     staged = numbered.where(~X.is_blank(F.col("raw"))).select(
@@ -79,7 +79,7 @@ def parse_rows(numbered: DataFrame, fields, ingested_at: Column, source_file: Co
     staged = staged.where(X.is_valid(F.col("_v"), F.col("raw")))
     cols = X.extract_columns(F.col("_v"), fields)
     out = staged.select("raw", "source_file", "source_line", ingested_at.alias("ingested_at"), *cols)
-    return out.withColumn("event_date", X.event_date(F.col("time"), F.col("ingested_at")))
+    return out.withColumn("event_date", X.event_date(F.col("time"), F.col("ingested_at"), unit))
 
 
 def relative_name(root_qualified: str) -> Column:
