@@ -86,18 +86,35 @@ def _type_of(x: Column) -> Column:
     return F.schema_of_variant(x)
 
 
-def text_field(v: Column, keys) -> Column:
-    """First key holding a JSON string wins (O-12).  JSON null gives '' and also wins (T2);
+def wanted_keys(fields) -> list[str]:
+    """Every JSON key any field reads, once, in first-use order."""
+    return list(dict.fromkeys(k for f in fields for k in f.json_keys))
+
+
+def key_struct(v: Column, keys: list[str]) -> Column:
+    """All wanted top-level values of the line object in one cast (NULL where absent).
+
+    One object -> struct conversion replaces a path lookup per key; field matching is exact
+    (case-sensitive) and a repeated key keeps its last value."""
+    ddl = ",".join("`" + k.replace("`", "``") + "`:variant" for k in keys)
+    return F.try_variant_get(v, "$[0]", f"struct<{ddl}>")
+
+
+def text_value(values: list[Column]) -> Column:
+    """First candidate holding a JSON string wins (O-12).  JSON null gives '' and also wins (T2);
     numbers, booleans, objects, arrays are 'no match' and the next key is tried (T1)."""
     options = []
-    for k in keys:
-        x = key_value(v, k)
+    for x in values:
         t = _type_of(x)
         options.append(F.when(t == "STRING", F.variant_get(x, "$", "string"))
                        .when(t == "VOID", F.lit("")))
     return F.coalesce(*options) if len(options) > 1 else options[0]
 
 
+def text_field(v: Column, keys) -> Column:
+    return text_value([key_value(v, k) for k in keys])
+
+
 def parse_time_string(s: Column) -> Column:
     """Wall-clock timestamp of an accepted layout; any offset is discarded (O-15, T6, T8)."""
     rfc_ok = s.rlike(RFC3339_PATTERN)
@@ -121,12 +138,11 @@ def epoch_to_ts(f: Column) -> Column:
     return F.coalesce(ms, secs)
 
 
-def time_field(v: Column, keys) -> Column:
-    """First key whose value parses wins (O-13, O-14): strings by layout, numbers as epoch.
+def time_value(values: list[Column]) -> Column:
+    """First candidate whose value parses wins (O-13, O-14): strings by layout, numbers as epoch.
     A JSON null or unparsable string does not win (T3, T4); a quoted number is never epoch (T5)."""
     options = []
-    for k in keys:
-        x = key_value(v, k)
+    for x in values:
         t = _type_of(x)
         is_num = t.isin(*_NUMERIC_TYPES) | t.startswith("DECIMAL")
         options.append(F.when(t == "STRING", parse_time_string(F.variant_get(x, "$", "string")))
@@ -134,6 +150,10 @@ def time_field(v: Column, keys) -> Column:
     return F.coalesce(*options) if len(options) > 1 else options[0]
 
 
+def time_field(v: Column, keys) -> Column:
+    return time_value([key_value(v, k) for k in keys])
+
+
 def event_date(time: Column, ingested_at: Column, unit: str = "day") -> Column:
     """Partition key: start of the day (or month) of the retention key, NULL outside the range."""
     d = F.to_date(F.coalesce(time, ingested_at))
@@ -173,7 +193,7 @@ def fields_map(columns: list[str]) -> Column:
 
 
 def extract_columns(v: Column, fields) -> list[Column]:
-    """One output column per field, in definition order."""
+    """One output column per field, in definition order, from a parsed line `v`."""
     out = []
     for f in fields:
         if f.column == "time":
@@ -183,5 +203,55 @@ def extract_columns(v: Column, fields) -> list[Column]:
     return out
 
 
+def extract_from_struct(s: Column, fields) -> list[Column]:
+    """One output column per field from `key_struct`, as a single projection (small inputs)."""
+    out = []
+    for f in fields:
+        vals = [s.getField(k) for k in f.json_keys]
+        out.append((time_value(vals) if f.column == "time" else text_value(vals)).alias(f.column))
+    return out
+
+
+def extract_df(df, struct_col: str, fields, keep: list[str]):
+    """Field extraction as three small projections over materialized intermediates.
+
+    One projection holding every branch would repeat each lookup and each time-string input in
+    every CASE branch (subexpression elimination skips conditional branches) and grow past the
+    code generation size limit.  Here each value is read once per key, the per-key time
+    candidates are parsed from plain columns, and the final step only coalesces."""
+    s = F.col(struct_col)
+    keys = wanted_keys(fields)
+    time_keys = [k for f in fields if f.column == "time" for k in f.json_keys]
+    text_keys = list(dict.fromkeys(k for f in fields if f.column != "time" for k in f.json_keys))
+    # Step 0: each wanted value as JSON text (NULL when the key is absent).  Its first character
+    # is the JSON type: '"' string, digit or '-' number, 'n' null, anything else no match.
+    df0 = df.select(*keep, *[F.to_json(s.getField(k)).alias(f"_j{i}") for i, k in enumerate(keys)],
+                    *[s.getField(k).alias(f"_v{i}") for i, k in enumerate(keys)])
+    step1 = []
+    for i, k in enumerate(keys):
+        j, x = F.col(f"_j{i}"), F.col(f"_v{i}")
+        head = F.substring(j, 1, 1)
+        # A string without escapes is its JSON text minus the quotes; otherwise decode it.
+        as_str = F.when(F.instr(j, "\\") == 0, F.expr(f"substring(_j{i}, 2, length(_j{i}) - 2)")) \
+            .otherwise(F.variant_get(x, "$", "string"))
+        if k in text_keys:
+            step1.append(F.when(head == '"', as_str).when(j == "null", F.lit("")).alias(f"_x{i}"))
+        if k in time_keys:
+            step1.append(F.when(head == '"', as_str).alias(f"_s{i}"))
+            step1.append(F.when(head.rlike("[-0-9]"), j.try_cast("double")).alias(f"_d{i}"))
+    df = df0
+    df1 = df.select(*keep, *step1)
+    step2 = [F.coalesce(parse_time_string(F.col(f"_s{keys.index(k)}")),
+                        epoch_to_ts(F.col(f"_d{keys.index(k)}"))).alias(f"_t{keys.index(k)}")
+             for k in dict.fromkeys(time_keys)]
+    df2 = df1.select(*keep, *[F.col(f"_x{keys.index(k)}") for k in text_keys], *step2)
+    final = []
+    for f in fields:
+        prefix = "_t" if f.column == "time" else "_x"
+        cols = [F.col(f"{prefix}{keys.index(k)}") for k in f.json_keys]
+        final.append((F.coalesce(*cols) if len(cols) > 1 else cols[0]).alias(f.column))
+    return df2.select(*keep, *final)
+
+
 def all_of(preds: list[Column]) -> Column | None:
     return reduce(lambda a, b: a & b, preds) if preds else None

@@ -77,8 +77,11 @@ def parse_rows(numbered: DataFrame, fields, ingested_at: Column, source_file: Co
     staged = numbered.where(~X.is_blank(F.col("raw"))).select(
         "raw", source_file.alias("source_file"), "source_line", v.alias("_v"))
     staged = staged.where(X.is_valid(F.col("_v"), F.col("raw")))
-    cols = X.extract_columns(F.col("_v"), fields)
-    out = staged.select("raw", "source_file", "source_line", ingested_at.alias("ingested_at"), *cols)
+    staged = staged.select("raw", "source_file", "source_line",
+                           X.key_struct(F.col("_v"), X.wanted_keys(fields)).alias("_s"))
+    out = X.extract_df(staged, "_s", fields, ["raw", "source_file", "source_line"])
+    out = out.select("raw", "source_file", "source_line", ingested_at.alias("ingested_at"),
+                     *[f.column for f in fields])
     return out.withColumn("event_date", X.event_date(F.col("time"), F.col("ingested_at"), unit))
 
 
@@ -95,7 +98,8 @@ def parse_lines_df(lines: DataFrame, fields, raw_col: str = "raw") -> DataFrame:
     keep = [c for c in lines.columns]
     staged = lines.where(~X.is_blank(F.col(raw_col))).withColumn("_v", v)
     staged = staged.where(X.is_valid(F.col("_v"), F.col(raw_col)))
-    return staged.select(*keep, *X.extract_columns(F.col("_v"), fields))
+    staged = staged.select(*keep, X.key_struct(F.col("_v"), X.wanted_keys(fields)).alias("_s"))
+    return X.extract_df(staged, "_s", fields, keep)
 
 
 def classify_lines_df(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
