@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +47,9 @@ class LoadSummary:
 
 
 def utc_now() -> datetime:
-    return datetime.utcnow().replace(microsecond=(datetime.utcnow().microsecond // 1000) * 1000)
+    """Load timestamp: UTC wall clock, naive, at millisecond precision."""
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    return now.replace(microsecond=now.microsecond // 1000 * 1000)
 
 
 def _split_bytes(spark: SparkSession) -> int:
@@ -161,7 +163,7 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
         else:
             spark.conf.set("spark.sql.files.minPartitionNum", prev_min)
     inserted = {r["source_file"]: r["n"] for r in
-                spark.read.parquet(stage).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
+                spark.read.schema(spec.storage_schema()).parquet(stage).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
     job = staged_job_id(fs.Handle(spark, stage), stage)
     fs.write_text(spark, journal, json.dumps({"load_id": load_id, "ingested_at": ingested_at.isoformat(),
                                               "files": [n for n, _, _ in group], "job": job}))

@@ -6,7 +6,7 @@ file metadata is read.  Note: Spark's file listing skips names that start with '
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ def filter_by_age(listing: DataFrame, load_days_back: int, now: datetime | None
     """Keep objects modified at or after now - N days; N <= 0 keeps all (O-2)."""
     if load_days_back <= 0:
         return listing
-    now = now or datetime.utcnow()
+    now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     cutoff = now - timedelta(days=load_days_back)
     # modificationTime is an instant; compare as microseconds since the epoch (UTC).
     cutoff_us = int((cutoff - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
