@@ -138,3 +138,24 @@ def test_drop_source(sample_store):
     with pytest.raises(SourceNotFound):
         store.table(spec)
     assert not fs.exists(store.spark, store.table_dir(spec.id))
+
+
+def test_manifest_compaction_keeps_latest_rows(sample_store):
+    from tidelog.catalog import compact_manifest
+    from datetime import datetime
+    store, spec, _, _ = sample_store
+    store.append_manifest(spec.id, [(spec.id, "logs/a.ndjson", datetime(2030, 1, 1), 9)])
+    assert compact_manifest(store, spec.id, min_files=1)
+    rows = store.manifest_raw(spec.id).collect()
+    assert [(r["file_name"], r["rows_ingested"]) for r in rows] == [("logs/a.ndjson", 9)]
+
+
+def test_explicit_list_accepts_zero_byte_object(spark, workdir):
+    src = os.path.join(workdir, "bucket")
+    os.makedirs(src)
+    open(os.path.join(src, "empty.ndjson"), "w").close()
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("zero", "path", {"root": src})
+    res = L.load_files(store, spec, ["empty.ndjson"])
+    assert (res[0].rows_inserted, res[0].error) == (0, "")
+    assert [r["file_name"] for r in store.manifest(spec.id).collect()] == ["empty.ndjson"]

@@ -134,6 +134,7 @@ class LogStore:
         return self.spark.read.schema(spec.storage_schema()).parquet(self.data_dir(spec.id))
 
     def manifest_raw(self, sid: str) -> DataFrame:
+        _recover_manifest(self, sid)
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_dir(sid))
 
     def manifest(self, sid: str) -> DataFrame:
@@ -147,6 +148,32 @@ class LogStore:
         df.coalesce(1).write.mode("append").parquet(self.manifest_dir(sid))
 
 
+def _recover_manifest(store: "LogStore", sid: str) -> None:
+    """A manifest swap cut short between its two renames: put the old version back."""
+    mdir, old = store.manifest_dir(sid), store.table_dir(sid) + "/manifest.old"
+    h = fs.Handle(store.spark, store.table_dir(sid))
+    if not h.exists(mdir) and h.exists(old):
+        h.rename(old, mdir)
+
+
+def compact_manifest(store: "LogStore", sid: str, min_files: int = 64) -> bool:
+    """Rewrite the manifest as its latest rows once it has many small files (one per load)."""
+    h = fs.Handle(store.spark, store.table_dir(sid))
+    mdir = store.manifest_dir(sid)
+    files = [n for n in h.names(mdir) if n.endswith(".parquet")]
+    if len(files) < min_files:
+        return False
+    new = store.table_dir(sid) + "/manifest.new"
+    h.delete(new, True)
+    store.manifest(sid).repartition(1).write.mode("overwrite").parquet(new)
+    old = store.table_dir(sid) + "/manifest.old"
+    h.delete(old, True)
+    h.rename(mdir, old)
+    h.rename(new, mdir)
+    h.delete(old, True)
+    return True
+
+
 def upsert_latest(manifest: DataFrame) -> DataFrame:
     """Union of marker rows -> one row per (source_id, file_name), the latest by ingested_at."""
     latest = F.max_by(F.struct("ingested_at", "rows_ingested"), F.col("ingested_at"))

@@ -219,10 +219,13 @@ def load_files(store: LogStore, spec_or_id, names: list[str], now: datetime | No
     todo = [n for n in dict.fromkeys(names) if n not in loaded]
     known = {}
     if todo:
-        lst = listing.list_files(spark, spec.root_uri)
-        req = spark.createDataFrame([(n,) for n in todo], "name string")
-        known = {r["name"]: (r["name"], r["path"], r["size"])
-                 for r in lst.join(req, "name", "left_semi").collect()}
+        # Stat only the named objects: the cost follows the list, not the bucket.
+        root_q = fs.qualify(spark, spec.root_uri).rstrip("/")
+        h = fs.Handle(spark, root_q)
+        for n in todo:
+            st = h.status(f"{root_q}/{n}")
+            if st is not None:
+                known[n] = (n, st[0], st[1])
     files = [known[n] for n in todo if n in known]
     done = {s.file_name: s for s in load_file_list(store, spec, files, now)}
     out = []

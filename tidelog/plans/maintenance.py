@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.catalog import LogStore
+from tidelog.catalog import LogStore, compact_manifest
 from tidelog.operators import load as L
 from tidelog.operators import retention as R
 
@@ -48,6 +48,7 @@ def run_maintenance(store: LogStore, now: datetime) -> list[MaintenanceReport]:
             except Exception as e:  # noqa: BLE001
                 rep.errors.append(f"load: {e}")
         try:
+            compact_manifest(store, sid)
             rep.reencoded_bytes = R.reencode(store, spec)
         except Exception as e:  # noqa: BLE001
             rep.errors.append(f"reencode: {e}")

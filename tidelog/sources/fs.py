@@ -111,6 +111,16 @@ class Handle:
     def mkdirs(self, uri: str) -> None:
         self.fs.mkdirs(self._P(uri))
 
+    def status(self, uri: str):
+        """(qualified path, length) of a file, or None when absent or a directory."""
+        p = self._P(uri)
+        if not self.fs.exists(p):
+            return None
+        st = self.fs.getFileStatus(p)
+        if not st.isFile():
+            return None
+        return st.getPath().toString(), int(st.getLen())
+
     def names(self, uri: str) -> list[str]:
         """Child names of a directory (empty when absent)."""
         p = self._P(uri)
