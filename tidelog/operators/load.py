@@ -90,7 +90,7 @@ def recover(store: LogStore, spec: SourceSpec) -> int:
         entry = json.loads(fs.read_text(spark, f"{store.journal_dir(spec.id)}/{name}"))
         ts = datetime.fromisoformat(entry["ingested_at"])
         committed = (store.manifest_raw(spec.id)
-                     .where((F.col("ingested_at") == F.lit(ts)) & F.col("file_name").isin(entry["files"]))
+                     .where((F.col("ingested_at") == F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")) & F.col("file_name").isin(entry["files"]))
                      .limit(1).count() > 0)
         if not committed and entry.get("job"):
             for p in fs.glob(spark, f"{store.data_dir(spec.id)}/*/part-*{entry['job']}*"):
@@ -151,7 +151,7 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
                         F.first("file_lines").alias("lines"), F.first("file_nonblank").alias("nonblank"),
                         F.first("file_max_len").alias("max_len")).collect()}
         rows = N.parse_rows(N.numbered_lines(lines, splits, bcast), spec.fields,
-                            F.lit(ingested_at).cast("timestamp_ntz"), N.relative_name(root_q), spec.partition_unit)
+                            F.lit(ingested_at.isoformat(sep=" ")).cast("timestamp_ntz"), N.relative_name(root_q), spec.partition_unit)
         # One shuffle so each date gets few, large files whatever the input order: adaptive
         # execution merges small dates and splits a date that holds a large share of the rows.
         rows = rows.hint("rebalance", "event_date")
