@@ -143,13 +143,15 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
     try:
         lines = N.scan_lines(spark, paths)
         splits = N.split_table(lines).checkpoint(eager=True)
-        n_splits = splits.count()
-        avg_path = sum(len(p) for p in paths) / max(1, len(paths))
-        bcast = n_splits * (avg_path + SPLIT_ROW_OVERHEAD) <= BROADCAST_SPLIT_BYTES
+        # One row per file of the group (bounded by the group size) with its split count.
         per_file = {r["source_path"]: r for r in
                     splits.groupBy("source_path").agg(
+                        F.count(F.lit(1)).alias("n_splits"),
                         F.first("file_lines").alias("lines"), F.first("file_nonblank").alias("nonblank"),
                         F.first("file_max_len").alias("max_len")).collect()}
+        n_splits = sum(r["n_splits"] for r in per_file.values())
+        avg_path = sum(len(p) for p in paths) / max(1, len(paths))
+        bcast = n_splits * (avg_path + SPLIT_ROW_OVERHEAD) <= BROADCAST_SPLIT_BYTES
         rows = N.parse_rows(N.numbered_lines(lines, splits, bcast), spec.fields,
                             F.lit(ingested_at.isoformat(sep=" ")).cast("timestamp_ntz"), N.relative_name(root_q), spec.partition_unit)
         # One shuffle so each date gets few, large files whatever the input order: adaptive
@@ -170,7 +172,7 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
     publish_staged(store, spec, stage)
     summaries, marks = [], []
     for name, path, _ in group:
-        st = per_file.get(fs.qualify(spark, path)) or per_file.get(path)
+        st = per_file.get(path) or per_file.get(fs.qualify(spark, path))
         if st is not None and st["max_len"] is not None and st["max_len"] >= X.MAX_LINE_BYTES:
             summaries.append(LoadSummary(name, error="line longer than the 10 MiB limit"))
             continue
