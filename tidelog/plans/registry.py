@@ -19,7 +19,7 @@ from tidelog.operators import search as Q
 from tidelog.operators import stats as S
 from tidelog.plans import derived as D
 from tidelog.plans.maintenance import due_predicate
-from tidelog.catalog import upsert_latest
+from tidelog.catalog import LogStore, upsert_latest
 from tidelog.sources import ndjson as N
 from tidelog.spec import Field
 
@@ -414,6 +414,25 @@ def q_due_sources(spark, sf):
     return src.where(due_predicate(DUE_NOW)).select("c_custkey")
 
 
+def q_migrate_legacy(spark, sf):
+    """Shared legacy table (two sources in one, plus an obsolete file_hash column) built from the
+    events source, split into per-source tables (O-45)."""
+    store, spec, t = _events(spark, sf)
+    legacy = t.drop("event_date").select(
+        F.when(F.col("source_line") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")).alias("source_id"), "*",
+        F.xxhash64("raw").cast("string").alias("file_hash"))
+    man = store.manifest(spec.id).select(F.lit("even").alias("source_id"), "file_name", "ingested_at",
+                                         "rows_ingested")
+    area = D.new_area(spark, "legacy")
+    target = LogStore(spark, f"{area}/store")
+    for sid in ("even", "odd"):
+        target.create_source(sid, "path", {"root": f"{area}/none"})
+    R.migrate_legacy(target, legacy, man)
+    parts = [target.table(sid).select(F.lit(sid).alias("source_id"), "source_file", "source_line", "level")
+             for sid in ("even", "odd")]
+    return parts[0].unionByName(parts[1])
+
+
 def q_autoload_stream(spark, sf):
     from tidelog.streaming.autoload import start_autoload
     store, spec, _ = D.build_source(spark, "orders", sf, load=False, cache=False)
@@ -539,6 +558,8 @@ ORACLE = {
     "due_sources": (
         "SELECT c_custkey FROM customer WHERE (c_custkey % 3 = 0 OR c_nationkey % 4 > 0) AND "
         "(c_custkey % 7 = 0 OR (c_custkey % 120) * 60 >= 15 * (c_custkey % 4 + 1) * 60)"),
+    "migrate_legacy": _ev("SELECT CASE WHEN source_line % 2 = 0 THEN 'even' ELSE 'odd' END AS source_id, "
+                          "source_file, source_line, level FROM rows"),
     "autoload_stream": "WITH " + _ORDERS_NAMES + "SELECT name, CAST(count(*) AS BIGINT) AS n_rows FROM named GROUP BY name",
 }
 
@@ -582,6 +603,7 @@ QUERIES = {
     "reload_idempotent": q_reload_idempotent,
     "schema_evolution": q_schema_evolution,
     "due_sources": q_due_sources,
+    "migrate_legacy": q_migrate_legacy,
     "autoload_stream": q_autoload_stream,
 }
 
