@@ -433,6 +433,22 @@ def q_migrate_legacy(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def q_reencode(spark, sf):
+    """Partitions written with another codec are rewritten as ZSTD; rows are unchanged (O-44)."""
+    store, spec, _ = D.build_source(spark, "events", sf, cache=False)
+    parts = list(R._partitions(store, spec.id))
+    staged = f"{store.table_dir(spec.id)}/rewrite/legacy"
+    (store.table(spec).write.mode("overwrite").partitionBy("event_date").option("compression", "snappy")
+     .parquet(staged))
+    R._swap(store, spec, staged, parts)
+    before = len(R.legacy_partitions(store, spec.id))
+    R.reencode(store, spec)
+    left = len(R.legacy_partitions(store, spec.id))
+    return (store.table(spec).select("source_file", "source_line", "level")
+            .withColumn("legacy_before", F.lit(min(before, 1)).cast("bigint"))
+            .withColumn("legacy_left", F.lit(left).cast("bigint")))
+
+
 def q_autoload_stream(spark, sf):
     from tidelog.streaming.autoload import start_autoload
     store, spec, _ = D.build_source(spark, "orders", sf, load=False, cache=False)
@@ -560,6 +576,8 @@ ORACLE = {
         "(c_custkey % 7 = 0 OR (c_custkey % 120) * 60 >= 15 * (c_custkey % 4 + 1) * 60)"),
     "migrate_legacy": _ev("SELECT CASE WHEN source_line % 2 = 0 THEN 'even' ELSE 'odd' END AS source_id, "
                           "source_file, source_line, level FROM rows"),
+    "reencode": _ev("SELECT source_file, source_line, level, CAST(1 AS BIGINT) AS legacy_before, "
+                    "CAST(0 AS BIGINT) AS legacy_left FROM rows"),
     "autoload_stream": "WITH " + _ORDERS_NAMES + "SELECT name, CAST(count(*) AS BIGINT) AS n_rows FROM named GROUP BY name",
 }
 
@@ -604,6 +622,7 @@ QUERIES = {
     "schema_evolution": q_schema_evolution,
     "due_sources": q_due_sources,
     "migrate_legacy": q_migrate_legacy,
+    "reencode": q_reencode,
     "autoload_stream": q_autoload_stream,
 }
 
