@@ -182,3 +182,11 @@ def _regrouped(rows: DataFrame, narrow: DataFrame, groups: DataFrame, collided:
     anew = own.join(by_text, ["digest", "text"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.lit(False).alias("member"))
     return rest.unionByName(anew.select(*rest.columns))
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts: the one with the smallest doc_id.  All columns stay."""
+    key = {"_tl_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tl_sha": F.sha2(normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)}
+    kept = deduplicate(docs).filter("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_tl_id"), F.col("text_sha256").alias("_tl_sha"))
+    rows = docs.withColumns(key).join(kept, list(key), "left_semi")
+    return rows.dropDuplicates(list(key)).drop(*key)  # rows that repeat a kept one, id and text

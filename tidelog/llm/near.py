@@ -283,3 +283,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_component"))
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("class_component").alias("component_id"),
                                             F.col("doc_id").eqNullSafe(F.col("class_component")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id.  Rows without an id stay.  All columns stay."""
+    gone = near_duplicates(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_tl_id")).distinct()
+    return docs.join(stored(gone, "near-repeats"), F.col("doc_id") == F.col("_tl_id"), "left_anti")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, exact, near, packing, token_files
-from tidelog.llm.common import documents
+from tidelog.llm import bpe, exact, imatch, language_model, lines, near, packing, quality, token_files, toxicity
+from tidelog.llm.common import documents, labels
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.likelihoods(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return coded.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
@@ -33,20 +37,43 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.deduplicate_lines(documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.char_length("text").cast("long").alias("left_chars"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("left_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_lm": op1_lattice_lm,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op7_imatch": op7_imatch,
     "op8_near_dedup": op8_near_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_line_chunks": op10_line_chunks,
 }
 
 ORACLE: dict[str, str] = {
