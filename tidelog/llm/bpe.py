@@ -13,11 +13,11 @@ import json
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidelog.llm.common import texts
-from tidelog.llm.library_ids import ChunkIds
+from tidelog.llm.library_ids import WordIds
 
 #: Splits text before the merges: the fixed pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,7 +67,7 @@ class PrefixBpe:
             if len(t) == 1 or (i in parts and self._made_whole(i)):
                 self._auto.add_word(t, (len(t), i))
         self._auto.make_automaton()
-        self._chunks = ChunkIds(lambda chunks: [self._chunk(c) for c in chunks], True)
+        self._words = WordIds(lambda texts: [self._whole(t) for t in texts], True)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """(piece, made, swallowed): the pieces that lie at one end of ``token`` while it is built, with merge ranks."""
@@ -133,7 +133,7 @@ class PrefixBpe:
     def _plain(self, text: str) -> list[int]:
         return [i for piece in self._split.findall(text) for i in self._token_ids(piece)]
 
-    def _chunk(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         """Ids of a text; the strings of special tokens in it give their ids."""
         out: list[int] = []
         at = 0
@@ -144,9 +144,9 @@ class PrefixBpe:
                 at = m.end()
         return array("I", out + self._plain(text[at:] if at else text)).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text."""
-        return self._chunks.ids(text)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts."""
+        return self._words.bytes_of(texts)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -167,8 +167,8 @@ def encode_decode(docs: DataFrame, vocab_path: str) -> DataFrame:
 
     def run(batches):
         bpe = prefix_bpe(vocab_path)
-        for pdf in batches:
-            ids = [bpe.encode(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
+        for batch in batches:
+            ids = bpe.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, ids binary, decoded string")
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import SPACES, stored, texts
 
 #: Digests in a shard at most, about: a shard's table is built and probed by one task.
-SHARD = 20_000
+SHARD = 2_000
 #: Digests that share a displacement, on average.
 SHARE = 4
 

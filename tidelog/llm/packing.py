@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -22,6 +22,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Rests packed together by one task at once, and bytes of ids in a batch that goes back to Spark.
 GROUP = 4096
 BATCH_BYTES = 8 << 20
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 def piece_cost(length: int) -> float:
@@ -80,10 +81,10 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 1
         lib = library_ids(vocab_path, False)
         sequence = TaskContext.get().partitionId() << 33
         rows, held, rests = [], 0, []
-        schema = {"doc_id": "Int64", "start": "int64", "length": "int64", "ids": object, "doc_tokens": "int64", "sequence_id": "int64", "offset": "int64"}
 
-        def frame():
-            return pd.DataFrame(rows, columns=list(schema)).astype(schema)
+        def table():
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
 
         def close():
             nonlocal sequence
@@ -95,9 +96,9 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 1
             sequence += used
             rests.clear()
 
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
-                ids = lib.ids(text) + end
+        for batch in batches:
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), lib.bytes_of(batch.column("text")), strict=True):
+                ids += end
                 total = len(ids) // 4
                 whole = total // capacity * capacity
                 for start in range(0, whole, capacity):
@@ -109,11 +110,11 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 1
                 if len(rests) >= GROUP:
                     close()
                 if held >= BATCH_BYTES and rows:
-                    yield frame()
+                    yield table()
                     rows, held = [], 0
         if rests:
             close()
         if rows:
-            yield frame()
+            yield table()
 
-    return texts(docs).mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return texts(docs).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

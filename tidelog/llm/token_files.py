@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from tidelog.llm.library_ids import library_ids
 from tidelog.llm.range_coder import BLOCK, LANES, decode_segment, encode_segment
 
 SEGMENT = BLOCK * LANES
+ARROW = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 SCHEMA = "part int, segment int, n_ids long, doc_ids array<long>, doc_lengths array<long>, payload binary"
 
 
@@ -38,16 +39,16 @@ def write_ids(docs: DataFrame, vocab_path: str, path: str, end_id: int = 2) -> N
 
         def close():
             nonlocal segment, size
-            row = (part, segment, size, list(docs_in), list(lengths), encode_segment(np.frombuffer(b"".join(held), "<u4")))
+            row = (part, segment, size, docs_in[:], lengths[:], encode_segment(np.frombuffer(b"".join(held), "<u4")))
             segment, size = segment + 1, 0
             for x in (docs_in, lengths, held):
                 x.clear()
-            return pd.DataFrame([row], columns=["part", "segment", "n_ids", "doc_ids", "doc_lengths", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW, strict=True)], schema=ARROW)
 
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
-                ids = lib.ids(text) + end
-                docs_in.append(None if doc is pd.NA else int(doc))
+        for batch in batches:
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), lib.bytes_of(batch.column("text")), strict=True):
+                ids += end
+                docs_in.append(doc)
                 lengths.append(len(ids) // 4)
                 held.append(ids)
                 size += len(ids) // 4
@@ -58,7 +59,7 @@ def write_ids(docs: DataFrame, vocab_path: str, path: str, end_id: int = 2) -> N
 
     order = ["doc_id", "tie"]
     (texts(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-     .drop("tie").mapInPandas(run, SCHEMA).write.parquet(path))
+     .drop("tie").mapInArrow(run, SCHEMA).write.parquet(path))
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -78,21 +79,23 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     Raises where the checksum of a block doesn't hold.
     """
 
+    fields = ["part", "segment", "doc_id", "inside", "ids"]
+
     def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ids = decode_segment(row.payload)
-                ends = np.cumsum(np.asarray(row.doc_lengths, np.int64))
-                if len(ids) != row.n_ids or ends[-1] != row.n_ids:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = decode_segment(row["payload"])
+                lengths = np.asarray(row["doc_lengths"], np.int64)
+                ends = np.cumsum(lengths)
+                if len(ids) != row["n_ids"] or ends[-1] != row["n_ids"]:
                     raise ValueError("document lengths don't add up to the ids of the segment")
-                first = ends - row.doc_lengths
-                data = ids.tobytes()
-                doc_ids = pd.array([None if x is None or x != x else int(x) for x in row.doc_ids], "Int64")
+                data, first = ids.tobytes(), (ends - lengths).tolist()
                 for k in range(0, len(first), 1000):  # few documents at a time back to Spark
-                    yield pd.DataFrame({"part": row.part, "segment": row.segment, "doc_id": doc_ids[k:k + 1000], "inside": first[k:k + 1000],
-                                        "ids": [data[4 * a:4 * b] for a, b in zip(first[k:k + 1000], ends[k:k + 1000], strict=True)]})
+                    own = [data[4 * a:4 * b] for a, b in zip(first[k:k + 1000], ends[k:k + 1000].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(own), pa.int32()), pa.array([row["segment"]] * len(own), pa.int32()),
+                                                      pa.array(row["doc_ids"][k:k + 1000], pa.int64()), pa.array(first[k:k + 1000], pa.int64()), pa.array(own, pa.binary())], fields)
 
-    return spark.read.schema(SCHEMA).parquet(path).mapInPandas(run, "part int, segment int, doc_id long, inside long, ids binary")
+    return spark.read.schema(SCHEMA).parquet(path).mapInArrow(run, "part int, segment int, doc_id long, inside long, ids binary")
 
 
 def round_trip(docs: DataFrame, vocab_path: str, end_id: int = 2) -> DataFrame:
