@@ -162,7 +162,7 @@ def deduplicate(docs: DataFrame, historical: Column | None = None) -> DataFrame:
     groups = stored(groups, "digest-groups")
     repeated = groups.filter("group_size > 1").select("digest", "keep_id")
     # Byte check.  What is stored in between lets Spark split a digest with very many rows in the joins.
-    again = stored(rows.join(repeated, "digest"), "repeated-texts")
+    again = stored(rows.join(repeated.hint("merge"), "digest"), "repeated-texts")
     winners = stored(again.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("winner_text")), "winner-texts")
     checked = stored(again.join(winners, "digest").filter(F.col("text") != F.col("winner_text")).select("doc_id", "digest", "text"), "digest-collisions")
     decided = narrow.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -188,5 +188,5 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts: the one with the smallest doc_id.  All columns stay."""
     key = {"_tl_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tl_sha": F.sha2(normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)}
     kept = deduplicate(docs).filter("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_tl_id"), F.col("text_sha256").alias("_tl_sha"))
-    rows = docs.withColumns(key).join(kept, list(key), "left_semi")
+    rows = docs.withColumns(key).join(kept.hint("merge"), list(key), "left_semi")
     return rows.dropDuplicates(list(key)).drop(*key)  # rows that repeat a kept one, id and text

@@ -110,7 +110,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     train = id_remainder(F.col("doc_id"), divisor)
     wanted = (train != 0) if held_out == 0 else (train != held_out)
-    return texts(docs).filter(wanted).join(known.filter(wanted), "doc_id")
+    # Labels grow with the documents: the join is by shuffle at every size.
+    return texts(docs).filter(wanted).join(known.filter(wanted).hint("merge"), "doc_id")
 
 
 def featured(rows: DataFrame, featurise: Callable[[str], np.ndarray]) -> DataFrame:

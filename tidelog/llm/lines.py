@@ -52,13 +52,13 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     where = F.struct("doc_id", "h", "place").alias("at")
     seen = several.select("digest", where).groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     repeated = stored(seen.filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "repeated-chunks")
-    copies = stored(several.join(repeated, "digest"), "chunk-copies")
+    copies = stored(several.join(repeated.hint("merge"), "digest"), "chunk-copies")
     is_first = F.struct("doc_id", "h", "place").eqNullSafe(F.col("first"))
     bodies = stored(copies.filter(is_first).groupBy("digest").agg(F.min("body").alias("first_body")), "first-chunks")
     equal = copies.filter(~is_first).join(bodies, "digest").filter(F.col("body") == F.col("first_body"))
     removed = stored(equal.groupBy("doc_id", "h").agg(F.collect_set("place").alias("places")).select(
         F.col("doc_id").alias("from_id"), F.col("h").alias("from_h"), "places"), "removed-chunks")
-    found = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("h") == F.col("from_h")), "left")
+    found = rows.join(removed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("h") == F.col("from_h")), "left")
     found = found.select("doc_id", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.transform(F.array(_chunks(F.col("text"))), lambda c: c)[0].alias("chunks"))
     left = F.filter("chunks", lambda c, k: ~F.array_contains("places", k))
     lines = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + c["lines"])

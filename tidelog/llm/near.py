@@ -267,10 +267,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = stored(reps.dropDuplicates(["rep", "set_key"]).select("rep", "n_shingles", "sig", "bands"), "representatives")
     in_band = reps.select("rep", F.explode("bands").alias("band"))
     heads = stored(in_band.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head < tail").select("band", "head"), "heads")
-    shared = stored(in_band.join(heads, "band"), "shared-bands")
+    shared = stored(in_band.join(heads.hint("merge"), "band"), "shared-bands")  # by shuffle at every size, as all sides grow
     candidates = stored(shared.select("rep").distinct(), "candidates")
-    sigs = stored(reps.join(candidates, "rep").select("rep", "sig", "n_shingles"), "signatures")
-    bodies = stored(texts(docs).withColumnRenamed("doc_id", "rep").join(candidates, "rep"), "candidate-texts")
+    sigs = stored(reps.join(candidates.hint("merge"), "rep").select("rep", "sig", "n_shingles"), "signatures")
+    bodies = stored(texts(docs).withColumnRenamed("doc_id", "rep").join(candidates.hint("merge"), "rep"), "candidate-texts")
 
     stars = shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     links = _verified(stars, sigs, bodies)
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         roots = stored(components(links.unionByName(more)), "roots")
     named = stored(classes.join(roots.withColumnRenamed("a", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class_component")), "named")
-    linked = rows.select("doc_id", "n_shingles", "set_key").filter("n_shingles > 0").join(named, "set_key").drop("set_key")
+    linked = rows.select("doc_id", "n_shingles", "set_key").filter("n_shingles > 0").join(named.hint("merge"), "set_key").drop("set_key")
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_component"))
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("class_component").alias("component_id"),
                                             F.col("doc_id").eqNullSafe(F.col("class_component")).alias("kept"))
@@ -288,4 +288,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id.  Rows without an id stay.  All columns stay."""
     gone = near_duplicates(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_tl_id")).distinct()
-    return docs.join(stored(gone, "near-repeats"), F.col("doc_id") == F.col("_tl_id"), "left_anti")
+    return docs.join(stored(gone, "near-repeats").hint("merge"), F.col("doc_id") == F.col("_tl_id"), "left_anti")
