@@ -106,21 +106,22 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     that order; a null doc_id comes first.  Null text is empty.  A table of one document is its own next.
     Empty table: no rows.  Extra columns are not read.
     """
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text", F.col("doc_id").isNull().alias("no_id"))
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
     kept = lexicon(rows)
     after = stored(successors(rows.select("id", "h", F.char_length("text").cast("long").alias("n"))), "successors")
     quarter = F.expr("cast(n div 4 as int)")
     # Each document sends the start of its text to the one before it.
     asked = after.select("next_id", "next_h", F.col("id").alias("to_id"), F.col("h").alias("to_h"), "n")
-    starts = rows.dropDuplicates(["id", "h"]).join(asked, (F.col("id") == F.col("next_id")) & (F.col("h") == F.col("next_h")))
+    # Both joins read the texts by (id, h): they are shuffled once.
+    starts = rows.join(asked.hint("merge"), (F.col("id") == F.col("next_id")) & (F.col("h") == F.col("next_h")))
     starts = starts.select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), "n", "next_id", "next_h", F.substring("text", F.lit(1), quarter).alias("start"))
-    both = rows.join(starts, ["id", "h"])
+    both = rows.join(starts.dropDuplicates(["id", "h"]).hint("merge"), ["id", "h"])
     edited = F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - quarter), "start")
-    both = both.select("id", "h", "no_id", "n", "next_id", "next_h", F.array("text", edited).alias("pair"))
-    done = both.select("id", "h", "no_id", "n", "next_id", "next_h", F.sha2(F.col("pair")[1].cast("binary"), 256).alias("edited_sha256"), fingerprints(F.col("pair"), kept).alias("prints"))
+    both = both.select("id", "h", "n", "next_id", "next_h", F.array("text", edited).alias("pair"))
+    done = both.select("id", "h", "n", "next_id", "next_h", F.sha2(F.col("pair")[1].cast("binary"), 256).alias("edited_sha256"), fingerprints(F.col("pair"), kept).alias("prints"))
     done = stored(done, "fingerprints")
     others = done.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("prints")[0].alias("next_print")).dropDuplicates(["next_id", "next_h"])
     found = done.join(others, ["next_id", "next_h"])
     own, changed = F.col("prints")[0], F.col("prints")[1]
-    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", written(own).alias("fingerprint"),
+    return found.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_chars"), "edited_sha256", written(own).alias("fingerprint"),
                         written(changed).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, F.col("next_print")).alias("near_next"))
