@@ -34,6 +34,8 @@ BATCH = 16
 MISS = 1e-7
 #: Members of a bucket that are held at once on either side, about.
 BLOCK = 1024
+#: Documents for each task that writes a table of small rows, about.
+ROWS_A_TASK = 20_000
 #: Word hashes kept by one worker.
 KEPT = 500_000
 
@@ -186,12 +188,26 @@ def _verified(pairs: DataFrame, sigs: DataFrame, bodies: DataFrame) -> DataFrame
     """The pairs (a, b) that are linked: pruned by signatures, then confirmed on full sets."""
     one, two = (sigs.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
     size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT  # else no overlap reaches the threshold
-    left = stored(pairs.join(one, "a").join(two, "b").filter(size).filter(plausible(F.col("sig_a"), F.col("sig_b"))).select("a", "b").distinct(), "plausible")
+    left = pairs.join(one, "a").join(two, "b").filter(size).filter(plausible(F.col("sig_a"), F.col("sig_b")))
+    return _confirmed(stored(left.select("a", "b").distinct(), "plausible"), bodies)
+
+
+def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     one, two = (bodies.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return stored(left.join(one, "a").join(two, "b").filter(similar(F.col("text_a"), F.col("text_b"))).select("a", "b"), "links")
+    return stored(pairs.join(one, "a").join(two, "b").filter(similar(F.col("text_a"), F.col("text_b"))).select("a", "b"), "links")
+
+
+def _merged(roots: DataFrame, more: DataFrame, few: int) -> DataFrame:
+    """roots (a, root) after further links: only the components' roots are linked anew."""
+    of = [roots.select(F.col("a").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    between = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = components(stored(between.distinct().coalesce(few), "root-links"))
+    again = above.select(F.col("a").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(again, "root", "left").select("a", F.coalesce("top", "root").alias("root"))
+    return stored(moved.unionByName(above).coalesce(few), "roots")
 
 
-def _met(shared: DataFrame, roots: DataFrame, bodies: DataFrame) -> DataFrame:
+def _met(shared: DataFrame, roots: DataFrame, bodies: DataFrame, few: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket, as far as their long signatures allow.
 
     In a bucket that holds several components, the members outside its largest one meet all others.  Both sides are
@@ -202,7 +218,7 @@ def _met(shared: DataFrame, roots: DataFrame, bodies: DataFrame) -> DataFrame:
     sizes = marked.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
         F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows")).filter("k > 1")
     sizes = stored(sizes.select("band", F.col("top.root").alias("top"), F.ceil((F.col("rows") - F.col("top.n")) / BLOCK).cast("int").alias("minor_blocks"),
-                                F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
+                                F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")).coalesce(few), "mixed-buckets")
     apart = stored(marked.join(sizes, "band"), "apart-bands")
     lows = stored(bodies.join(apart.select("rep").distinct(), "rep").select("rep", long_signature(F.col("text")).alias("low")), "long-signatures")
     members = stored(apart.join(lows, "rep"), "apart-signatures")
@@ -262,23 +278,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of the class has an id, component_id is null and the row is kept.  Empty table: no rows.  Other columns are not read.
     """
     rows = stored(sketches(docs), "sketches")
-    classes = stored(rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    few = max(1, -(-rows.count() // ROWS_A_TASK))
+    classes = stored(rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")).coalesce(few), "classes")
     reps = rows.join(classes.filter("rep is not null").select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).withColumnRenamed("doc_id", "rep")
     reps = stored(reps.dropDuplicates(["rep", "set_key"]).select("rep", "n_shingles", "sig", "bands"), "representatives")
     in_band = reps.select("rep", F.explode("bands").alias("band"))
-    heads = stored(in_band.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head < tail").select("band", "head"), "heads")
+    heads = stored(in_band.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("head < tail").select("band", "head").coalesce(few), "heads")
     shared = stored(in_band.join(heads.hint("merge"), "band"), "shared-bands")  # by shuffle at every size, as all sides grow
-    candidates = stored(shared.select("rep").distinct(), "candidates")
+    candidates = stored(shared.select("rep").distinct().coalesce(few), "candidates")
     sigs = stored(reps.join(candidates.hint("merge"), "rep").select("rep", "sig", "n_shingles"), "signatures")
     bodies = stored(texts(docs).withColumnRenamed("doc_id", "rep").join(candidates.hint("merge"), "rep"), "candidate-texts")
 
     stars = shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     links = _verified(stars, sigs, bodies)
-    roots = stored(components(links), "roots")
-    more = _verified(_met(shared, roots, bodies), sigs, bodies)
+    roots = components(links)
+    more = _confirmed(stored(_met(shared, roots, bodies, few), "met"), bodies)
     if not more.isEmpty():
-        roots = stored(components(links.unionByName(more)), "roots")
-    named = stored(classes.join(roots.withColumnRenamed("a", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class_component")), "named")
+        roots = _merged(roots, more, few)
+    named = classes.join(roots.withColumnRenamed("a", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class_component"))
+    named = stored(named.coalesce(few), "named")
     linked = rows.select("doc_id", "n_shingles", "set_key").filter("n_shingles > 0").join(named.hint("merge"), "set_key").drop("set_key")
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_component"))
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("class_component").alias("component_id"),
