@@ -135,11 +135,15 @@ def least_matches(hashes: int = HASHES, threshold: float = PERCENT / 100, miss:
 
 
 def long_signature(text: Column) -> Column:
-    """The lowest byte of each of ``LONG`` further signature values."""
+    """The lowest byte of each of ``LONG`` further signature values, then the keys of all bands."""
+
+    def one(text: str) -> bytes:
+        s = shingles(text)
+        return signature(s, HASHES, HASHES + LONG).astype(np.uint8).tobytes() + bands(signature(s)).tobytes()
 
     @F.pandas_udf("binary")
     def lows(texts: pd.Series) -> pd.Series:
-        return pd.Series([signature(shingles(t), HASHES, HASHES + LONG).astype(np.uint8).tobytes() for t in texts], dtype=object)
+        return pd.Series([one(t) for t in texts], dtype=object)
 
     return lows(text)
 
@@ -246,7 +250,8 @@ def _meet(batches):
 
 
 def _pairs(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-    low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(rows), LONG)
+    low = np.frombuffer(b"".join(rows["low"]), np.uint8).reshape(len(rows), LONG + 8 * BANDS)
+    keys, band = np.ascontiguousarray(low[:, LONG:]).view(np.int64), rows["band"].to_numpy()
     rep, root = rows["rep"].to_numpy(), rows["root"].to_numpy()
     minor, top, head = rows["minor"].to_numpy(), rows["in_top"].to_numpy(), rows["is_head"].to_numpy()
     needed, out = least_matches(LONG), []
@@ -264,6 +269,10 @@ def _pairs(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
                 x, y, matches, done = x[keep], y[keep], matches[keep], n
                 if not len(x):
                     break
+            if len(x):  # in the first bucket that both share
+                both = keys[x] == keys[y]
+                once = keys[x, both.argmax(axis=1)] == band[x]
+                x, y = x[once], y[once]
             out.append((rep[x], rep[y]))
     a, b = (np.concatenate([p[side] for p in out]) if out else np.zeros(0, np.int64) for side in (0, 1))
     return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
