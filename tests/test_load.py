@@ -15,7 +15,7 @@ def test_sample_load_counts_and_marker(sample_store):
     s = summaries[0]
     assert (s.rows_inserted, s.lines_skipped, s.already_loaded, s.error) == (4, 1, False, "")
     t = store.table(spec)
-    assert sorted(r["source_line"] for r in t.select("source_line").collect()) == [1, 3, 4, 5]
+    assert sorted(r["source_line"] for r in t.select("source_line").collect()) == [2, 3, 4, 5]
     m = store.manifest(spec.id).collect()
     assert [(r["file_name"], r["rows_ingested"]) for r in m] == [("logs/a.ndjson", 4)]
     assert t.select("ingested_at").distinct().count() == 1
@@ -159,3 +159,41 @@ def test_explicit_list_accepts_zero_byte_object(spark, workdir):
     res = L.load_files(store, spec, ["empty.ndjson"])
     assert (res[0].rows_inserted, res[0].error) == (0, "")
     assert [r["file_name"] for r in store.manifest(spec.id).collect()] == ["empty.ndjson"]
+
+
+def test_nanosecond_epoch_keeps_its_neighbours(spark, workdir):
+    src = os.path.join(workdir, "bucket")
+    write_lines(os.path.join(src, "n.ndjson"), ['{"time":1704240000123456789,"msg":"late"}', '{"time":1719835200,"msg":"fine"}'])
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("nanos", "path", {"root": src})
+    assert L.sync_source(store, spec) == 1
+    rows = {r["msg"]: r["time"] for r in store.table(spec).select("msg", "time").collect()}
+    assert rows["late"] is None and rows["fine"] is not None
+
+
+def test_error_after_the_markers_does_not_load_twice(spark, workdir, monkeypatch):
+    src = os.path.join(workdir, "bucket")
+    for k in range(3):
+        write_lines(os.path.join(src, f"{k}.ndjson"), ['{"msg":"a"}', '{"msg":"b"}'])
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("twice", "path", {"root": src})
+    landed = LogStore.append_manifest
+    failed = []
+
+    def append(self, sid, rows):
+        landed(self, sid, rows)
+        if not failed:
+            failed.append(sid)
+            raise OSError("injected after the markers landed")
+
+    monkeypatch.setattr(LogStore, "append_manifest", append)
+    res = L.load_files(store, spec, [f"{k}.ndjson" for k in range(3)])
+    assert failed and [r.rows_inserted for r in res] == [2, 2, 2]
+    assert store.table(spec).count() == 6
+
+
+def test_failed_move_is_an_error(spark, workdir):
+    import pytest
+
+    with pytest.raises(OSError):
+        fs.Handle(spark, workdir).rename(os.path.join(workdir, "absent"), os.path.join(workdir, "there"))

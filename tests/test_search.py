@@ -10,39 +10,39 @@ def test_filters_on_sample(sample_store):
     store, spec, _, _ = sample_store
     t = store.table(spec)
     n = lambda **kw: len(Q.search(t, spec, **kw).rows)
-    assert n(level="ERROR") == 1
-    assert n(fields={"accession": "A1"}) == 1
-    assert n(fields={"msg": "eco"}) == 2
-    assert n(fields={"msg": "s_cond"}) == 0
-    assert n(text="study%uid") == 0
-    assert n(text="study_uid") == 1
-    assert n(fields={"nope": "x", "level": "ERROR", "time": "2024", "msg": ""}) == 4
-    assert n(time_from=datetime(2024, 1, 2)) == 2
-    assert n(time_to=datetime(2024, 1, 2)) == 2
-    assert n(level="error") == 0
+    assert n(level="ALARM") == 1
+    assert n(fields={"accession": "-11"}) == 1
+    assert n(fields={"msg": "pump st"}) == 2
+    assert n(fields={"msg": "pump%"}) == 0
+    assert n(text="40%bar") == 0
+    assert n(text="40_bar") == 1
+    assert n(fields={"nope": "x", "level": "ALARM", "time": "2024", "msg": ""}) == 4
+    assert n(time_from=datetime(2024, 6, 30, 8, 15)) == 2
+    assert n(time_to=datetime(2024, 6, 30, 8, 15)) == 2
+    assert n(level="alarm") == 0
 
 
 def test_result_rows_and_order(sample_store):
     store, spec, _, _ = sample_store
     res = Q.search(store.table(spec), spec)
     assert not res.has_more
-    assert [r["source_line"] for r in res.rows] == [4, 3, 1, 5]
-    row3 = res.rows[1]
-    assert row3["fields"] == {"msg": "second", "topic": "gateway", "study_uid": "S1"}
-    assert "time" not in row3["fields"] and "level" not in row3["fields"]
+    assert [r["source_line"] for r in res.rows] == [3, 4, 5, 2]
+    row4 = res.rows[1]
+    assert row4["fields"] == {"msg": "pump stalled", "topic": "plant-7", "study_uid": "run_42"}
+    assert not {"time", "level"} & set(row4["fields"])
     assert res.rows[3]["fields"] == {}
 
 
 def test_levels_raw_and_detail(sample_store):
     store, spec, _, _ = sample_store
     t = store.table(spec)
-    assert [r["level"] for r in Q.distinct_levels(t).collect()] == ["ERROR", "INFO", "WARN"]
-    assert Q.raw_line(t, "logs/a.ndjson", 4).startswith('{"time":1704240000')
+    assert [r["level"] for r in Q.distinct_levels(t).collect()] == ["ALARM", "DEBUG", "NOTICE"]
+    assert Q.raw_line(t, "logs/a.ndjson", 3).startswith('{"time":1719835200')
     with pytest.raises(KeyError):
-        Q.raw_line(t, "logs/a.ndjson", 2)
+        Q.raw_line(t, "logs/a.ndjson", 1)
     kv = {(r["source_line"], r["key"]): r["value"] for r in Q.detail_kv(t).collect()}
-    assert kv[(4, "time")] == "1704240000" and kv[(3, ":topic")] == "gateway"
-    assert Q.filtered(t, spec).where(Q.contains_any(["gateway", "A1"])).count() == 2
+    assert kv[(3, "time")] == "1719835200" and kv[(4, ":topic")] == "plant-7"
+    assert Q.filtered(t, spec).where(Q.contains_any(["plant-7", "Q-118"])).count() == 2
 
 
 def test_end_of_day_bound():

@@ -42,6 +42,8 @@ class LogStore:
         self.spark = configure(spark)
         self.root = fs.qualify(spark, root).rstrip("/")
         fs.mkdirs(spark, self.root + "/sources")
+        if not spark.sparkContext.getCheckpointDir():  # loads checkpoint: beside the tables, where all executors can read
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or self.root + "/checkpoints")
 
     # --- paths -------------------------------------------------------------------------------
     def spec_path(self, sid: str) -> str:

@@ -126,10 +126,14 @@ def parse_time_string(s: Column) -> Column:
     return F.coalesce(rfc, space).try_cast("timestamp_ntz")
 
 
+#: Milliseconds beyond which microseconds no longer fit in 64 bits: NULL, not an overflow.
+EPOCH_MILLIS_END = 9.223372036854775e15
+
+
 def epoch_to_ts(f: Column) -> Column:
     """Epoch number in UTC (O-16, T7): above 1e12 milliseconds (integer part), else seconds
     with the fraction kept to the microsecond (floored).  Non-finite or out-of-range -> NULL."""
-    ms = F.when((f > EPOCH_MILLIS_ABOVE) & (f < 9.2e18),
+    ms = F.when((f > EPOCH_MILLIS_ABOVE) & (f < EPOCH_MILLIS_END),
                 F.timestamp_add("MILLISECOND", f.cast("bigint"), _epoch0()))
     sec = f.cast("bigint")
     ns = ((f - sec) * 1e9).cast("bigint")

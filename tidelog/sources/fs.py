@@ -40,8 +40,9 @@ def delete(spark: SparkSession, uri: str, recursive: bool = True) -> bool:
     return bool(_fs(spark, uri).delete(_path(spark, uri), recursive))
 
 
-def rename(spark: SparkSession, src: str, dst: str) -> bool:
-    return bool(_fs(spark, src).rename(_path(spark, src), _path(spark, dst)))
+def rename(spark: SparkSession, src: str, dst: str) -> None:
+    """Move, or raise: Hadoop only returns False on failure."""
+    Handle(spark, src).rename(src, dst)
 
 
 def size_bytes(spark: SparkSession, uri: str) -> int:
@@ -67,7 +68,7 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def write_text(spark: SparkSession, uri: str, text: str) -> None:
-    """Write a small document atomically: temp file, then rename over the target."""
+    """Write a small document: temp file, then one rename that replaces the target."""
     fs = _fs(spark, uri)
     tmp = _path(spark, uri + ".tmp")
     out = fs.create(tmp, True)
@@ -75,10 +76,12 @@ def write_text(spark: SparkSession, uri: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    target = _path(spark, uri)
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(tmp, target)
+    jvm = _jvm(spark)
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    replace = spark.sparkContext._gateway.new_array(kind, 1)
+    replace[0] = kind.OVERWRITE
+    target = fs.makeQualified(_path(spark, uri))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), fs.getConf()).rename(fs.makeQualified(tmp), target, replace)
 
 
 def read_text(spark: SparkSession, uri: str) -> str:
@@ -99,8 +102,10 @@ class Handle:
         self._P = _jvm(spark).org.apache.hadoop.fs.Path
         self.fs = _fs(spark, uri)
 
-    def rename(self, src: str, dst: str) -> bool:
-        return bool(self.fs.rename(self._P(src), self._P(dst)))
+    def rename(self, src: str, dst: str) -> None:
+        """Move, or raise: Hadoop only returns False on failure."""
+        if not self.fs.rename(self._P(src), self._P(dst)):
+            raise OSError(f"can't move {src} to {dst}")
 
     def delete(self, uri: str, recursive: bool = True) -> bool:
         return bool(self.fs.delete(self._P(uri), recursive))
