@@ -195,5 +195,11 @@ def test_error_after_the_markers_does_not_load_twice(spark, workdir, monkeypatch
 def test_failed_move_is_an_error(spark, workdir):
     import pytest
 
-    with pytest.raises(OSError):
-        fs.Handle(spark, workdir).rename(os.path.join(workdir, "absent"), os.path.join(workdir, "there"))
+    class Refuses:
+        def rename(self, src, dst):
+            return False
+
+    h = fs.Handle(spark, workdir)
+    h.fs = Refuses()
+    with pytest.raises(OSError, match="can't move"):
+        h.rename(os.path.join(workdir, "a"), os.path.join(workdir, "b"))
