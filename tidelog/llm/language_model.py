@@ -26,8 +26,10 @@ from tidelog.llm.common import id_remainder, stored, texts
 from tidelog.llm.lattice import MARK, Lattice
 
 DIVISOR, HELD_OUT = 10, 0
-#: Documents in a chunk, about.
-CHUNK = 1000
+#: Documents in a chunk, about; words whose lattices are run together; most frequent words that every task holds.
+CHUNK = 4000
+TOGETHER = 50_000
+FREQUENT = 200_000
 ROUNDS = 2
 SMOOTH = 0.01
 ADD = 0.1
@@ -82,6 +84,19 @@ def _chunk_words(batches):
             yield pd.DataFrame({"chunk": chunk, "word": [w.decode("utf-8", "replace") for w in part], "trained": [counts[w] for w in part]})
 
 
+def _together(batches):
+    """Batches joined to ``TOGETHER`` rows or more, so that many words have one length."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= TOGETHER:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def estimate(types: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Pieces and their scores after ``rounds`` of expectation-maximisation over the distinct words, each counted once.
 
@@ -93,7 +108,7 @@ def estimate(types: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[st
 
         def uses(batches, now=now):
             lattice, total = Lattice(pieces), None
-            for pdf in batches:
+            for pdf in _together(batches):
                 x = lattice.expected(list(pdf["word"]), np.ones(len(pdf)), now.value)
                 total = x if total is None else total + x
             if total is not None:
@@ -107,7 +122,7 @@ def estimate(types: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[st
 
 
 def score_words(types: DataFrame, pieces: list[str], scores: np.ndarray, n: int, v: int, discount: float) -> DataFrame:
-    """word, c, base, score (log10 of both models) of every distinct word."""
+    """word, c, score (log10 of its probability) of every distinct word."""
     kept = types.sparkSession.sparkContext.broadcast((pieces, scores))  # bounded by the vocabulary
 
     def run(batches):
@@ -115,7 +130,7 @@ def score_words(types: DataFrame, pieces: list[str], scores: np.ndarray, n: int,
         lattice = Lattice(pieces)
         begins = np.array([p.startswith(MARK) for p in pieces])
         start = np.exp(scores[:-2][begins]).sum() + np.exp(scores[-1])
-        for pdf in batches:
+        for pdf in _together(batches):
             c = pdf["c"].to_numpy().astype(float)
             words = list(pdf["word"])
             spelt = np.full(len(words), scores[-1] - np.log(start))  # the end, where a word or the end may come
@@ -124,9 +139,9 @@ def score_words(types: DataFrame, pieces: list[str], scores: np.ndarray, n: int,
             if n:
                 with np.errstate(divide="ignore"):
                     spelt = np.logaddexp(np.log(np.maximum(c - discount, 0) / n), np.log(discount * v / n) + spelt)
-            yield pd.DataFrame({"word": words, "c": pdf["c"], "base": np.log10((c + ADD) / (n + ADD * (v + 1))), "score": spelt / math.log(10)})
+            yield pd.DataFrame({"word": words, "c": pdf["c"], "score": spelt / math.log(10)})
 
-    return types.mapInPandas(run, "word string, c long, base double, score double")
+    return types.mapInPandas(run, "word string, c long, score double")
 
 
 def likelihoods(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -145,16 +160,25 @@ def likelihoods(docs: DataFrame, vocab_path: str) -> DataFrame:
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
     pieces, scores = estimate(types.filter(known & (F.col("word") != END)).select("word"), vocab_path)
     weighed = stored(score_words(types, pieces, scores, n, v, discount), "word-scores")
-    by_chunk = held.select("chunk", "word").join(weighed, "word")
+    # The most frequent words, whose number is bounded, go to every task; the others go back to the chunks that hold them.
+    often = types.groupBy("c").count().orderBy(F.desc("c")).limit(FREQUENT).toPandas()
+    least = int(often["c"][often["count"].cumsum() <= FREQUENT].min()) if len(often) and often["count"][0] <= FREQUENT else n + 1
+    top = weighed.filter(F.col("c") >= max(1, least)).toPandas()
+    frequent = docs.sparkSession.sparkContext.broadcast({w.encode(): (c, x) for w, c, x in zip(top["word"], top["c"], top["score"], strict=True)})
+    rare = weighed.filter(F.col("c") < max(1, least)).withColumn("key", F.xxhash64("word"))
+    by_chunk = held.select("chunk", F.xxhash64("word").alias("key")).join(rare.select("key", "word", "c", "score"), "key").drop("key")
 
     def run(key, rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        base, score = (dict(zip(map(str.encode, words["word"]), words[x], strict=True)) for x in ("base", "score"))
-        unknown = set(map(str.encode, words["word"][words["c"] == 0]))
-        out = []
+        found = {w.encode(): (c, x) for w, c, x in zip(words["word"], words["c"], words["score"], strict=True)}
+        common = frequent.value
+        bases, out = {}, []
         for doc, out_of, text in zip(rows["doc_id"].astype("Int64"), rows["held_out"], rows["text"], strict=True):
-            w = [x if x in base else x.decode("utf-8", "replace").encode() for x in words_of(text)]
-            w.append(b"")
-            out.append((doc, out_of, len(w), len(w) - sum(map(unknown.__contains__, w)), n, math.fsum(map(base.__getitem__, w)), math.fsum(map(score.__getitem__, w))))
+            pairs = [common.get(x) or found.get(x) or found[x.decode("utf-8", "replace").encode()] for x in [*words_of(text), b""]]
+            counts = Counter([c for c, _ in pairs])
+            for c in counts:
+                if c not in bases:
+                    bases[c] = math.log10((c + ADD) / (n + ADD * (v + 1)))
+            out.append((doc, out_of, len(pairs), len(pairs) - counts[0], n, math.fsum([bases[c] * k for c, k in counts.items()]), math.fsum([x for _, x in pairs])))
         got = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return got.assign(doc_id=got["doc_id"].astype("Int64"))
 
