@@ -33,6 +33,10 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 
+#: A compacted manifest is cut into files of about this size.
+MANIFEST_FILE_BYTES = 32 * 1024 * 1024
+
+
 class SourceNotFound(KeyError):
     pass
 
@@ -162,18 +166,30 @@ def compact_manifest(store: "LogStore", sid: str, min_files: int = 64) -> bool:
     """Rewrite the manifest as its latest rows once it has many small files (one per load)."""
     h = fs.Handle(store.spark, store.table_dir(sid))
     mdir = store.manifest_dir(sid)
-    files = [n for n in h.names(mdir) if n.endswith(".parquet")]
+    files = [(n, size) for n, size in h.sizes(mdir) if n.endswith(".parquet")]
     if len(files) < min_files:
         return False
-    new = store.table_dir(sid) + "/manifest.new"
+    _replace_manifest(store, sid, store.manifest(sid))
+    return True
+
+
+def forget_files(store: "LogStore", sid: str, names: list[str]) -> None:
+    """Remove the load markers of the named objects, so that the next load replaces their rows."""
+    gone = store.spark.createDataFrame([(n,) for n in names], "file_name string")
+    _replace_manifest(store, sid, store.manifest(sid).join(gone, "file_name", "left_anti"))
+
+
+def _replace_manifest(store: "LogStore", sid: str, rows: DataFrame) -> None:
+    h = fs.Handle(store.spark, store.table_dir(sid))
+    mdir, new = store.manifest_dir(sid), store.table_dir(sid) + "/manifest.new"
+    n_files = 1 + sum(size for _, size in h.sizes(mdir)) // MANIFEST_FILE_BYTES
     h.delete(new, True)
-    store.manifest(sid).repartition(1).write.mode("overwrite").parquet(new)
+    rows.select(*MANIFEST_SCHEMA.fieldNames()).repartition(n_files, "file_name").write.mode("overwrite").parquet(new)
     old = store.table_dir(sid) + "/manifest.old"
     h.delete(old, True)
     h.rename(mdir, old)
     h.rename(new, mdir)
     h.delete(old, True)
-    return True
 
 
 def upsert_latest(manifest: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ SEVERITY = (
     ("debug", ("DEBUG", "TRACE")),
 )
 
-_NUMERIC_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
+#: How Spark prints numbers that aren't finite.
+QUOTED_NUMBERS = ('"Infinity"', '"-Infinity"', '"NaN"')
 
 
 def _epoch0() -> Column:
@@ -73,19 +74,6 @@ def is_valid(v: Column, raw: Column) -> Column:
     return F.coalesce(tail_ok & head_ok, F.lit(False))
 
 
-def key_value(v: Column, key: str) -> Column:
-    """The VARIANT under a top-level key of the line object (NULL when absent)."""
-    if '"' not in key:
-        return F.try_variant_get(v, f'$[0]["{key}"]', "variant")
-    if "'" not in key:
-        return F.try_variant_get(v, f"$[0]['{key}']", "variant")
-    return F.element_at(F.try_variant_get(v, "$[0]", "map<string,variant>"), F.lit(key))
-
-
-def _type_of(x: Column) -> Column:
-    return F.schema_of_variant(x)
-
-
 def wanted_keys(fields) -> list[str]:
     """Every JSON key any field reads, once, in first-use order."""
     return list(dict.fromkeys(k for f in fields for k in f.json_keys))
@@ -100,21 +88,6 @@ def key_struct(v: Column, keys: list[str]) -> Column:
     return F.try_variant_get(v, "$[0]", f"struct<{ddl}>")
 
 
-def text_value(values: list[Column]) -> Column:
-    """First candidate holding a JSON string wins (O-12).  JSON null gives '' and also wins (T2);
-    numbers, booleans, objects, arrays are 'no match' and the next key is tried (T1)."""
-    options = []
-    for x in values:
-        t = _type_of(x)
-        options.append(F.when(t == "STRING", F.variant_get(x, "$", "string"))
-                       .when(t == "VOID", F.lit("")))
-    return F.coalesce(*options) if len(options) > 1 else options[0]
-
-
-def text_field(v: Column, keys) -> Column:
-    return text_value([key_value(v, k) for k in keys])
-
-
 def parse_time_string(s: Column) -> Column:
     """Wall-clock timestamp of an accepted layout; any offset is discarded (O-15, T6, T8)."""
     rfc_ok = s.rlike(RFC3339_PATTERN)
@@ -142,22 +115,6 @@ def epoch_to_ts(f: Column) -> Column:
     return F.coalesce(ms, secs)
 
 
-def time_value(values: list[Column]) -> Column:
-    """First candidate whose value parses wins (O-13, O-14): strings by layout, numbers as epoch.
-    A JSON null or unparsable string does not win (T3, T4); a quoted number is never epoch (T5)."""
-    options = []
-    for x in values:
-        t = _type_of(x)
-        is_num = t.isin(*_NUMERIC_TYPES) | t.startswith("DECIMAL")
-        options.append(F.when(t == "STRING", parse_time_string(F.variant_get(x, "$", "string")))
-                       .when(is_num, epoch_to_ts(F.variant_get(x, "$", "double"))))
-    return F.coalesce(*options) if len(options) > 1 else options[0]
-
-
-def time_field(v: Column, keys) -> Column:
-    return time_value([key_value(v, k) for k in keys])
-
-
 def event_date(time: Column, ingested_at: Column, unit: str = "day") -> Column:
     """Partition key: start of the day (or month) of the retention key, NULL outside the range."""
     d = F.to_date(F.coalesce(time, ingested_at))
@@ -196,26 +153,6 @@ def fields_map(columns: list[str]) -> Column:
     return F.map_filter(m, lambda k, val: val.isNotNull())
 
 
-def extract_columns(v: Column, fields) -> list[Column]:
-    """One output column per field, in definition order, from a parsed line `v`."""
-    out = []
-    for f in fields:
-        if f.column == "time":
-            out.append(time_field(v, f.json_keys).alias(f.column))
-        else:
-            out.append(text_field(v, f.json_keys).alias(f.column))
-    return out
-
-
-def extract_from_struct(s: Column, fields) -> list[Column]:
-    """One output column per field from `key_struct`, as a single projection (small inputs)."""
-    out = []
-    for f in fields:
-        vals = [s.getField(k) for k in f.json_keys]
-        out.append((time_value(vals) if f.column == "time" else text_value(vals)).alias(f.column))
-    return out
-
-
 def extract_df(df, struct_col: str, fields, keep: list[str]):
     """Field extraction as three small projections over materialized intermediates.
 
@@ -239,7 +176,9 @@ def extract_df(df, struct_col: str, fields, keep: list[str]):
         as_str = F.when(F.instr(j, "\\") == 0, F.expr(f"substring(_j{i}, 2, length(_j{i}) - 2)")) \
             .otherwise(F.variant_get(x, "$", "string"))
         if k in text_keys:
-            step1.append(F.when(head == '"', as_str).when(j == "null", F.lit("")).alias(f"_x{i}"))
+            # A number too large for a double prints as a quoted word, yet isn't a string.
+            text = (head == '"') & ~(j.isin(*QUOTED_NUMBERS) & (F.schema_of_variant(x) != "STRING"))
+            step1.append(F.when(text, as_str).when(j == "null", F.lit("")).alias(f"_x{i}"))
         if k in time_keys:
             step1.append(F.when(head == '"', as_str).alias(f"_s{i}"))
             step1.append(F.when(head.rlike("[-0-9]"), j.try_cast("double")).alias(f"_d{i}"))

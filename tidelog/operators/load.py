@@ -4,8 +4,9 @@ One load group = one pair of Spark jobs over many files (split statistics, then
 parallel across file splits.  A group is published in three steps:
 
 1. a journal entry names the group's load id and files;
-2. the rows are written to a staging folder, counted per file there, and the staged files are
-   renamed into the table (names carry the load id);
+2. the rows are written to a staging folder and counted per file there; rows that the table still
+   holds of these files go (a load replaces a file's rows); the staged files are renamed into the
+   table (names carry the load id);
 3. manifest rows are appended (empty valid files included, T30); then the journal entry goes.
 
 A group whose job failed leaves no rows (Spark aborts the write); a crash after step 2 leaves a
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidelog.catalog import LogStore
 from tidelog.functions import extract as X
+from tidelog.operators import partitions as P
 from tidelog.sources import fs, listing
 from tidelog.sources import ndjson as N
 from tidelog.spec import SourceSpec
@@ -57,10 +59,6 @@ def _split_bytes(spark: SparkSession) -> int:
     return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(v)))
 
 
-def _max_splits(files: list[tuple[str, str, int]], split_bytes: int) -> int:
-    return sum(max(1, -(-size // split_bytes)) for _, _, size in files)
-
-
 def plan_groups(files: list[tuple[str, str, int]], split_bytes: int) -> list[list[tuple[str, str, int]]]:
     """Cut (name, path, size) into groups bounded by files, bytes and broadcast size."""
     groups, cur, cur_bytes, cur_split_bytes = [], [], 0, 0
@@ -169,10 +167,14 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
     job = staged_job_id(fs.Handle(spark, stage), stage)
     fs.write_text(spark, journal, json.dumps({"load_id": load_id, "ingested_at": ingested_at.isoformat(),
                                               "files": [n for n, _, _ in group], "job": job}))
+    P.drop_files(store, spec, spark.createDataFrame([(n,) for n, _, _ in group], "source_file string"))
     publish_staged(store, spec, stage)
     summaries, marks = [], []
-    for name, path, _ in group:
+    for name, path, size in group:
         st = per_file.get(path) or per_file.get(fs.qualify(spark, path))
+        if st is None and size > 0:
+            summaries.append(LoadSummary(name, error="Spark's reader gives no line of this object"))
+            continue
         if st is not None and st["max_len"] is not None and st["max_len"] >= X.MAX_LINE_BYTES:
             summaries.append(LoadSummary(name, error="line longer than the 10 MiB limit"))
             continue
@@ -222,6 +224,7 @@ def load_file_list(store: LogStore, spec: SourceSpec, files: list[tuple[str, str
                    now: datetime | None = None) -> list[LoadSummary]:
     """Load (name, path, size) files that are not yet loaded; results in the given order."""
     recover(store, spec)
+    P.recover_swaps(store, spec)
     ingested_at = now or utc_now()
     out: dict[str, LoadSummary] = {}
     for g in plan_groups(files, _split_bytes(store.spark)):
@@ -270,12 +273,15 @@ def pending_files(store: LogStore, spec: SourceSpec, now: datetime | None = None
 
 def sync_source(store: LogStore, spec_or_id, now: datetime | None = None) -> int:
     """Load every new file (O-39); returns how many loaded successfully."""
+    return sum(1 for s in sync_summaries(store, spec_or_id, now) if not s.error)
+
+
+def sync_summaries(store: LogStore, spec_or_id, now: datetime | None = None) -> list[LoadSummary]:
+    """Load every new file; one summary per file, failed ones included."""
     spec = spec_or_id if isinstance(spec_or_id, SourceSpec) else store.get(spec_or_id)
     new = pending_files(store, spec, now).orderBy("name")
     files = [(r["name"], r["path"], r["size"]) for r in new.select("name", "path", "size").toLocalIterator()]
-    if not files:
-        return 0
-    return sum(1 for s in load_file_list(store, spec, files, now) if not s.error)
+    return load_file_list(store, spec, files, now) if files else []
 
 
 def listing_with_flag(store: LogStore, spec: SourceSpec, prefix: str | None = None, now: datetime | None = None):

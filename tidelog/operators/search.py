@@ -19,8 +19,8 @@ from tidelog.spec import SourceSpec
 
 # Fixed values that must match for identical behaviour.
 PAGE_SIZE = 100
-MAX_PICK_VALUES = 10_000
-
+#: Values tested by one expression of a pick list; longer lists are cut into blocks of this size.
+PICK_BLOCK = 1_000
 
 
 def order() -> list[Column]:
@@ -88,6 +88,37 @@ def page(df: DataFrame, spec: SourceSpec, offset: int = 0, size: int = PAGE_SIZE
     return q.limit(size + 1).select(*result_columns(spec))
 
 
+def newest_dates(dates: list[date], below: date | None = None) -> list[date]:
+    """Partition dates newest first, those after `below` left out."""
+    return sorted((d for d in dates if below is None or d <= below), reverse=True)
+
+
+def newest_rows(df: DataFrame, dates: list[date | None], need: int, below: date | None = None) -> DataFrame:
+    """The part of `df` that holds its `need` newest rows, whole date partitions at a time; the result is exact.
+
+    A row with a time sits in the partition of its date, so partitions are taken newest first, twice as many each time,
+    until they hold `need` rows with a time.  Times out of the partition range sit in the NULL partition, always read.  When
+    all partitions together have too few, rows without a time count as well and nothing is left out.  Each probe stops
+    at `need` rows."""
+    days = newest_dates([d for d in dates if d is not None], below)
+    k = 1
+    while k < len(days):
+        cut = F.col("event_date") >= F.lit(days[k - 1])
+        if below is not None:
+            cut = cut & (F.col("event_date") <= F.lit(below))
+        timed = df.where(F.col("time").isNotNull())
+        if timed.where(cut).select(F.lit(1)).limit(need).count() >= need:
+            return timed.where(cut | F.col("event_date").isNull())
+        k *= 2
+    return df
+
+
+def newest_page(df: DataFrame, spec: SourceSpec, dates: list[date | None], offset: int = 0, size: int = PAGE_SIZE) -> DataFrame:
+    """`page` without reading partitions that can't reach it (O-23); `dates`: the table's partition dates."""
+    offset = max(0, int(offset))
+    return page(newest_rows(df, dates, offset + size + 1), spec, offset, size)
+
+
 @dataclass
 class SearchResult:
     rows: list
@@ -95,10 +126,13 @@ class SearchResult:
 
 
 def search(table: DataFrame, spec: SourceSpec, time_from=None, time_to=None, level: str = "",
-           fields: dict | None = None, text: str = "", offset: int = 0, size: int = PAGE_SIZE) -> SearchResult:
-    """Combined search (O-28): at most size + 1 rows reach the driver."""
+           fields: dict | None = None, text: str = "", offset: int = 0, size: int = PAGE_SIZE,
+           dates: list[date | None] | None = None) -> SearchResult:
+    """Combined search (O-28): at most size + 1 rows reach the driver.  With the table's partition dates, partitions
+    too old for the page aren't read."""
     df = filtered(table, spec, time_from=time_from, time_to=time_to, level=level, fields=fields, text=text)
-    rows = page(df, spec, offset, size).collect()
+    found = page(df, spec, offset, size) if dates is None else newest_page(df, spec, dates, offset, size)
+    rows = found.collect()
     return SearchResult(rows[:size], len(rows) > size)
 
 
@@ -107,25 +141,32 @@ def _tie_after(cursor_file: str, cursor_line: int) -> Column:
         (F.col("source_file") == F.lit(cursor_file)) & (F.col("source_line") > F.lit(cursor_line)))
 
 
-def keyset_page(df: DataFrame, spec: SourceSpec, cursor=None, size: int = PAGE_SIZE) -> DataFrame:
+def keyset_page(df: DataFrame, spec: SourceSpec, cursor=None, size: int = PAGE_SIZE,
+                dates: list[date | None] | None = None) -> DataFrame:
     """Next page after a cursor (time, file, line) = the last row of the previous page, in
     (time DESC NULLS LAST, file, line) order (O-25): cost does not grow with depth.
 
     Rows with a time older than the cursor sit in date partitions up to the cursor's date, so
     that branch is pruned; NULL-time rows sit in the partition of their load date, so they are a
     second top-k (Parquet null counts skip row groups without NULL time).  A final top-k merges
-    the two bounded branches."""
+    the two bounded branches.  With the table's partition dates, partitions are taken from the cursor's date
+    downwards until the page is full, and rows without a time are read only where it isn't."""
     def top(d: DataFrame) -> DataFrame:
         return d.orderBy(*order()).limit(size + 1)
 
     if cursor is None:
-        return top(df).select(*result_columns(spec))
+        return top(df if dates is None else newest_rows(df, dates, size + 1)).select(*result_columns(spec))
     ct_val, cf, cl = cursor
     if ct_val is None:
         return top(df.where(F.col("time").isNull() & _tie_after(cf, cl))).select(*result_columns(spec))
     ct = _ntz(ct_val)
     older = (F.col("time") < ct) | ((F.col("time") == ct) & _tie_after(cf, cl))
     prune = (F.col("event_date") <= F.lit(X.unit_start(ct_val.date(), spec.partition_unit))) | F.col("event_date").isNull()
+    if dates is not None:
+        rest = df.where(older)
+        near = newest_rows(rest, dates, size + 1, X.unit_start(ct_val.date(), spec.partition_unit))
+        if near is not rest:
+            return top(near).select(*result_columns(spec))
     timed = top(df.where(older & prune))
     nulls = top(df.where(F.col("time").isNull()))
     return top(timed.unionByName(nulls)).select(*result_columns(spec))
@@ -173,10 +214,10 @@ def detail_kv(df: DataFrame) -> DataFrame:
 
 
 def contains_any(values: list[str], col: str = "raw") -> Column:
-    """Row text contains any of a bounded pick list (O-27 as data), evaluated per row on the JVM."""
+    """Row text contains any value of a pick list of any length (O-27 as data), tested per row on the JVM in blocks."""
     vals = [v for v in dict.fromkeys(values) if v]
-    if len(vals) > MAX_PICK_VALUES:
-        raise ValueError(f"pick list longer than {MAX_PICK_VALUES}")
-    if not vals:
-        return F.lit(False)
-    return F.exists(F.array(*[F.lit(v) for v in vals]), lambda x: F.col(col).contains(x))
+    out = F.lit(False)
+    for k in range(0, len(vals), PICK_BLOCK):
+        block = F.array(*[F.lit(v) for v in vals[k:k + PICK_BLOCK]])
+        out = out | F.exists(block, lambda x: F.col(col).contains(x))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -30,33 +31,42 @@ class MaintenanceReport:
     source_id: str
     files_loaded: int = 0
     retention: R.RetentionResult | None = None
+    reencoded_partitions: int = 0
     reencoded_bytes: int = 0
     errors: list[str] = field(default_factory=list)
 
 
 def run_maintenance(store: LogStore, now: datetime) -> list[MaintenanceReport]:
-    """Load new files, re-encode legacy files, apply retention, then mark polled -- per due
-    source, each step's failure isolated; a source is marked polled even when a step failed."""
-    due = [r["id"] for r in due_sources(store.sources_df(), now).select("id").collect()]
-    reports = []
-    for sid in due:
+    """Per due source: load new files, apply retention, mark polled.  Then every source's files of another codec are
+    re-encoded and its manifest merged.  Each step's failure is isolated and reported, a failed file's too; a source
+    counts as polled even when a step failed.  Sources that only got housekeeping are reported where it did something."""
+    reports = {}
+    for sid in [r["id"] for r in due_sources(store.sources_df(), now).select("id").collect()]:
+        rep = reports[sid] = MaintenanceReport(sid)
         spec = store.get(sid)
-        rep = MaintenanceReport(sid)
         if spec.auto_load:
-            try:
-                rep.files_loaded = L.sync_source(store, spec, now)
-            except Exception as e:  # noqa: BLE001
-                rep.errors.append(f"load: {e}")
-        try:
-            compact_manifest(store, sid)
-            rep.reencoded_bytes = R.reencode(store, spec)
-        except Exception as e:  # noqa: BLE001
-            rep.errors.append(f"reencode: {e}")
+            with _reported(rep, "load"):
+                done = L.sync_summaries(store, spec, now)
+                rep.files_loaded = sum(1 for s in done if not s.error)
+                rep.errors += [f"load: {s.file_name}: {s.error}" for s in done if s.error]
         if spec.retention_days > 0 or spec.max_size_mb > 0:
-            try:
+            with _reported(rep, "retention"):
                 rep.retention = R.apply_retention(store, spec, now)
-            except Exception as e:  # noqa: BLE001
-                rep.errors.append(f"retention: {e}")
         store.mark_polled(sid, now)
-        reports.append(rep)
-    return reports
+    for spec in store.list_sources():
+        rep = reports.get(spec.id) or MaintenanceReport(spec.id)
+        with _reported(rep, "housekeeping"):
+            rep.reencoded_partitions = len(R.legacy_partitions(store, spec.id))
+            rep.reencoded_bytes = R.reencode(store, spec)
+            compact_manifest(store, spec.id)
+        if rep.reencoded_partitions or rep.errors:
+            reports[spec.id] = rep
+    return list(reports.values())
+
+
+@contextmanager
+def _reported(rep: MaintenanceReport, step: str):
+    try:
+        yield
+    except Exception as e:  # noqa: BLE001 - one source's failure must not stop the pass
+        rep.errors.append(f"{step}: {e}")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import extract as X
 from tidelog.operators import load as L
+from tidelog.operators import partitions as P
 from tidelog.operators import retention as R
 from tidelog.operators import search as Q
 from tidelog.operators import stats as S
@@ -436,11 +437,11 @@ def q_migrate_legacy(spark, sf):
 def q_reencode(spark, sf):
     """Partitions written with another codec are rewritten as ZSTD; rows are unchanged (O-44)."""
     store, spec, _ = D.build_source(spark, "events", sf, cache=False)
-    parts = list(R._partitions(store, spec.id))
+    parts = list(P.partitions(store, spec.id))
     staged = f"{store.table_dir(spec.id)}/rewrite/legacy"
     (store.table(spec).write.mode("overwrite").partitionBy("event_date").option("compression", "snappy")
      .parquet(staged))
-    R._swap(store, spec, staged, parts)
+    P.swap(store, spec, staged, parts)
     before = len(R.legacy_partitions(store, spec.id))
     R.reencode(store, spec)
     left = len(R.legacy_partitions(store, spec.id))

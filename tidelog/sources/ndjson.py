@@ -18,6 +18,8 @@ at most sum(ceil(size / split_bytes)) rows, which the caller checks before loadi
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,11 +29,21 @@ from tidelog.functions import extract as X
 SPLIT_COLS = ["source_path", "split_start"]
 
 
+def object_path() -> Column:
+    """Path of the scanned object as the listing reports it: `_metadata` percent-encodes special characters."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def literal_path(path: str) -> str:
+    """A path that Spark's readers take as it is, not as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every line of the files as (source_path, split_start, rid, value); '\\n' separated only."""
-    df = spark.read.option("lineSep", "\n").text(paths)
+    df = spark.read.option("lineSep", "\n").text([literal_path(p) for p in paths])
     return df.select(
-        F.col("_metadata.file_path").alias("source_path"),
+        object_path().alias("source_path"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("rid"),
         F.col("value"),

@@ -2,13 +2,14 @@
 
 The stream is over the *listing*, not the lines: a `binaryFile` stream with the content column
 pruned delivers each new object once; `foreachBatch` runs the batch loader on those names
-(anti-joined with the manifest, so a replayed batch is harmless).  Line numbering needs a batch
+(anti-joined with the manifest, so a replayed batch is harmless).  Files that fail are recorded and
+tried again with the next batch; the stream goes on.  Line numbering needs a batch
 read, which is why lines are not streamed directly.  No watermark: a late file is still loaded.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,14 @@ from tidelog.sources import fs, listing
 LISTING_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-class LoadFailed(RuntimeError):
-    pass
+def failed_files(store: LogStore, sid: str) -> dict[str, str]:
+    """Names that the stream could not load, with their errors; they are tried again with every batch."""
+    p = _failures(store, sid)
+    return json.loads(fs.read_text(store.spark, p)) if fs.exists(store.spark, p) else {}
+
+
+def _failures(store: LogStore, sid: str) -> str:
+    return f"{store.table_dir(sid)}/autoload-failures.json"
 
 
 def _batch_loader(store: LogStore, sid: str):
@@ -37,12 +44,14 @@ def _batch_loader(store: LogStore, sid: str):
         cand = listing.filter_by_age(cand, spec.load_days_back)
         cand = listing.new_files(cand, store.manifest_raw(spec.id)).orderBy("name")
         files = [(r["name"], r["path"], r["size"]) for r in cand.toLocalIterator()]
-        if not files:
-            return
-        failed = [s for s in L.load_file_list(store, spec, files) if s.error]
-        if failed:
-            # Replay the batch: the manifest makes already loaded files a no-op.
-            raise LoadFailed("; ".join(f"{s.file_name}: {s.error}" for s in failed[:5]))
+        before = failed_files(store, sid)
+        again = [n for n in before if n not in {f[0] for f in files}]
+        done = L.load_file_list(store, spec, files) if files else []
+        done += L.load_files(store, spec, again) if again else []
+        # A bad file is kept for the next batch and never holds up the others.
+        failed = {s.file_name: s.error for s in done if s.error}
+        if failed or before:
+            fs.write_text(store.spark, _failures(store, sid), json.dumps(failed))
     return run
 
 
