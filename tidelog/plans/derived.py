@@ -27,6 +27,8 @@ from tidelog.spec import Field, default_fields
 
 EVENTS_PER_FILE = 1000
 ORDERS_PER_FILE = 2000
+#: Beyond the 10 MiB that a line may have.
+LONG_LINE = 11 * 1024 * 1024
 
 _CACHE: dict = {}
 
@@ -157,6 +159,11 @@ def build_source(spark: SparkSession, kind: str, sf_dir: str, fields=None, load:
     objects = f"{area}/objects"
     if kind == "events":
         lines = _events_lines_named(spark, sf_dir)
+    elif kind == "odd_names":
+        lines = _events_lines_named(spark, sf_dir).withColumn("name", F.replace("name", F.lit("app-"), F.lit("a b+c%20[x]{y}-")))
+    elif kind == "long_line":
+        lines = _events_lines_named(spark, sf_dir).withColumn("line", F.when(
+            F.col("k") == 0, _cat('{"msg":"', F.repeat(F.lit("x"), LONG_LINE), '"}')).otherwise(F.col("line")))
     elif kind == "orders":
         orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
         n = orders.count()

@@ -7,7 +7,7 @@ of generated lines, except the key/value detail view).  Column names and types m
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,7 +165,7 @@ def q_time_range(spark, sf):
 
 def q_level_equals(spark, sf):
     _, spec, t = _events(spark, sf)
-    return _keys(Q.filtered(t, spec, level="ERROR")).withColumn("level", F.lit("ERROR"))
+    return Q.filtered(t, spec, level="ERROR").select("source_file", "source_line", "level")
 
 
 def q_field_contains(spark, sf):
@@ -195,14 +195,34 @@ def q_unknown_field_ignored(spark, sf):
     return _keys(Q.filtered(t, spec, level="WARN", fields={"nope": "x", "time": "2024", "level": "ERROR", "msg": ""}))
 
 
+def _dates(store: LogStore, spec) -> list:
+    return list(P.partitions(store, spec.id).values())
+
+
 def q_newest_page(spark, sf):
-    _, spec, t = _events(spark, sf)
-    return _page_cols(Q.page(t, spec, 0))
+    store, spec, t = _events(spark, sf)
+    return _page_cols(Q.newest_page(t, spec, _dates(store, spec), 0))
 
 
 def q_second_page(spark, sf):
-    _, spec, t = _events(spark, sf)
-    return _page_cols(Q.page(t, spec, 100))
+    store, spec, t = _events(spark, sf)
+    return _page_cols(Q.newest_page(t, spec, _dates(store, spec), 100))
+
+
+def q_combined_search(spark, sf):
+    """One search with every kind of filter, and whether more rows follow."""
+    store, spec, t = _events(spark, sf)
+    res = Q.search(t, spec, time_from=datetime(2024, 1, 2), time_to=datetime(2024, 1, 28), level="ERROR", fields={"msg": "user_"},
+                   text="error", dates=_dates(store, spec))
+    rows = [(r["time"], r["level"], r["source_file"], r["source_line"], res.has_more) for r in res.rows]
+    return spark.createDataFrame(rows, "time timestamp_ntz, level string, source_file string, source_line int, has_more boolean")
+
+
+def q_original_lines(spark, sf):
+    """The original line of each of the newest three rows, by the point lookup."""
+    store, spec, t = _events(spark, sf)
+    keys = [(r["source_file"], r["source_line"]) for r in Q.search(t, spec, size=3, dates=_dates(store, spec)).rows]
+    return spark.createDataFrame([(f, n, Q.raw_line(t, f, n)) for f, n in keys], "source_file string, source_line int, raw string")
 
 
 def _nonnull_count(t: DataFrame) -> int:
@@ -217,10 +237,10 @@ def q_deep_page(spark, sf):
 def q_keyset_page(spark, sf):
     """Cursor = last row of the page that ends 50 rows before the NULL-time tail; the next page
     crosses from timed rows into the NULL-time rows."""
-    _, spec, t = _events(spark, sf)
+    store, spec, t = _events(spark, sf)
     k = max(0, _nonnull_count(t) - 51)
     cur = Q.page(t, spec, k, size=0).collect()[0]
-    return _page_cols(Q.keyset_page(t, spec, (cur["time"], cur["source_file"], cur["source_line"])))
+    return _page_cols(Q.keyset_page(t, spec, (cur["time"], cur["source_file"], cur["source_line"]), dates=_dates(store, spec)))
 
 
 def q_end_of_day_bound(spark, sf):
@@ -281,8 +301,7 @@ def _items(spark, sf, fresh=False, **kw):
 
 def q_range_counts(spark, sf):
     store, spec, _ = _items(spark, sf)
-    return (store.table(spec).groupBy(F.to_date("time").alias("day"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")))
+    return S.range_counts(store.table(spec)).select(F.to_date("bucket").alias("day"), "n_rows")
 
 
 CUTOFF_FRACTIONS = (0.1, 0.33, 0.5)
@@ -459,6 +478,119 @@ def q_autoload_stream(spark, sf):
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")))
 
 
+def q_reload_replaces(spark, sf):
+    """Every second file's marker goes; the next load replaces the rows of those files."""
+    from tidelog.catalog import forget_files
+    store, spec, _ = D.build_source(spark, "orders", sf, cache=False)
+    names = sorted(r["file_name"] for r in store.manifest(spec.id).select("file_name").collect())
+    forget_files(store, spec.id, names[::2])
+    L.sync_source(store, spec)
+    return (store.table(spec).groupBy(F.col("source_file").alias("name"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")))
+
+
+def _summaries(spark, done) -> DataFrame:
+    rows = [(s.file_name, s.rows_inserted, s.lines_skipped, bool(s.error)) for s in done]
+    return spark.createDataFrame(rows, "file_name string, rows_inserted bigint, lines_skipped bigint, has_error boolean")
+
+
+def q_load_summary_counts(spark, sf):
+    """Inserted and skipped lines of every file as the loader itself reports them."""
+    store, spec, _ = D.build_source(spark, "events", sf, load=False, cache=False)
+    return _summaries(spark, L.sync_summaries(store, spec))
+
+
+def q_odd_object_names(spark, sf):
+    """Objects whose names hold spaces, plus and percent signs and pattern characters: rows under their own names."""
+    store, spec, _ = D.build_source(spark, "odd_names", sf, load=False, cache=False)
+    done = _summaries(spark, L.sync_summaries(store, spec))
+    held = store.table(spec).groupBy(F.col("source_file").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return done.join(held, "file_name", "left")
+
+
+def q_long_line_rejected(spark, sf):
+    """The first object holds one line of over 10 MiB: that file is an error, without rows or marker."""
+    store, spec, _ = D.build_source(spark, "long_line", sf, load=False, cache=False)
+    done = _summaries(spark, L.sync_summaries(store, spec)).select("file_name", "has_error")
+    held = store.table(spec).groupBy(F.col("source_file").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    marked = store.manifest(spec.id).select("file_name", F.lit(True).alias("m"))
+    return (done.join(held, "file_name", "left").join(marked, "file_name", "left")
+            .select("file_name", "has_error", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("m").isNotNull().alias("marked")))
+
+
+def q_autoload_with_bad_file(spark, sf):
+    """The same objects by the stream: the bad one is recorded, the others arrive."""
+    from tidelog.streaming.autoload import failed_files, start_autoload
+    store, spec, _ = D.build_source(spark, "long_line", sf, load=False, cache=False)
+    start_autoload(store, spec.id, available_now=True).awaitTermination()
+    held = store.table(spec).groupBy(F.col("source_file").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    bad = spark.createDataFrame([(n, 0) for n in failed_files(store, spec.id)], "file_name string, n_rows bigint")
+    return held.unionByName(bad)
+
+
+def q_epoch_bounds(spark, sf):
+    """Seconds, milliseconds, and numbers that no timestamp can hold: those give no time and cost no other line."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    c = F.col("event_id") % 5
+    num = (F.when(c == 0, F.floor(us / 1000000)).when(c == 1, F.floor(us / 1000)).when(c == 2, us * 1000)
+           .when(c == 3, F.lit(9300000000000000)).otherwise(F.lit(100000000000)).cast("bigint"))
+    lines = ev.select("event_id", F.concat(F.lit('{"time":'), num.cast("string"), F.lit("}")).alias("raw"))
+    return N.parse_lines_df(lines, [Field("time", ("time",), True)]).select("event_id", "time")
+
+
+def q_age_filter(spark, sf):
+    """Objects no older than the age limit, at three clock times: now, within the limit, beyond it."""
+    store, spec, _ = D.build_source(spark, "orders", sf, load=False, cache=False)
+    spec.load_days_back = 3
+    now = L.utc_now()
+    rows = [(d, L.pending_files(store, spec, now + timedelta(days=d)).count()) for d in (0, 2, 10)]
+    return spark.createDataFrame(rows, "days_later int, n_files bigint")
+
+
+def _nation_sources(spark, sf):
+    """A catalogue with one source per nation; a few dozen by nature of the table."""
+    store = LogStore(spark, D.new_area(spark, "nations") + "/store")
+    for r in spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect():
+        store.create_source(r["n_name"], "path", {"root": f"{store.root}/none"}, prefix=f"r{r['n_regionkey']}/",
+                            retention_days=r["n_nationkey"])
+    return store
+
+
+def q_define_source(spark, sf):
+    """Definitions as they are read back from the catalogue."""
+    specs = _nation_sources(spark, sf).list_sources()
+    return spark.createDataFrame([(s.name, s.prefix, s.retention_days, len(s.fields)) for s in specs],
+                                 "name string, prefix string, retention_days int, n_fields int")
+
+
+def q_sources_report(spark, sf):
+    return _nation_sources(spark, sf).sources_df().select("name", "source_type", "prefix", "retention_days", "size_bytes")
+
+
+def q_drop_source(spark, sf):
+    """Sources of one region are dropped; the others and their tables stay."""
+    store = _nation_sources(spark, sf)
+    for s in store.list_sources():
+        if s.prefix == "r0/":
+            store.delete_source(s.id)
+    rows = [(s.name, D.fs.exists(spark, store.table_dir(s.id))) for s in store.list_sources()]
+    return spark.createDataFrame(rows, "name string, has_table boolean")
+
+
+def q_maintenance_pass(spark, sf):
+    """One pass over a source with auto-load and age expiry: what it reports and what is left."""
+    from tidelog.plans.maintenance import run_maintenance
+    store, spec, _ = D.build_source(spark, "orders", sf, load=False, cache=False)
+    spec.auto_load, spec.retention_days = True, RETENTION_DAYS
+    store.save(spec)
+    rep = run_maintenance(store, RETENTION_NOW)[0]
+    t = store.table(spec)
+    return t.groupBy("level").agg(F.count(F.lit(1)).alias("n_rows"), F.min("time").alias("min_time")).select(
+        "*", F.lit(rep.files_loaded).cast("bigint").alias("files_loaded"), F.lit(rep.retention.rows_deleted).cast("bigint").alias("n_deleted"),
+        F.lit(len(rep.errors)).cast("bigint").alias("n_errors"))
+
+
 # --- oracle SQL (DuckDB) -----------------------------------------------------------------------
 def _page_sql(lo: str, hi: str) -> str:
     """Rows ranked lo < rn <= hi in page order (lo/hi are SQL expressions over nn = timed rows)."""
@@ -580,6 +712,45 @@ ORACLE = {
     "reencode": _ev("SELECT source_file, source_line, level, CAST(1 AS BIGINT) AS legacy_before, "
                     "CAST(0 AS BIGINT) AS legacy_left FROM rows"),
     "autoload_stream": "WITH " + _ORDERS_NAMES + "SELECT name, CAST(count(*) AS BIGINT) AS n_rows FROM named GROUP BY name",
+    "reload_replaces": "WITH " + _ORDERS_NAMES + "SELECT name, CAST(count(*) AS BIGINT) AS n_rows FROM named GROUP BY name",
+    "combined_search": _ev(
+        ", hits AS (SELECT time, level, source_file, source_line, row_number() OVER (ORDER BY " + PAGE_ORDER_SQL + ") AS rn, "
+        "count(*) OVER () > 100 AS has_more FROM rows WHERE time BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-28' "
+        "AND level = 'ERROR' AND contains(msg, 'user_') AND contains(raw, 'error')) "
+        "SELECT time, level, source_file, source_line, has_more FROM hits WHERE rn <= 100"),
+    "original_lines": _ev("SELECT source_file, source_line, raw FROM rows ORDER BY " + PAGE_ORDER_SQL + " LIMIT 3"),
+    "load_summary_counts": _ev(
+        "SELECT source_file AS file_name, CAST(count(*) FILTER (c NOT IN (4, 5)) AS BIGINT) AS rows_inserted, "
+        "CAST(count(*) FILTER (c = 4) AS BIGINT) AS lines_skipped, false AS has_error FROM lines GROUP BY source_file"),
+    "odd_object_names": _ev(
+        "SELECT replace(source_file, 'app-', 'a b+c%20[x]{y}-') AS file_name, CAST(count(*) FILTER (c NOT IN (4, 5)) AS BIGINT) AS rows_inserted, "
+        "CAST(count(*) FILTER (c = 4) AS BIGINT) AS lines_skipped, false AS has_error, "
+        "CAST(count(*) FILTER (c NOT IN (4, 5)) AS BIGINT) AS n_rows FROM lines GROUP BY source_file"),
+    "long_line_rejected": _ev(
+        "SELECT source_file AS file_name, source_file = 'logs/app-00000.ndjson' AS has_error, "
+        "CAST(count(*) FILTER (c NOT IN (4, 5) AND source_file <> 'logs/app-00000.ndjson') AS BIGINT) AS n_rows, "
+        "source_file <> 'logs/app-00000.ndjson' AS marked FROM lines GROUP BY source_file"),
+    "autoload_with_bad_file": _ev(
+        "SELECT source_file AS file_name, CAST(count(*) FILTER (c NOT IN (4, 5) AND source_file <> 'logs/app-00000.ndjson') AS BIGINT) "
+        "AS n_rows FROM lines GROUP BY source_file"),
+    "epoch_bounds": (
+        "SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('millisecond', ts) "
+        "WHEN 4 THEN make_timestamp(100000000000 * 1000000) END AS time FROM events"),
+    "age_filter": (
+        "WITH " + _ORDERS_NAMES + ", f AS (SELECT count(DISTINCT name) AS n FROM named) "
+        "SELECT CAST(d AS INTEGER) AS days_later, CAST(CASE WHEN d <= 3 THEN n ELSE 0 END AS BIGINT) AS n_files "
+        "FROM f, (VALUES (0), (2), (10)) v(d)"),
+    "define_source": ("SELECT n_name AS name, 'r' || CAST(n_regionkey AS VARCHAR) || '/' AS prefix, "
+                      "CAST(n_nationkey AS INTEGER) AS retention_days, CAST(6 AS INTEGER) AS n_fields FROM nation"),
+    "sources_report": ("SELECT n_name AS name, 'path' AS source_type, 'r' || CAST(n_regionkey AS VARCHAR) || '/' AS prefix, "
+                       "CAST(n_nationkey AS INTEGER) AS retention_days, CAST(0 AS BIGINT) AS size_bytes FROM nation"),
+    "drop_source": "SELECT n_name AS name, true AS has_table FROM nation WHERE n_regionkey <> 0",
+    "maintenance_pass": (
+        "WITH " + _ORDERS_NAMES + f", cut AS (SELECT TIMESTAMP '{RETENTION_NOW.isoformat(sep=' ')}' - INTERVAL {RETENTION_DAYS} DAY AS t), "
+        "n AS (SELECT count(DISTINCT name) AS f, count(*) FILTER (CAST(o_orderdate AS TIMESTAMP) < t) AS d FROM named, cut) "
+        "SELECT o_orderstatus AS level, CAST(count(*) AS BIGINT) AS n_rows, min(CAST(o_orderdate AS TIMESTAMP)) AS min_time, "
+        "CAST(any_value(f) AS BIGINT) AS files_loaded, CAST(any_value(d) AS BIGINT) AS n_deleted, CAST(0 AS BIGINT) AS n_errors "
+        "FROM named, cut, n WHERE CAST(o_orderdate AS TIMESTAMP) >= t GROUP BY o_orderstatus"),
 }
 
 QUERIES = {
@@ -625,6 +796,19 @@ QUERIES = {
     "migrate_legacy": q_migrate_legacy,
     "reencode": q_reencode,
     "autoload_stream": q_autoload_stream,
+    "combined_search": q_combined_search,
+    "original_lines": q_original_lines,
+    "reload_replaces": q_reload_replaces,
+    "load_summary_counts": q_load_summary_counts,
+    "odd_object_names": q_odd_object_names,
+    "long_line_rejected": q_long_line_rejected,
+    "autoload_with_bad_file": q_autoload_with_bad_file,
+    "epoch_bounds": q_epoch_bounds,
+    "age_filter": q_age_filter,
+    "define_source": q_define_source,
+    "sources_report": q_sources_report,
+    "drop_source": q_drop_source,
+    "maintenance_pass": q_maintenance_pass,
 }
 
 
