@@ -124,3 +124,26 @@ def test_line_chunks_match_brute_force(spark):
     kept = Counter(line for t in out.values() for line in t.split("\n") if line.startswith("shared"))
     # The passage's inner chunks stay once; its ends share a chunk with what is around them.
     assert sum(1 for n in kept.values() if n == 1) >= 3 and all(set(f"own {k} {j}" for j in range(k % 4)) <= set(out[k].split("\n")) for k in out)
+
+
+def test_planted_passages_inside_lines_go(spark):
+    """Passages of 50 to 100 words, on one line among other words, in two different texts each."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abdeghilnorstu"), rng.integers(2, 8))) for _ in range(3000)]
+
+    def run(n):
+        return " ".join(w + ("." if rng.random() < 0.1 else "") for w in rng.choice(vocabulary, n))
+
+    passages = [run(50 + k % 51) for k in range(60)]
+    own = [(run(30), run(30)) for _ in range(120)]
+    rows = [(k, f"{own[k][0]} {passages[k % 60]} {own[k][1]}") for k in range(120)]
+    rows.append((None, "apart\n\n  from that\n"))
+    out = {r["doc_id"]: r for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(out[i]["text"] == t for i, t in rows[:60] + rows[-1:])
+    kept = []
+    for i, t in rows[60:120]:
+        a, b = own[i]
+        left = out[i]["text"]
+        assert left.startswith(a) and left.rstrip().endswith(b), left
+        kept.append((len(left.split()) - 60) / len(passages[i - 60].split()))
+    assert max(kept) < 1 and sum(kept) / len(kept) < 0.2, kept

@@ -1,8 +1,10 @@
-"""Content-defined line chunks (operator 10), in DataFrame operations only.
+"""Content-defined chunks of lines and of parts of lines (operator 10), in DataFrame operations only.
 
-A text's lines are hashed; a rolling hash over ``WINDOW`` line hashes ends a chunk wherever it hits a residue, so a
-shared passage is cut at the same lines wherever it lies.  A chunk of several lines that occurs again anywhere,
-in the same or another document, is removed after its text was compared with the first one's, byte for byte.
+A text is cut into units: short runs of words inside a line, ended by what the last word ends with, by a sentence's end or by
+the line's.  A chunk ends at a unit whose hash is the least among its neighbours' (ends of lines and sentences go before
+others), so a shared passage is cut at the same places wherever it lies.  A chunk of several units that occurs again anywhere,
+in the same or another document, is removed after its text was compared with the first one's, byte for byte, and with
+it the words beside it, up to the next chunk's end, that stand beside the first one too.
 The first occurrence (smallest doc_id, then place) stays.
 """
 
@@ -13,55 +15,115 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import stored, texts
 
-#: Lines whose hashes decide on a boundary, and chunks' mean length in lines.
-WINDOW, MEAN = 2, 4
-#: Chunks of fewer lines, or of fewer words, stay.
-LEAST_LINES, LEAST_WORDS = 2, 8
+#: A unit ends at a line feed, or at blanks after one of these; scripts without blanks: after one of the second kind.
+AFTER, UNSPACED = ".!?;:,dtDT05аиαιهי", "。！？，、；：的了是在のにはをがで"
+#: Characters of a unit at most.
+LONGEST = 160
+UNIT = f"[^\\n]{{0,{LONGEST}}}?(?:\\n|(?<=[{AFTER}])[ \\t\\r]+(?![ \\t\\r])|[{UNSPACED}])|[^\\n]{{1,{LONGEST}}}"
+#: Chunks of fewer units, or of fewer words, are not looked up.
+LEAST_UNITS, LEAST_WORDS = 2, 8
+BLANKS = " \t\r\n"
+
+
+def _units(text: Column) -> Column:
+    """text -> array of its units, which joined give the text; an empty text is one empty unit."""
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
 
 
 def _chunks(text: Column) -> Column:
-    """text -> array of (lines, text) of its chunks, in order; each boundary hangs on the hashes of ``WINDOW`` lines alone."""
-    lines = F.split(text, "\n")
+    """text -> array of (units, text) of its chunks, in order, which joined give the text; each end hangs on three units alone."""
+    def rank(u: Column) -> Column:
+        kind = F.when(F.endswith(u, F.lit("\n")), 0).when(F.substring(u, -2, 2).isin(". ", "! ", "? "), 1).otherwise(2)
+        return F.xxhash64(u).bitwiseAND(F.lit((1 << 40) - 1)) + F.lit(1 << 40) * kind
 
     def cut(own: Column) -> Column:
-        def hashes(h: Column) -> Column:
-            rolled = F.transform(h, lambda x, i: sum((F.coalesce(F.get(h, i - k), F.lit(0)) * (2 * k + 1) for k in range(1, WINDOW)), x))
-            ends = F.filter(F.transform(rolled, lambda x, i: F.when((F.pmod(F.xxhash64(x), F.lit(MEAN)) == 0) | (i == F.size(h) - 1), i)), lambda e: e.isNotNull())
+        def ranked(h: Column) -> Column:
+            def is_end(x: Column, i: Column) -> Column:
+                return (i == F.size(h) - 1) | ((i > 0) & (x < F.get(h, i - 1)) & (x <= F.get(h, i + 1)))
+
+            ends = F.filter(F.transform(h, lambda x, i: F.when(is_end(x, i), i)), lambda e: e.isNotNull())
             return F.transform(F.array(ends), lambda e: F.transform(e, lambda end, k: F.struct(
                 (F.when(k == 0, -1).otherwise(F.get(e, k - 1)) + 1).alias("first"), end.alias("last"))))[0]
 
-        spans = F.transform(F.array(F.transform(own, lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 40) - 1)))), hashes)[0]
-        return F.transform(spans, lambda s: F.struct((s["last"] - s["first"] + 1).alias("lines"),
-                                                     F.array_join(F.slice(own, s["first"] + 1, s["last"] - s["first"] + 1), "\n").alias("text")))
+        spans = F.transform(F.array(F.transform(own, rank)), ranked)[0]
+        return F.transform(spans, lambda s: F.struct((s["last"] - s["first"] + 1).alias("units"),
+                                                     F.array_join(F.slice(own, s["first"] + 1, s["last"] - s["first"] + 1), "").alias("text")))
+
+    return F.transform(F.array(_units(text)), cut)[0]
+
+
+def _trimmed(text: Column) -> Column:
+    return F.rtrim(text, F.lit(BLANKS))
+
 
-    return F.transform(F.array(lines), cut)[0]
+def _words(text: Column) -> Column:
+    """text -> array of its words, each with the white space after it."""
+    return F.split(text, "(?<=\\s)(?=\\S)")
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many members at the start of two arrays are equal, one by one."""
+    same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))
+    return F.transform(F.array(same), lambda s: F.when(F.array_contains(s, False), F.array_position(s, False) - 1).otherwise(F.size(s)).cast("int"))[0]
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_chunks, removed_chunks, removed_lines, left_lines: one row for each row of ``docs``.
 
-    Lines are cut at line feeds; an empty or null text is one empty line.  Rows that share a doc_id are told apart by a hash
+    Lines are cut at line feeds; an empty or null text is one empty line.  ``removed_lines`` are the lines that the text has
+    fewer, ``removed_chunks`` the chunks removed whole.  Where the last chunk goes, the white space before it goes too.
+    Rows that share a doc_id are told apart by a hash
     of their text; rows equal in both are repeats of one another, and what is removed from one is removed from all
     but is counted as one occurrence.  A null doc_id comes first.  Empty table: no rows.  Extra columns are not read.
     """
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
     chunked = rows.select("doc_id", "h", F.posexplode(_chunks(F.col("text"))).alias("place", "chunk"))
-    words = F.size(F.split(F.trim(F.regexp_replace(F.col("chunk.text"), "\\s+", " ")), " "))
-    several = chunked.filter((F.col("chunk.lines") >= LEAST_LINES) & (words >= LEAST_WORDS))
-    several = several.select("doc_id", "h", "place", F.col("chunk.lines").cast("long").alias("lines"), F.unhex(F.sha2(F.col("chunk.text").cast("binary"), 256)).alias("digest"), F.col("chunk.text").alias("body"))
-    where = F.struct("doc_id", "h", "place").alias("at")
-    seen = several.select("digest", where).groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    words = F.size(F.split(F.trim(F.col("chunk.text"), F.lit(BLANKS)), "\\s+"))
+    several = chunked.filter((F.col("chunk.units") >= LEAST_UNITS) & (words >= LEAST_WORDS))
+    # The hash only finds candidates, whose texts are compared.
+    several = several.select(F.xxhash64(_trimmed(F.col("chunk.text"))).alias("digest"), F.struct("doc_id", "h", "place").alias("at"))
+    seen = several.groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     repeated = stored(seen.filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "repeated-chunks")
-    copies = stored(several.join(repeated.hint("merge"), "digest"), "chunk-copies")
-    is_first = F.struct("doc_id", "h", "place").eqNullSafe(F.col("first"))
-    bodies = stored(copies.filter(is_first).groupBy("digest").agg(F.min("body").alias("first_body")), "first-chunks")
-    equal = copies.filter(~is_first).join(bodies, "digest").filter(F.col("body") == F.col("first_body"))
-    removed = stored(equal.groupBy("doc_id", "h").agg(F.collect_set("place").alias("places")).select(
-        F.col("doc_id").alias("from_id"), F.col("h").alias("from_h"), "places"), "removed-chunks")
-    found = rows.join(removed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("h") == F.col("from_h")), "left")
-    found = found.select("doc_id", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.transform(F.array(_chunks(F.col("text"))), lambda c: c)[0].alias("chunks"))
-    left = F.filter("chunks", lambda c, k: ~F.array_contains("places", k))
-    lines = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + c["lines"])
-    found = found.select("doc_id", F.array_join(F.transform(left, lambda c: c["text"]), "\n").alias("text"), lines.alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"),
-                         F.size("places").cast("long").alias("removed_chunks"), F.aggregate(left, F.lit(0).cast("long"), lambda n, c: n + c["lines"]).alias("left_lines"))
-    return found.withColumn("removed_lines", F.col("n_lines") - F.col("left_lines"))
+    copies = stored(several.join(repeated.hint("merge"), "digest").select("at", "first"), "chunk-copies")
+    is_first = F.col("at").eqNullSafe(F.col("first"))
+
+    # The texts of repeated chunks, first ones too, and of the chunks beside them.
+    wanted = copies.groupBy(F.col("at.doc_id").alias("from_id"), F.col("at.h").alias("from_h")).agg(F.collect_set("at.place").alias("places"))
+    of_row = F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("h") == F.col("from_h"))
+    inside = rows.join(wanted.hint("merge"), of_row).select("doc_id", "h", F.transform(F.array(_chunks(F.col("text"))), lambda c: F.transform("places", lambda p: F.struct(
+        p.alias("place"), _trimmed(F.get(c, p)["text"]).alias("body"),
+        F.coalesce(F.get(c, p - 1)["text"], F.lit("")).alias("before"), F.coalesce(F.get(c, p + 1)["text"], F.lit("")).alias("after"))))[0].alias("all"))
+    bodies = inside.select("doc_id", "h", F.explode("all").alias("c"))
+    bodies = stored(bodies.select(F.struct("doc_id", "h", F.col("c.place").alias("place")).alias("at"), "c.body", "c.before", "c.after").dropDuplicates(["at"]), "chunk-texts")
+    firsts = bodies.select(F.col("at").alias("first"), *[F.col(x).alias(f"first_{x}") for x in ("body", "before", "after")])
+    equal = copies.filter(~is_first).dropDuplicates(["at"]).join(bodies, "at").join(firsts, "first").filter(F.col("body") == F.col("first_body"))
+    trimmed = [F.transform(_words(F.col(x)), _trimmed) for x in ("after", "first_after")]
+    equal = equal.select("at", F.struct(F.col("at.place").alias("place"), _common(F.reverse(_words(F.col("before"))), F.reverse(_words(F.col("first_before")))).alias("left"),
+                                        _common(*trimmed).alias("right")).alias("cut"))
+    # A first occurrence stays whole: no words go from it with the chunk beside it.
+    marks = equal.select("at", "cut").unionByName(copies.filter(is_first).select("at").distinct(), allowMissingColumns=True)
+    removed = stored(marks.groupBy(F.col("at.doc_id").alias("from_id"), F.col("at.h").alias("from_h")).agg(
+        F.collect_list("cut").alias("cuts"), F.collect_list(F.when(F.col("cut").isNull(), F.col("at.place"))).alias("whole")), "removed-chunks")
+    found = rows.join(removed.hint("merge"), of_row, "left").withColumn("chunks", _chunks(F.col("text")))
+
+    none = F.array().cast("array<int>")
+    found = found.select("doc_id", F.col("text").alias("old"), "chunks", F.coalesce("cuts.place", none).alias("places"), F.coalesce("cuts.left", none).alias("lefts"),
+                         F.coalesce("cuts.right", none).alias("rights"), F.coalesce("whole", none).alias("whole"))
+
+    def less(c: Column, k: Column) -> Column:
+        """A chunk's text without the words that go with the chunks beside it."""
+        at = [F.array_position("places", k + d).cast("int") for d in (-1, 1)]
+        head, tail = [F.when(at[0] > 0, F.get("rights", at[0] - 1)).otherwise(0), F.when(at[1] > 0, F.get("lefts", at[1] - 1)).otherwise(0)]
+        cut = F.transform(F.array(_words(c["text"])), lambda w: F.array_join(F.slice(w, head + 1, F.greatest(F.size(w) - head - tail, F.lit(0))), ""))[0]
+        return F.when(F.array_contains("places", k), "").when(F.array_contains("whole", k) | (head + tail == 0), c["text"]).otherwise(cut)
+
+    def lines_in(text: Column) -> Column:
+        return (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+    left = F.when(F.size("places") == 0, F.col("old")).otherwise(F.array_join(F.transform("chunks", less), ""))
+    left = F.when(F.array_contains("places", F.size("chunks") - 1), _trimmed(left)).otherwise(left)
+    found = found.select("doc_id", left.alias("text"), lines_in(F.col("old")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"),
+                         F.size("places").cast("long").alias("removed_chunks"))
+    found = found.withColumn("left_lines", F.when((F.col("text") == "") & (F.col("removed_chunks") > 0), F.lit(0).cast("long")).otherwise(lines_in(F.col("text"))))
+    return found.withColumn("removed_lines", F.col("n_lines") - F.col("left_lines")).select(
+        "doc_id", "text", "n_lines", "n_chunks", "removed_chunks", "left_lines", "removed_lines")
