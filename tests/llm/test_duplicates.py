@@ -147,3 +147,15 @@ def test_planted_passages_inside_lines_go(spark):
         assert left.startswith(a) and left.rstrip().endswith(b), left
         kept.append((len(left.split()) - 60) / len(passages[i - 60].split()))
     assert max(kept) < 1 and sum(kept) / len(kept) < 0.2, kept
+
+
+def test_lexicon_counts_terms_not_buckets(spark):
+    """More terms than any small table has buckets: those of one document stay out, those of two are in."""
+    rows = [(k, " ".join(f"only{k}x{j}" for j in range(2000)) + f" pair{k // 2} every") for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    band, common = imatch.lexicon(df)
+    hashed = {w: h for w, h in spark.createDataFrame([(f"pair{k}",) for k in range(50)] + [("every",)], "w string").selectExpr("w", "xxhash64(w)").collect()}
+    assert common == [hashed.pop("every")] and {r["term"] for r in band.collect()} == set(hashed.values())
+    # The fingerprint hangs on the band's term alone: texts that share it are alike.
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint_documents(df.withColumnRenamed("id", "doc_id")).collect()}
+    assert all(got[k] == got[k + 1] for k in range(0, 100, 2))
