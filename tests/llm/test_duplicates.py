@@ -159,3 +159,19 @@ def test_lexicon_counts_terms_not_buckets(spark):
     # The fingerprint hangs on the band's term alone: texts that share it are alike.
     got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint_documents(df.withColumnRenamed("id", "doc_id")).collect()}
     assert all(got[k] == got[k + 1] for k in range(0, 100, 2))
+
+
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    """Only texts without terms are alike with nothing to compare; any other pair of different terms is not."""
+    rows = [(k, f"word{k}") for k in range(40)] + [(90, ""), (91, " \n")]
+    got = {r["doc_id"]: r for r in imatch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[k]["fingerprint"] for k in range(40)}) == 40 and got[90]["fingerprint"] == got[91]["fingerprint"] == "0" * 8 * imatch.SUBSETS
+    assert all(got[k]["near_next"] == 0 for k in range(40)) and got[90]["near_next"] == 1
+    assert all(got[k]["near_edited"] < 1 for k in range(39))
+
+
+def test_long_texts_without_lexicon_terms_use_all(spark):
+    """Texts of many terms that no other text has: their fingerprints differ, an edit shows."""
+    rows = [(k, " ".join(f"only{k}x{j}" for j in range(50))) for k in range(6)]
+    got = {r["doc_id"]: r for r in imatch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({r["fingerprint"] for r in got.values()}) == 6 and all(0 < r["near_edited"] < 1 and set(r["fingerprint"]) != {"0"} for r in got.values())

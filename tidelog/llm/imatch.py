@@ -3,8 +3,8 @@
 The document frequency of every term (by its 64-bit hash) is counted over all documents.  Terms whose inverse document
 frequency lies in the chosen band make the lexicon, a table that is joined with the documents' terms.
 A text's fingerprint: its distinct lexicon terms, sorted, are hashed once for each of several randomised subsets of
-the lexicon.  Subsets keep from one in 32 to one in 2048 of the terms, so that long and short texts both
-have subsets that an edit leaves alone.  A text without lexicon terms is fingerprinted by all its terms.
+the lexicon.  Subsets keep from all to one in 2048 of the terms, so that long and short texts both
+have subsets that an edit leaves alone, and a text with terms has nonzero hashes.  A text without lexicon terms is fingerprinted by all its terms.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from tidelog.llm.common import SPACES, lower_ascii, stored, texts
 
 #: The band: terms of at most one document in 20, in at least two documents.
 MOST_SHARE, LEAST_DOCUMENTS = 0.05, 2
-#: One term in so many lies in a subset, for each subset.
-THINNED = (32,) * 8 + (128,) * 8 + (512,) * 8 + (2048,) * 8
+#: One term in so many lies in a subset, for each subset; the first has every term, so only a text without terms has none.
+THINNED = (1,) + (2,) * 2 + (4,) * 2 + (8,) * 2 + (32,) * 8 + (128,) * 8 + (512,) * 8 + (2048,) * 8
 SUBSETS = len(THINNED)
 NO_ID = -(1 << 63)
 #: A text with at most so many terms below the band's upper bound carries its terms along.
@@ -74,7 +74,7 @@ def written(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that hold a term of either text; 1 where no subset does."""
+    """Share of equal hashes among the subsets that hold a term of either text; 1 where no subset does, that is where neither text has terms."""
     held = F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: (p["x"] != 0) | (p["y"] != 0))
     return F.transform(F.array(held), lambda h: F.when(F.size(h) == 0, 1.0).otherwise(F.size(F.filter(h, lambda p: p["x"] == p["y"])) / F.size(h)))[0]
 
