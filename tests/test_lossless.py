@@ -152,3 +152,18 @@ def test_maintenance_reports_bad_files_and_reencodes_all(spark, workdir, monkeyp
     reps = {r.source_id: r for r in run_maintenance(store, datetime(2024, 6, 1))}
     assert reps["src"].files_loaded == 1 and len(reps["src"].errors) == 1 and "bad.ndjson" in reps["src"].errors[0]
     assert reps["idle"].reencoded_partitions == 1 and not R.legacy_partitions(store, "idle") and store.table(idle).count() == 1
+
+
+def test_good_files_between_many_bad_ones_load(spark, workdir, monkeypatch):
+    bad = [True, True, True, True, False, False, True, False]
+    store, spec, _ = _source(spark, workdir, {f"{k}.ndjson": ['{"msg":"1"}'] for k in range(8)})
+    load = L._load_group
+
+    def fails(store, spec, group, ingested_at):
+        if any(bad[int(n[0])] for n, _, _ in group):
+            raise OSError("injected")
+        return load(store, spec, group, ingested_at)
+
+    monkeypatch.setattr(L, "_load_group", fails)
+    assert [bool(r.error) for r in L.sync_summaries(store, spec)] == bad
+    assert _names(store, spec) == [(f"{k}.ndjson", 1) for k in (4, 5, 7)]

@@ -189,35 +189,22 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
 
 
 def _load_isolated(store, spec, group, ingested_at) -> list[LoadSummary]:
-    """Load a group; where its job fails, halve it until the bad file stands alone.
+    """Load a group; where its job fails, halve it until each bad file stands alone, so that every good one loads.
 
-    Files whose markers landed before the failure are not loaded again.  When both halves fail to their last file, the
-    job and not a file is at fault: the rest is reported without further attempts.
+    Files whose markers landed before the failure are not loaded again.
     """
-    return _isolate(store, spec, group, ingested_at, [0, 0])
-
-
-#: Single files that fail in a row, with none loaded, before the job itself counts as broken.
-BROKEN_AFTER = 3
-
-
-def _isolate(store, spec, group, ingested_at, tally) -> list[LoadSummary]:
     try:
-        out = _load_group(store, spec, group, ingested_at)
-        tally[0] += 1
-        return out
+        return _load_group(store, spec, group, ingested_at)
     except Exception as e:  # noqa: BLE001 - a failed job is reported per file
         recover(store, spec)
         marked = {r["file_name"]: r["rows_ingested"] for r in store.manifest(spec.id)
                   .where(F.col("file_name").isin([n for n, _, _ in group])).collect()}
         done = [LoadSummary(n, rows_inserted=marked[n]) for n, _, _ in group if n in marked]
         rest = [x for x in group if x[0] not in marked]
-        if len(rest) <= 1 or (tally[0] == 0 and tally[1] >= BROKEN_AFTER):
-            tally[1] += len(rest)
+        if len(rest) <= 1:
             return done + [LoadSummary(n, error=str(e)) for n, _, _ in rest]
         mid = len(rest) // 2
-        return done + _isolate(store, spec, rest[:mid], ingested_at, tally) + _isolate(store, spec, rest[mid:], ingested_at, tally)
-
+        return done + _load_isolated(store, spec, rest[:mid], ingested_at) + _load_isolated(store, spec, rest[mid:], ingested_at)
 
 
 def load_file_list(store: LogStore, spec: SourceSpec, files: list[tuple[str, str, int]],
