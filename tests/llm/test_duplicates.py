@@ -175,3 +175,13 @@ def test_long_texts_without_lexicon_terms_use_all(spark):
     rows = [(k, " ".join(f"only{k}x{j}" for j in range(50))) for k in range(6)]
     got = {r["doc_id"]: r for r in imatch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len({r["fingerprint"] for r in got.values()}) == 6 and all(0 < r["near_edited"] < 1 and set(r["fingerprint"]) != {"0"} for r in got.values())
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    x, y, z = ("one two three four five six", "ten eleven twelve thirteen fourteen", "red green blue white black")
+    rows = [(3, x), (14, x.upper()), (14, y), (20, y), (14, ""), (30, z), (30, "short text here and there"), (40, "")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got} == _components(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {3: 3, 14: 3, 20: 3, 30: 30, 40: 40}
+    left = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 30, 30, 40]

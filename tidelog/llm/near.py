@@ -278,6 +278,16 @@ def _pairs(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
 
+def _ties(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: links between the representatives of the classes that one doc_id's texts belong to."""
+    named = rows.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_key")
+    several = named.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).filter("one <> other").select("doc_id")
+    several = stored(several, "repeated-ids")
+    reps = named.join(several, "doc_id").distinct().join(classes, "set_key").select("doc_id", "rep")
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return reps.join(least, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
@@ -300,6 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
     links = _verified(stars, sigs, bodies)
+    links = stored(links.select("a", "b").unionByName(_ties(rows, classes)), "all-links")
     roots = components(links)
     more = _confirmed(stored(_met(shared, roots, bodies, few), "met"), bodies)
     if not more.isEmpty():
@@ -307,7 +318,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.join(roots.withColumnRenamed("a", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class_component"))
     named = stored(named.coalesce(few), "named")
     linked = rows.select("doc_id", "n_shingles", "set_key").filter("n_shingles > 0").join(named.hint("merge"), "set_key").drop("set_key")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_component"))
+    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles")
+    others = linked.join(alone.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("class_component").alias("class_component"))
+    alone = alone.join(others, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("class_component"))
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("class_component").alias("component_id"),
                                             F.col("doc_id").eqNullSafe(F.col("class_component")).alias("kept"))
 
