@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import SAMPLE, write_lines
+from log_samples import SAMPLE, write_lines
 from tidelog.catalog import LogStore
 from tidelog.functions import extract as X
 from tidelog.operators import load as L

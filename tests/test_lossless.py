@@ -3,7 +3,7 @@
 import os
 from datetime import datetime
 
-from conftest import write_lines
+from log_samples import write_lines
 from tidelog.catalog import LogStore, forget_files
 from tidelog.functions import extract as X
 from tidelog.operators import load as L

@@ -1,7 +1,7 @@
 import os
 from datetime import datetime, timedelta
 
-from conftest import write_lines
+from log_samples import write_lines
 from tidelog.catalog import LogStore
 from tidelog.operators import load as L
 from tidelog.operators import retention as R

@@ -55,7 +55,7 @@ def test_end_of_day_bound():
 def test_keyset_pages_equal_offset_pages(spark, workdir):
     """Ties on time and NULL times: walking by cursor gives the offset pages, page by page."""
     import os
-    from conftest import write_lines
+    from log_samples import write_lines
     from tidelog.catalog import LogStore
     from tidelog.operators import load as L
     src = os.path.join(workdir, "bucket")

@@ -1,6 +1,6 @@
 import os
 
-from conftest import write_lines
+from log_samples import write_lines
 from tidelog.catalog import LogStore
 from tidelog.streaming.autoload import start_autoload
 
