@@ -48,6 +48,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ``embeddings`` table, with small batches like those of ``documents``."""
+    documents(spark, sf_dir)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
