@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import stored
 
-#: Postings (distinct language, source and term) that a block holds before it is spilled: under 100 MB.
-BLOCK = 1_000_000
+#: Postings (distinct language, source and term) that a block holds before it is spilled: under 100 MB with what its count needs.
+BLOCK = 500_000
 #: Bytes of text for each shard of the merge, and the most shards (a run has a page for each and language).
-SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 18
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 1 << 18
 #: Bytes of texts that are split into terms at once; a longer text is split in slices that end between terms.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Pair corrections that a task holds before it hands them on.
 PAIRS = 1 << 20
 #: Shares are whole numbers of this unit, with this much added to every count.
@@ -96,7 +96,7 @@ class Block:
     def add(self, lang: str, source: str, text: bytes) -> None:
         if len(text) > SLICE:
             whole = pa.concat_tables([count_postings([(lang, source)], [part]) for part in slices(text)])
-            whole = whole.group_by(["lang", "source", "term"]).aggregate([("count", "sum"), ("docs", "max")])
+            whole = whole.group_by(["lang", "source", "term"], use_threads=False).aggregate([("count", "sum"), ("docs", "max")])
             self.tables.append(whole.rename_columns(["lang", "source", "term", "count", "docs"]))
             return
         self.groups.append((lang, source))
@@ -118,7 +118,7 @@ class Block:
         return len(self.tables[0]) >= block // 2
 
     def summed(self) -> pa.Table:
-        table = pa.concat_tables(self.tables).group_by(["lang", "source", "term"]).aggregate([("count", "sum"), ("docs", "sum")])
+        table = pa.concat_tables(self.tables).group_by(["lang", "source", "term"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
         return table.rename_columns(["lang", "source", "term", "count", "docs"])
 
     def spill(self, shards: int):
