@@ -203,3 +203,33 @@ def test_failed_move_is_an_error(spark, workdir):
     h.fs = Refuses()
     with pytest.raises(OSError, match="can't move"):
         h.rename(os.path.join(workdir, "a"), os.path.join(workdir, "b"))
+
+
+def test_byte_order_mark_hides_the_first_line(spark, workdir):
+    """The mark stands before the first value: that line is skipped, and a blank one counts as a line that isn't JSON."""
+    src = os.path.join(workdir, "bucket")
+    os.makedirs(src)
+    body = {"marked": b'\xef\xbb\xbf{"msg":"a"}\n{"msg":"b"}\n', "open": b'\xef\xbb\xbf{"msg":"a"}\n{"msg":"b"}', "blank": b'\xef\xbb\xbf\n{"msg":"b"}\n',
+            "plain": b'{"msg":"a"}\n{"msg":"\xef\xbb\xbf"}\n', "later": b'{"msg":"a"}\n\xef\xbb\xbf{"msg":"b"}'}
+    for name, text in body.items():
+        with open(f"{src}/{name}.ndjson", "wb") as f:
+            f.write(text)
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("marks", "path", {"root": src})
+    got = {s.file_name[:-7]: (s.rows_inserted, s.lines_skipped) for s in L.sync_summaries(store, spec)}
+    assert got == {"marked": (1, 1), "open": (1, 1), "blank": (1, 1), "plain": (2, 0), "later": (1, 1)}
+    assert {(r["source_file"], r["source_line"]) for r in store.table(spec).where("source_file like 'marked%'").collect()} == {("marked.ndjson", 2)}
+
+
+def test_long_listings_are_grouped_by_spark(spark, workdir, monkeypatch):
+    """Groups keep every file once, in name order, within the bounds, and the rows load as before."""
+    src = os.path.join(workdir, "bucket")
+    for k in range(23):
+        write_lines(os.path.join(src, f"f{k:03d}.ndjson"), ['{"msg":"m%d"}' % k] * (k + 1))
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("many", "path", {"root": src})
+    monkeypatch.setattr(L, "GROUP_MAX_FILES", 5)
+    groups = list(L.planned_groups(store, spec, L.pending_files(store, spec)))
+    assert [n for g in groups for n, _, _ in g] == [f"f{k:03d}.ndjson" for k in range(23)] and 5 <= len(groups) and max(map(len, groups)) <= 6
+    done = L.sync_summaries(store, spec)
+    assert {s.file_name: s.rows_inserted for s in done} == {f"f{k:03d}.ndjson": k + 1 for k in range(23)}

@@ -1,8 +1,12 @@
 import os
 
+import pytest
+
 from log_samples import write_lines
 from tidelog.catalog import LogStore
-from tidelog.streaming.autoload import start_autoload
+from tidelog.operators import load as L
+from tidelog.streaming import autoload
+from tidelog.streaming.autoload import done_batches, start_autoload
 
 
 def test_autoload_delivers_only_new_files(spark, workdir):
@@ -18,3 +22,38 @@ def test_autoload_delivers_only_new_files(spark, workdir):
     q.awaitTermination()
     assert sorted(r["level"] for r in store.table(spec).collect()) == ["A", "B", "C"]
     assert store.manifest(spec.id).count() == 2
+
+
+def test_limited_batches_and_a_batch_that_died_before_its_commit(spark, workdir, monkeypatch):
+    """Two files a batch; the stream dies after the second batch was loaded, then once halfway: each file is loaded once."""
+    src = os.path.join(workdir, "bucket")
+    for k in range(7):
+        write_lines(os.path.join(src, f"f{k}.ndjson"), ['{"level":"L%d"}' % k] * 2)
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("stream", "path", {"root": src})
+    ckpt = os.path.join(workdir, "ckpt")
+    loaded, real, write = [], L.load_listed, autoload.fs.write_text
+
+    def counted(store, spec, files, now=None):
+        for s in real(store, spec, files, now):
+            loaded.append(s.file_name)
+            yield s
+
+    monkeypatch.setattr(autoload.L, "load_listed", counted)
+
+    def dies(when):
+        def text(spark, uri, body):
+            write(spark, uri, body) if when != "before" else None
+            if "/loaded/1." in uri:
+                raise RuntimeError("killed")
+        return text
+
+    for when in ("before", "after"):  # without the batch's record, and with it
+        monkeypatch.setattr(autoload.fs, "write_text", lambda s, u, b, w=when: write(s, u, b) if "/loaded/" not in u or "/loaded/0." in u else dies(w)(s, u, b))
+        with pytest.raises(Exception):
+            start_autoload(store, spec.id, ckpt, available_now=True, max_files=2).awaitTermination()
+    monkeypatch.setattr(autoload.fs, "write_text", write)
+    start_autoload(store, spec.id, ckpt, available_now=True, max_files=2).awaitTermination()
+    assert sorted(loaded) == [f"f{k}.ndjson" for k in range(7)]
+    assert {r["level"]: r["count"] for r in store.table(spec).groupBy("level").count().collect()} == {f"L{k}": 2 for k in range(7)}
+    assert done_batches(store, ckpt) == [0, 1, 2, 3]

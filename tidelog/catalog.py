@@ -5,6 +5,8 @@ Layout under one root URI (any Hadoop file system):
     <root>/sources/<id>.json                  one JSON document per source definition
     <root>/tables/<id>/data/event_date=D/     ZSTD Parquet log rows, partitioned by event date
     <root>/tables/<id>/manifest/              Parquet rows (source_id, file_name, ingested_at, rows_ingested)
+    <root>/tables/<id>/placement/, file_times/  which data files hold an object's rows, which times they span
+    <root>/tables/<id>/ngrams/                n-gram filters of the data files, where the source keeps them
     <root>/tables/<id>/staging/<load_id>/     a load's output before it is published
     <root>/tables/<id>/journal/<load_id>.json a load in flight (removed once its manifest rows exist)
 
@@ -33,6 +35,9 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 
+#: How data files are written.  Where an object's name isn't in a row group's dictionary, its Bloom filter tells so.
+DATA_FILE_OPTIONS = {"compression": "zstd", "parquet.bloom.filter.enabled#source_file": "true", "parquet.bloom.filter.expected.ndv#source_file": "5000"}
+
 #: A compacted manifest is cut into files of about this size.
 MANIFEST_FILE_BYTES = 32 * 1024 * 1024
 
@@ -72,7 +77,7 @@ class LogStore:
     def create_source(self, name: str, source_type: str, config: dict, **kw) -> S.SourceSpec:
         spec = S.new_spec(name, source_type, config, **kw)
         if fs.exists(self.spark, self.spec_path(spec.id)):
-            raise S.SpecError(f"a source named {name!r} (or producing the same id) already exists")
+            raise S.SpecError(f"the id {spec.id!r} is taken: choose another name than {name!r}")
         for d in (self.data_dir(spec.id), self.manifest_dir(spec.id)):
             fs.mkdirs(self.spark, d)
         fs.write_text(self.spark, self.spec_path(spec.id), spec.to_json())
@@ -117,6 +122,19 @@ class LogStore:
         """Bytes of the source's table on disk (O-34)."""
         return fs.size_bytes(self.spark, self.data_dir(sid))
 
+    def sizes_df(self) -> DataFrame:
+        """(id, event_date, n_files, size_bytes) of every source's data files (O-34): one metadata-only listing of all tables,
+        which Spark spreads over the cluster, summed per source and partition.  event_date is NULL for rows out of range."""
+        base = f"{self.root}/tables"
+        h = fs.Handle(self.spark, self.root)
+        if not any(h.names(f"{base}/{sid}/data") for sid in h.names(base)):
+            return self.spark.createDataFrame([], "id string, event_date date, n_files bigint, size_bytes bigint")
+        files = (self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/*/data")
+                 .select(F.substring("path", len(base) + 2, 1 << 30).alias("path"), "length"))
+        day = F.regexp_extract("path", "/event_date=([^/]*)/", 1)
+        return (files.groupBy(F.element_at(F.split("path", "/"), 1).alias("id"), day.try_cast("date").alias("event_date"))
+                .agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("size_bytes")))
+
     def sources_df(self) -> DataFrame:
         """Sources report ordered by name, with on-disk size (O-48)."""
         rows = []
@@ -124,12 +142,14 @@ class LogStore:
             rows.append((s.id, s.name, s.source_type, json.dumps(s.config, sort_keys=True), s.prefix,
                          s.table_name, json.dumps([f.to_json() for f in s.fields]), s.retention_days,
                          s.auto_load, s.poll_minutes, s.load_days_back, s.max_size_mb, s.created_at,
-                         s.last_polled_at, self.size_bytes(s.id)))
+                         s.last_polled_at))
         schema = ("id string, name string, source_type string, config_json string, prefix string, "
                   "table_name string, fields_json string, retention_days int, auto_load boolean, "
                   "poll_minutes int, load_days_back int, max_size_mb int, created_at timestamp_ntz, "
-                  "last_polled_at timestamp_ntz, size_bytes bigint")
-        return self.spark.createDataFrame(rows, schema).orderBy("name")
+                  "last_polled_at timestamp_ntz")
+        sizes = self.sizes_df().groupBy("id").agg(F.sum("size_bytes").alias("size_bytes"))
+        sources = self.spark.createDataFrame(rows, schema).join(sizes, "id", "left")
+        return sources.withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0).cast("bigint"))).orderBy("name")
 
     # --- table and manifest ------------------------------------------------------------------
     def table(self, spec_or_id) -> DataFrame:

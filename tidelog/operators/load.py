@@ -5,8 +5,8 @@ parallel across file splits.  A group is published in three steps:
 
 1. a journal entry names the group's load id and files;
 2. the rows are written to a staging folder and counted per file there; rows that the table still
-   holds of these files go (a load replaces a file's rows); the staged files are renamed into the
-   table (names carry the load id);
+   holds of these files go (a load replaces a file's rows; the placement table tells where they lie, so
+   names never seen cost no read of the table); the staged files are renamed into the table;
 3. manifest rows are appended (empty valid files included, T30); then the journal entry goes.
 
 A group whose job failed leaves no rows (Spark aborts the write); a crash after step 2 leaves a
@@ -18,15 +18,17 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.catalog import LogStore
+from tidelog.catalog import DATA_FILE_OPTIONS, LogStore
 from tidelog.functions import extract as X
 from tidelog.operators import partitions as P
+from tidelog.operators import placement
 from tidelog.sources import fs, listing
 from tidelog.sources import ndjson as N
 from tidelog.spec import SourceSpec
@@ -77,6 +79,36 @@ def plan_groups(files: list[tuple[str, str, int]], split_bytes: int) -> list[lis
     return groups
 
 
+def planned_groups(store: LogStore, spec: SourceSpec, files: DataFrame) -> Iterator[list[tuple[str, str, int]]]:
+    """The groups of (name, path, size) rows in name order; the driver holds one group at a time.
+
+    What fits in one group by its number of files is cut here.  A longer list is numbered by Spark: running sums of each
+    file's share of the three bounds (files, bytes, split rows) over ranges of names, the ranges' own sums added, and a new
+    group whenever the sum passes a whole number.  The numbered list is written once and read back group by group."""
+    spark, split = store.spark, _split_bytes(store.spark)
+    files = files.select("name", "path", "size")
+    first = files.limit(GROUP_MAX_FILES + 1).collect()
+    if len(first) <= GROUP_MAX_FILES:
+        yield from plan_groups(sorted((r["name"], r["path"], r["size"]) for r in first), split)
+        return
+    at = f"{store.staging_dir(spec.id)}/plan-{uuid.uuid4().hex[:12]}"
+    split_rows = F.greatest(F.lit(1), F.ceil(F.col("size") / split)) * (F.length("path") + SPLIT_ROW_OVERHEAD)
+    share = F.lit(1.0 / GROUP_MAX_FILES) + F.col("size") / GROUP_MAX_BYTES + split_rows / BROADCAST_SPLIT_BYTES
+    (files.select("*", share.alias("share")).repartitionByRange("name").select("*", F.spark_partition_id().alias("range"))
+     .write.parquet(at + "/listed"))
+    listed = spark.read.parquet(at + "/listed")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ranges = listed.groupBy("range").agg(F.sum("share").alias("sum")).select("range", F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("start"))
+    so_far = F.col("start") + F.sum("share").over(Window.partitionBy("range").orderBy("name"))
+    (listed.join(ranges, "range").select("name", "path", "size", F.floor(so_far).alias("number"))
+     .repartition("number").write.partitionBy("number").parquet(at + "/groups"))
+    h = fs.Handle(spark, at)
+    for number in sorted(int(n.split("=", 1)[1]) for n in h.names(at + "/groups") if n.startswith("number=")):
+        group = spark.read.schema("name string, path string, size bigint").parquet(f"{at}/groups/number={number}")
+        yield sorted((r["name"], r["path"], r["size"]) for r in group.collect())
+    h.delete(at, True)
+
+
 def recover(store: LogStore, spec: SourceSpec) -> int:
     """Undo loads interrupted between publishing rows and writing their manifest rows."""
     spark = store.spark
@@ -94,7 +126,8 @@ def recover(store: LogStore, spec: SourceSpec) -> int:
             for p in fs.glob(spark, f"{store.data_dir(spec.id)}/*/part-*{entry['job']}*"):
                 h.delete(p, False)
             undone += 1
-        h.delete(f"{store.staging_dir(spec.id)}/{entry['load_id']}", True)
+        for staged in (entry["load_id"], entry["load_id"] + ".files"):
+            h.delete(f"{store.staging_dir(spec.id)}/{staged}", True)
         h.delete(f"{store.journal_dir(spec.id)}/{name}", False)
     return undone
 
@@ -110,7 +143,8 @@ def staged_job_id(h: "fs.Handle", stage: str) -> str | None:
 
 def publish_staged(store: LogStore, spec: SourceSpec, stage: str) -> None:
     """Move staged partitions into the table: a new date directory in one rename, files of an
-    existing date one by one (their names are unique per write job)."""
+    existing date one by one (their names are unique per write job).  Where their rows lie is recorded first."""
+    placement.record(store, spec, stage)
     h = fs.Handle(store.spark, store.table_dir(spec.id))
     data = store.data_dir(spec.id)
     existing = set(h.names(data))
@@ -155,15 +189,14 @@ def _load_group(store: LogStore, spec: SourceSpec, group: list[tuple[str, str, i
         # One shuffle so each date gets few, large files whatever the input order: adaptive
         # execution merges small dates and splits a date that holds a large share of the rows.
         rows = rows.hint("rebalance", "event_date")
-        (rows.write.mode("overwrite").partitionBy("event_date").option("compression", "zstd")
-         .parquet(stage))
+        rows.write.mode("overwrite").partitionBy("event_date").options(**DATA_FILE_OPTIONS).parquet(stage)
     finally:
         if prev_min is None:
             spark.conf.unset("spark.sql.files.minPartitionNum")
         else:
             spark.conf.set("spark.sql.files.minPartitionNum", prev_min)
-    inserted = {r["source_file"]: r["n"] for r in
-                spark.read.schema(spec.storage_schema()).parquet(stage).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    staged = placement.describe_staged(store, spec, stage)
+    inserted = {} if staged is None else {r["source_file"]: r["n"] for r in staged.groupBy("source_file").agg(F.sum("n_rows").alias("n")).collect()}
     job = staged_job_id(fs.Handle(spark, stage), stage)
     fs.write_text(spark, journal, json.dumps({"load_id": load_id, "ingested_at": ingested_at.isoformat(),
                                               "files": [n for n, _, _ in group], "job": job}))
@@ -210,14 +243,21 @@ def _load_isolated(store, spec, group, ingested_at) -> list[LoadSummary]:
 def load_file_list(store: LogStore, spec: SourceSpec, files: list[tuple[str, str, int]],
                    now: datetime | None = None) -> list[LoadSummary]:
     """Load (name, path, size) files that are not yet loaded; results in the given order."""
+    out = {s.file_name: s for s in _load_groups(store, spec, plan_groups(files, _split_bytes(store.spark)), now)}
+    return [out[n] for n, _, _ in files]
+
+
+def load_listed(store: LogStore, spec: SourceSpec, files: DataFrame, now: datetime | None = None) -> Iterator[LoadSummary]:
+    """Load the files of a listing (name, path, size) that are not yet loaded, group by group; one summary each."""
+    return _load_groups(store, spec, planned_groups(store, spec, files), now)
+
+
+def _load_groups(store: LogStore, spec: SourceSpec, groups, now: datetime | None) -> Iterator[LoadSummary]:
     recover(store, spec)
     P.recover_swaps(store, spec)
     ingested_at = now or utc_now()
-    out: dict[str, LoadSummary] = {}
-    for g in plan_groups(files, _split_bytes(store.spark)):
-        for s in _load_isolated(store, spec, g, ingested_at):
-            out[s.file_name] = s
-    return [out[n] for n, _, _ in files]
+    for g in groups:
+        yield from _load_isolated(store, spec, g, ingested_at)
 
 
 def load_files(store: LogStore, spec_or_id, names: list[str], now: datetime | None = None) -> list[LoadSummary]:
@@ -260,15 +300,18 @@ def pending_files(store: LogStore, spec: SourceSpec, now: datetime | None = None
 
 def sync_source(store: LogStore, spec_or_id, now: datetime | None = None) -> int:
     """Load every new file (O-39); returns how many loaded successfully."""
-    return sum(1 for s in sync_summaries(store, spec_or_id, now) if not s.error)
+    return sum(1 for s in sync(store, spec_or_id, now) if not s.error)
 
 
-def sync_summaries(store: LogStore, spec_or_id, now: datetime | None = None) -> list[LoadSummary]:
-    """Load every new file; one summary per file, failed ones included."""
+def sync(store: LogStore, spec_or_id, now: datetime | None = None) -> Iterator[LoadSummary]:
+    """Load every new file; one summary per file, failed ones included, as the groups are done."""
     spec = spec_or_id if isinstance(spec_or_id, SourceSpec) else store.get(spec_or_id)
-    new = pending_files(store, spec, now).orderBy("name")
-    files = [(r["name"], r["path"], r["size"]) for r in new.select("name", "path", "size").toLocalIterator()]
-    return load_file_list(store, spec, files, now) if files else []
+    yield from load_listed(store, spec, pending_files(store, spec, now), now)
+
+
+def sync_summaries(store: LogStore, spec_or_id, now: datetime | None = None) -> list[LoadSummary]:
+    """`sync` as a list, for a number of files that the driver can hold."""
+    return list(sync(store, spec_or_id, now))
 
 
 def listing_with_flag(store: LogStore, spec: SourceSpec, prefix: str | None = None, now: datetime | None = None):

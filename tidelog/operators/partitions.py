@@ -9,14 +9,18 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.catalog import LogStore
+from tidelog.catalog import DATA_FILE_OPTIONS, LogStore
+from tidelog.operators import placement
+from tidelog.operators.placement import NULL_PARTITION
 from tidelog.sources import fs
 from tidelog.spec import SourceSpec
 
-NULL_PARTITION = "event_date=__HIVE_DEFAULT_PARTITION__"
+#: Sampled rows of a date for each of its files, from which the bounds between files are taken.
+SAMPLED = 200
+NO_DATE = date(1900, 1, 1)
 
 
 def partitions(store: LogStore, sid: str) -> dict[str, date | None]:
@@ -56,6 +60,7 @@ def recover_swaps(store: LogStore, spec: SourceSpec) -> None:
 def swap(store: LogStore, spec: SourceSpec, staged: str, parts: list[str]) -> None:
     """Replace each partition in `parts` by its staged version (absent staged = now empty)."""
     h = fs.Handle(store.spark, store.table_dir(spec.id))
+    placement.record(store, spec, staged)
     trash = f"{store.table_dir(spec.id)}/trash/{uuid.uuid4().hex[:12]}"
     h.mkdirs(trash)
     data = store.data_dir(spec.id)
@@ -76,45 +81,93 @@ def rewrite(store: LogStore, spec: SourceSpec, parts: list[str], df: DataFrame,
             files: dict[str, int] | None = None) -> None:
     """Write `df` (rows of `parts`) into staging and swap those partitions in.
 
-    `files` names how many files each partition gets: rows are dealt by date and, within a date of several files, by a
-    hash of (file, line), so a date that holds most rows or a burst on one timestamp is split evenly and no file spans
-    a date.  Files are sorted by time."""
+    `files` names how many files each partition gets at most: a date of several files is cut into ranges of (time, file,
+    line), so its files don't overlap in time but for rows of equal time, and a burst on one timestamp is split."""
     staged = f"{store.table_dir(spec.id)}/rewrite/{uuid.uuid4().hex[:12]}"
     out = df.select(*[f.name for f in spec.storage_schema().fields])
     if files:
-        out = (out.repartition(sum(files.values()), "event_date", _file_of(files))
-               .sortWithinPartitions("event_date", F.col("time").asc_nulls_last()))
-    out.write.mode("overwrite").partitionBy("event_date").option("compression", "zstd").parquet(staged)
+        out = _by_time(out, files)
+    out.write.mode("overwrite").partitionBy("event_date").options(**DATA_FILE_OPTIONS).parquet(staged)
     swap(store, spec, staged, parts)
 
 
-def _file_of(files: dict[str, int]) -> Column:
-    """Number of a row's file within its partition; partitions of one file have no entry in the map."""
+def _key() -> Column:
+    """Order of a date's rows: by time, rows without one last, then file and line, so that no two are equal."""
+    return F.struct(F.col("time").isNull().alias("untimed"), F.col("time"), F.col("source_file"), F.col("source_line"))
+
+
+def _date(part: str) -> date:
+    """A partition's date; one that no partition has stands for the NULL partition."""
+    return NO_DATE if part == NULL_PARTITION else date.fromisoformat(part.split("=", 1)[1])
+
+
+def _dated() -> Column:
+    return F.coalesce(F.col("event_date"), F.lit(NO_DATE))
+
+
+def _by_time(rows: DataFrame, files: dict[str, int]) -> DataFrame:
+    """Rows dealt by date and range of time: each task gets neighbouring ranges, sorted."""
     many = {p: n for p, n in files.items() if n > 1}
-    if not many:
-        return F.lit(0)
-    counts = F.create_map(*[F.lit(v) for kv in many.items() for v in kv])
-    part = F.concat(F.lit("event_date="), F.coalesce(F.col("event_date").cast("string"), F.lit(NULL_PARTITION.split("=", 1)[1])))
-    n = F.coalesce(F.try_element_at(counts, part), F.lit(1))
-    return F.pmod(F.xxhash64("source_file", "source_line"), n)
+    columns = rows.columns
+    place = F.lit(0)
+    if many:
+        bounds = _bounds(rows, many)
+        rows = rows.withColumn("_date", _dated()).join(bounds, "_date", "left")
+        place = _rank(F.col("_bounds"), _key(), max(many.values()))
+    return (rows.select(*columns, place.alias("_place")).repartitionByRange(sum(files.values()), "event_date", "_place")
+            .sortWithinPartitions("event_date", F.col("time").asc_nulls_last(), "source_file", "source_line").select(*columns))
+
+
+def _bounds(rows: DataFrame, many: dict[str, int]) -> DataFrame:
+    """(_date, _bounds): n - 1 ascending keys that cut a date's rows into n nearly equal ranges, from a sample by hash.
+
+    At most SAMPLED keys for each file to be written are sorted per date; no key reaches the driver."""
+    wanted = rows.sparkSession.createDataFrame([(_date(p), n) for p, n in many.items()], "_date date, _n int")
+    dated = rows.select(_dated().alias("_date"), _key().alias("_key"), F.pmod(F.xxhash64("source_file", "source_line"), F.lit(1 << 30)).alias("_hash"))
+    counts = dated.groupBy("_date").agg(F.count(F.lit(1)).alias("_rows"))
+    rate = wanted.join(counts, "_date").select("_date", "_n", (F.col("_n") * SAMPLED / F.col("_rows") * (1 << 30)).alias("_below"))
+    sampled = dated.join(rate, "_date").where(F.col("_hash") < F.col("_below"))
+    by_key = Window.partitionBy("_date").orderBy("_key")
+    of_date = Window.partitionBy("_date")
+    ranked = sampled.select("_date", "_key", "_n", F.row_number().over(by_key).alias("_at"), F.count(F.lit(1)).over(of_date).alias("_all"))
+
+    def part(at: Column) -> Column:
+        return F.floor(at * F.col("_n") / F.col("_all"))
+
+    cuts = ranked.where((part(F.col("_at")) > part(F.col("_at") - 1)) & (F.col("_at") < F.col("_all")))
+    return cuts.groupBy("_date").agg(F.sort_array(F.collect_list("_key")).alias("_bounds"))
+
+
+def _rank(bounds: Column, key: Column, most: int) -> Column:
+    """How many of the ascending `bounds` are at most `key` (0 without bounds), by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(bounds), F.lit(0)).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        below = F.get(bounds, mid) <= key
+        return F.when(acc["lo"] >= acc["hi"], acc).when(below, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(
+            F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most.bit_length() + 1)), start, halve)["lo"]
+
+
+def overlaps(store: LogStore, spec: SourceSpec) -> DataFrame:
+    """(event_date, n_files, n_overlaps): data files of each date, and how many begin before an earlier one ends."""
+    spans = (store.table(spec).where(F.col("time").isNotNull()).groupBy("event_date", F.col("_metadata.file_name").alias("data_file"))
+             .agg(F.min("time").alias("lo"), F.max("time").alias("hi")))
+    before = Window.partitionBy("event_date").orderBy("lo", "hi", "data_file").rowsBetween(Window.unboundedPreceding, -1)
+    late = F.coalesce(F.max("hi").over(before) > F.col("lo"), F.lit(False)).cast("int")
+    return spans.select("event_date", late.alias("late")).groupBy("event_date").agg(F.count(F.lit(1)).alias("n_files"), F.sum("late").alias("n_overlaps"))
 
 
 def drop_files(store: LogStore, spec: SourceSpec, names: DataFrame) -> int:
     """Remove every row of the named objects (column `source_file`); returns how many partitions were rewritten.
 
-    The search reads two columns, pruned by Parquet statistics to the names' range; only partitions that hold such rows
-    are rewritten, in one job.  The side of names is broadcast only where Spark finds it small."""
-    if not partitions(store, spec.id):
-        return 0
-    lo, hi = names.agg(F.min("source_file"), F.max("source_file")).collect()[0]
-    if lo is None:
-        return 0
-    names = names.select("source_file").distinct()
-    near = store.table(spec).where(F.col("source_file").between(lo, hi)).select("event_date", "source_file")
-    held = [r["event_date"] for r in near.join(names, "source_file", "left_semi").select("event_date").distinct().collect()]
-    if not held:
+    The placement table tells which partitions hold such rows; where none does, no data file is read.  The side of names is
+    broadcast only where Spark finds it small."""
+    parts = [placement.directory(d) for d in placement.dates_of(store, spec, names)]
+    if not parts:
         return 0
-    parts = [NULL_PARTITION if d is None else f"event_date={d.isoformat()}" for d in held]
-    rest = read_parts(store, spec, parts).join(names, "source_file", "left_anti")
+    rest = read_parts(store, spec, parts).join(names.select("source_file").distinct(), "source_file", "left_anti")
     rewrite(store, spec, parts, rest.hint("rebalance", "event_date"))
     return len(parts)

@@ -27,6 +27,8 @@ from tidelog.spec import Field, default_fields
 
 EVENTS_PER_FILE = 1000
 ORDERS_PER_FILE = 2000
+ITEMS_PER_FILE = 200_000
+DOCUMENTS_PER_FILE = 20_000
 #: Beyond the 10 MiB that a line may have.
 LONG_LINE = 11 * 1024 * 1024
 
@@ -94,29 +96,41 @@ def event_file_name(g: Column) -> Column:
 def order_lines(orders: DataFrame, shards: int) -> DataFrame:
     month = F.date_format("o_orderdate", "yyyy-MM")
     shard = F.col("o_orderkey") % shards
-    line = _cat('{"time":"', F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), '","level":"',
+    name = _cat("orders/", month, "/part-", _s(shard), ".ndjson")
+    return orders.select(name.alias("name"), F.col("o_orderkey").alias("k"), order_line().alias("line"))
+
+
+def order_line() -> Column:
+    return _cat('{"time":"', F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), '","level":"',
                 F.col("o_orderstatus"), '","msg":"order ', _s(F.col("o_orderkey")), '","topic":"',
                 F.col("o_orderpriority"), '","accession":"C', _s(F.col("o_custkey")), '"}')
-    name = _cat("orders/", month, "/part-", _s(shard), ".ndjson")
-    return orders.select(name.alias("name"), F.col("o_orderkey").alias("k"), line.alias("line"))
 
 
 def lineitem_lines(lineitem: DataFrame) -> DataFrame:
+    shards = max(8, -(-lineitem.count() // ITEMS_PER_FILE))
     line = _cat('{"time":"', F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), '","level":"',
                 F.col("l_returnflag"), '","msg":"order ', _s(F.col("l_orderkey")), ' line ',
                 _s(F.col("l_linenumber")), '","topic":"', F.col("l_linestatus"), '"}')
-    name = _cat("items/part-", F.lpad(_s(F.col("l_orderkey") % 8), 2, "0"), ".ndjson")
+    name = _cat("items/part-", F.lpad(_s(F.col("l_orderkey") % shards), 6, "0"), ".ndjson")
     return lineitem.select(name.alias("name"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("k"),
                            line.alias("line"))
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
+    shards = max(4, -(-documents.count() // DOCUMENTS_PER_FILE))
     line = F.to_json(F.struct(F.col("lang").alias("level"), F.col("text").alias("msg"),
                               F.col("source").alias("topic"), _s(F.col("doc_id")).alias("doc")))
-    name = _cat("docs/part-", F.lpad(_s(F.col("doc_id") % 4), 2, "0"), ".ndjson")
+    name = _cat("docs/part-", F.lpad(_s(F.col("doc_id") % shards), 6, "0"), ".ndjson")
     return documents.select(name.alias("name"), F.col("doc_id").alias("k"), line.alias("line"))
 
 
+def priority_lines(orders: DataFrame) -> DataFrame:
+    """`order_lines` filed under a folder for each priority, whose number its text starts with."""
+    shards = max(1, -(-orders.count() // (5 * ORDERS_PER_FILE)))
+    name = _cat("p", F.substring("o_orderpriority", 1, 1), "/part-", _s(F.col("o_orderkey") % shards), ".ndjson")
+    return orders.select(name.alias("name"), F.col("o_orderkey").alias("k"), order_line().alias("line"))
+
+
 DOC_FIELDS = [Field("time", ("time",), True), Field("level", ("level",), True), Field("msg", ("msg",), True),
               Field("topic", ("topic",)), Field("doc", ("doc",))]
 
@@ -172,13 +186,19 @@ def build_source(spark: SparkSession, kind: str, sf_dir: str, fields=None, load:
         lines = order_lines(orders, shards)
     elif kind == "lineitem":
         lines = lineitem_lines(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    elif kind == "burst":
+        same = F.lit("1995-06-17 00:00:00").cast("timestamp_ntz")
+        lines = lineitem_lines(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_shipdate", same))
+    elif kind == "marked":
+        lines = _events_lines_named(spark, sf_dir).withColumn("line", F.when(
+            (F.col("k") % EVENTS_PER_FILE == 0) & (F.floor(F.col("k") / EVENTS_PER_FILE) % 2 == 0), _cat("\ufeff", F.col("line"))).otherwise(F.col("line")))
     elif kind == "documents":
         lines = document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
         fields = fields or DOC_FIELDS
     else:
         raise ValueError(kind)
     # Sparse sources spanning years get monthly partitions; dense recent logs daily ones.
-    unit = "month" if kind in ("lineitem", "orders") else "day"
+    unit = "month" if kind in ("lineitem", "orders", "burst") else "day"
     write_ndjson(spark, lines, objects)
     store = LogStore(spark, f"{area}/store")
     spec = store.create_source(kind, "path", {"root": objects}, fields=fields or default_fields(),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.catalog import LogStore, compact_manifest
 from tidelog.operators import load as L
+from tidelog.operators import placement
 from tidelog.operators import retention as R
 
 
@@ -46,9 +47,11 @@ def run_maintenance(store: LogStore, now: datetime) -> list[MaintenanceReport]:
         spec = store.get(sid)
         if spec.auto_load:
             with _reported(rep, "load"):
-                done = L.sync_summaries(store, spec, now)
-                rep.files_loaded = sum(1 for s in done if not s.error)
-                rep.errors += [f"load: {s.file_name}: {s.error}" for s in done if s.error]
+                for s in L.sync(store, spec, now):
+                    if s.error:
+                        rep.errors.append(f"load: {s.file_name}: {s.error}")
+                    else:
+                        rep.files_loaded += 1
         if spec.retention_days > 0 or spec.max_size_mb > 0:
             with _reported(rep, "retention"):
                 rep.retention = R.apply_retention(store, spec, now)
@@ -59,6 +62,7 @@ def run_maintenance(store: LogStore, now: datetime) -> list[MaintenanceReport]:
             rep.reencoded_partitions = len(R.legacy_partitions(store, spec.id))
             rep.reencoded_bytes = R.reencode(store, spec)
             compact_manifest(store, spec.id)
+            placement.compact_index(store, spec)
         if rep.reencoded_partitions or rep.errors:
             reports[spec.id] = rep
     return list(reports.values())

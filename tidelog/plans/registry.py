@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import extract as X
 from tidelog.operators import load as L
+from tidelog.operators import ngrams, pages, picklist, placement
 from tidelog.operators import partitions as P
 from tidelog.operators import retention as R
 from tidelog.operators import search as Q
@@ -195,25 +196,34 @@ def q_unknown_field_ignored(spark, sf):
     return _keys(Q.filtered(t, spec, level="WARN", fields={"nope": "x", "time": "2024", "level": "ERROR", "msg": ""}))
 
 
-def _dates(store: LogStore, spec) -> list:
-    return list(P.partitions(store, spec.id).values())
+def _page(store: LogStore, spec, offset: int = 0, size: int = Q.PAGE_SIZE, cursor: tuple | None = None, **kw) -> DataFrame:
+    """A page and its look-ahead row, by the time index of the data files."""
+    return _page_cols(pages.as_frame(store, pages.page(store, spec, offset, size + 1, cursor, **kw).rows))
 
 
 def q_newest_page(spark, sf):
-    store, spec, t = _events(spark, sf)
-    return _page_cols(Q.newest_page(t, spec, _dates(store, spec), 0))
+    store, spec, _ = _events(spark, sf)
+    return _page(store, spec)
 
 
 def q_second_page(spark, sf):
-    store, spec, t = _events(spark, sf)
-    return _page_cols(Q.newest_page(t, spec, _dates(store, spec), 100))
+    store, spec, _ = _events(spark, sf)
+    return _page(store, spec, 100)
+
+
+def q_rare_needle_page(spark, sf):
+    """A page for a needle that few rows hold, and how often the search opened any one data file."""
+    store, spec, _ = _events(spark, sf)
+    page = pages.page(store, spec, text=" #77")
+    read = [f for block in page.blocks for f in block]
+    most = max((read.count(f) for f in read), default=0)
+    return _page_cols(pages.as_frame(store, page.rows)).withColumn("reads_of_a_file", F.lit(most).cast("bigint"))
 
 
 def q_combined_search(spark, sf):
     """One search with every kind of filter, and whether more rows follow."""
-    store, spec, t = _events(spark, sf)
-    res = Q.search(t, spec, time_from=datetime(2024, 1, 2), time_to=datetime(2024, 1, 28), level="ERROR", fields={"msg": "user_"},
-                   text="error", dates=_dates(store, spec))
+    store, spec, _ = _events(spark, sf)
+    res = pages.page(store, spec, time_from=datetime(2024, 1, 2), time_to=datetime(2024, 1, 28), level="ERROR", fields={"msg": "user_"}, text="error")
     rows = [(r["time"], r["level"], r["source_file"], r["source_line"], res.has_more) for r in res.rows]
     return spark.createDataFrame(rows, "time timestamp_ntz, level string, source_file string, source_line int, has_more boolean")
 
@@ -221,7 +231,7 @@ def q_combined_search(spark, sf):
 def q_original_lines(spark, sf):
     """The original line of each of the newest three rows, by the point lookup."""
     store, spec, t = _events(spark, sf)
-    keys = [(r["source_file"], r["source_line"]) for r in Q.search(t, spec, size=3, dates=_dates(store, spec)).rows]
+    keys = [(r["source_file"], r["source_line"]) for r in pages.page(store, spec, size=3).rows]
     return spark.createDataFrame([(f, n, Q.raw_line(t, f, n)) for f, n in keys], "source_file string, source_line int, raw string")
 
 
@@ -240,7 +250,7 @@ def q_keyset_page(spark, sf):
     store, spec, t = _events(spark, sf)
     k = max(0, _nonnull_count(t) - 51)
     cur = Q.page(t, spec, k, size=0).collect()[0]
-    return _page_cols(Q.keyset_page(t, spec, (cur["time"], cur["source_file"], cur["source_line"]), dates=_dates(store, spec)))
+    return _page(store, spec, cursor=(cur["time"], cur["source_file"], cur["source_line"]))
 
 
 def q_end_of_day_bound(spark, sf):
@@ -268,6 +278,47 @@ def q_clicked_value(spark, sf):
     return _keys(t.where(Q.contains_any([value])))
 
 
+def q_pick_list(spark, sf):
+    """Rows whose line holds any accession that occurs in the table, given as a DataFrame."""
+    _, _, t = _events(spark, sf)
+    return _keys(picklist.containing_any(t, t.where("accession is not null").select("accession")))
+
+
+def q_pick_list_matches(spark, sf):
+    """Every value of a mixed list that a line holds: of several lengths, one that no line holds, NULL and the empty text."""
+    _, _, t = _events(spark, sf)
+    values = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.when(F.col("event_id") % 50 == 0, _cat("user_", F.col("user_id"), " #", F.col("event_id"))).when(F.col("event_id") % 50 == 1, F.col("event_type"))
+        .when(F.col("event_id") % 50 == 2, _cat("S", F.col("user_id"))).when(F.col("event_id") % 50 == 3, F.lit("")).when(F.col("event_id") % 50 == 4, F.lit("no such")))
+    return picklist.matches(t, values).groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _cat(*parts) -> Column:
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def q_look_up_lines(spark, sf):
+    """The original lines of every 37th event, asked for as a table of files and line numbers."""
+    store, spec, _ = _events(spark, sf)
+    ev = spark.read.parquet(f"{sf}/events.parquet").where(F.col("event_id") % 37 == 0)
+    keys = ev.select(D.event_file_name(F.floor(F.col("event_id") / D.EVENTS_PER_FILE).cast("bigint")).alias("source_file"),
+                     (F.col("event_id") % D.EVENTS_PER_FILE + 1).cast("int").alias("source_line"))
+    return placement.lines(store, spec, keys)
+
+
+def q_text_skipping(spark, sf):
+    """Rows with a rare needle by way of the n-gram filters, and whether these left files unopened that hold none."""
+    store, spec, _ = _items(spark, sf)
+    ngrams.enable(store, spec)
+    needle = "order 7 line 1"
+    out = ngrams.files_without(store, spec, [needle])
+    skipped = out.count()
+    page = pages.page(store, spec, size=1000, text=needle)
+    read = sum(map(len, page.blocks))
+    rows = [(r["source_file"], r["source_line"], r["time"], skipped > 0 and read > 0) for r in page.rows]
+    return spark.createDataFrame(rows, "source_file string, source_line int, time timestamp_ntz, files_skipped boolean").select("time", "files_skipped")
+
+
 def q_distinct_levels(spark, sf):
     _, _, t = _events(spark, sf)
     return Q.distinct_levels(t)
@@ -329,6 +380,8 @@ def q_delete_older(spark, sf):
 
 
 RETENTION_NOW = datetime(1998, 6, 1)
+#: The values of `o_orderpriority`.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 RETENTION_DAYS = 1000
 
 
@@ -352,6 +405,57 @@ def q_compact_preserves(spark, sf):
                  F.min("time").alias("min_time"), F.max("time").alias("max_time"))
 
 
+#: Small enough that the months of `lineitem` take several files each.
+COMPACT_FILE_BYTES = 4096
+
+
+def _time_order(spark, sf, kind) -> DataFrame:
+    store, spec, _ = D.build_source(spark, kind, sf, cache=False)
+    R.compact(store, spec, file_bytes=COMPACT_FILE_BYTES)
+    found = P.overlaps(store, spec).agg(F.sum("n_overlaps").alias("n_overlaps"), (F.max("n_files") > 1).alias("several_files"))
+    t = store.table(spec).agg(F.count(F.lit(1)).alias("n_rows"), F.min("time").alias("min_time"), F.max("time").alias("max_time"))
+    return t.join(found)
+
+
+def q_compact_time_order(spark, sf):
+    """After a compaction the files of a date follow each other in time."""
+    return _time_order(spark, sf, "lineitem")
+
+
+def q_compact_burst(spark, sf):
+    """The same where every row has one timestamp: still several files, cut by file and line."""
+    return _time_order(spark, sf, "burst")
+
+
+def q_size_cap(spark, sf):
+    """Retention by size under a cap of half the table: what is left are the newest rows, and the table fits or three passes ran."""
+    store, spec, _ = _items(spark, sf, fresh=True)
+    cap = store.size_bytes(spec.id) // 2
+    res = R.apply_retention(store, spec, RETENTION_NOW, cap_bytes=cap)
+    left = store.table(spec).agg(F.count(F.lit(1)).alias("n_left"), F.min("time").alias("oldest"))
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    newer = items.join(left).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("l_shipdate") >= F.col("oldest")).alias("n_newer"))
+    return left.join(newer).select(
+        "n_rows", (F.lit(res.rows_deleted) + F.col("n_left")).cast("bigint").alias("n_accounted"), (F.col("n_newer") == F.col("n_left")).alias("kept_are_newest"),
+        F.lit(res.size_bytes <= cap or res.size_passes == R.SIZE_CAP_MAX_PASSES).alias("fits"), F.lit(res.rows_deleted > 0).alias("deleted_some"))
+
+
+def q_byte_order_marks(spark, sf):
+    """Every second object starts with a byte-order mark: its first line is no JSON object and is skipped."""
+    store, spec, _ = D.build_source(spark, "marked", sf, load=False, cache=False)
+    return _summaries(spark, L.sync(store, spec))
+
+
+def q_autoload_batches(spark, sf):
+    """The stream with at most twenty files a batch: every file once, and as many batches as that takes."""
+    from tidelog.streaming.autoload import done_batches, start_autoload
+    store, spec, _ = D.build_source(spark, "orders", sf, load=False, cache=False)
+    ckpt = f"{store.root}/autoload"
+    start_autoload(store, spec.id, ckpt, available_now=True, max_files=20).awaitTermination()
+    return (store.table(spec).groupBy(F.col("source_file").alias("name")).agg(F.count(F.lit(1)).alias("n_rows"))
+            .withColumn("n_batches", F.lit(len(done_batches(store, ckpt))).cast("bigint")))
+
+
 def q_trim_fraction(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     sizes = o.groupBy("o_orderpriority").agg((F.count(F.lit(1)) * 4096).cast("bigint").alias("size_bytes"))
@@ -548,34 +652,69 @@ def q_age_filter(spark, sf):
     return spark.createDataFrame(rows, "days_later int, n_files bigint")
 
 
-def _nation_sources(spark, sf):
-    """A catalogue with one source per nation; a few dozen by nature of the table."""
-    store = LogStore(spark, D.new_area(spark, "nations") + "/store")
-    for r in spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").collect():
-        store.create_source(r["n_name"], "path", {"root": f"{store.root}/none"}, prefix=f"r{r['n_regionkey']}/",
-                            retention_days=r["n_nationkey"])
+def _priority_sources(spark, sf) -> LogStore:
+    """A catalogue with one loaded source for each of the five order priorities."""
+    area = D.new_area(spark, "priorities")
+    D.write_ndjson(spark, D.priority_lines(spark.read.parquet(f"{sf}/orders.parquet")), f"{area}/objects")
+    store = LogStore(spark, f"{area}/store")
+    for name in PRIORITIES:
+        spec = store.create_source(name, "path", {"root": f"{area}/objects"}, prefix=f"p{name[0]}/", retention_days=int(name[0]), partition_unit="month")
+        L.sync_source(store, spec)
     return store
 
 
+def _rows_of(store: LogStore) -> DataFrame:
+    """Rows and columns of every source of a catalogue."""
+    counts = [store.table(s).groupBy(F.lit(s.name).alias("name")).agg(F.count(F.lit(1)).alias("n_rows")) for s in store.list_sources()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def q_define_source(spark, sf):
-    """Definitions as they are read back from the catalogue."""
-    specs = _nation_sources(spark, sf).list_sources()
-    return spark.createDataFrame([(s.name, s.prefix, s.retention_days, len(s.fields)) for s in specs],
-                                 "name string, prefix string, retention_days int, n_fields int")
+    """Definitions as they are read back from the catalogue, with the rows that their typed tables took."""
+    store = _priority_sources(spark, sf)
+    defined = store.sources_df().select("name", "prefix", "retention_days", F.json_array_length("fields_json").alias("n_fields"))
+    return defined.join(_rows_of(store), "name")
 
 
 def q_sources_report(spark, sf):
-    return _nation_sources(spark, sf).sources_df().select("name", "source_type", "prefix", "retention_days", "size_bytes")
+    """The report's sizes against those that the rows' own files have."""
+    store = _priority_sources(spark, sf)
+    files = None
+    for s in store.list_sources():
+        one = store.table(s).select(F.lit(s.name).alias("name"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+        files = one if files is None else files.unionByName(one)
+    own = files.groupBy("name", "file").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n")).groupBy("name").agg(
+        F.sum("size").alias("own_bytes"), F.sum("n").alias("n_rows"))
+    return store.sources_df().join(own, "name").select("name", "source_type", "prefix", "retention_days", "n_rows",
+                                                       ((F.col("size_bytes") == F.col("own_bytes")) & (F.col("size_bytes") > 0)).alias("size_agrees"))
+
+
+def q_partition_sizes(spark, sf):
+    """Bytes of every partition by the distributed listing, against the sizes that the rows' own files report."""
+    store, spec, t = _events(spark, sf)
+    files = t.groupBy("event_date", F.col("_metadata.file_path").alias("file")).agg(F.first("_metadata.file_size").alias("size"), F.count(F.lit(1)).alias("n"))
+    own = files.groupBy("event_date").agg(F.sum("size").alias("own_bytes"), F.sum("n").alias("n_rows"))
+    listed = store.sizes_df().where(F.col("id") == spec.id)
+    both = own.join(listed, own["event_date"].eqNullSafe(listed["event_date"]), "full")
+    same = (F.col("own_bytes") == F.col("size_bytes")) & (F.col("size_bytes") > 0)
+    return both.agg(F.sum("n_rows").alias("n_rows"), F.min(F.coalesce(same, F.lit(False))).alias("sizes_agree"))
 
 
 def q_drop_source(spark, sf):
-    """Sources of one region are dropped; the others and their tables stay."""
-    store = _nation_sources(spark, sf)
-    for s in store.list_sources():
-        if s.prefix == "r0/":
-            store.delete_source(s.id)
-    rows = [(s.name, D.fs.exists(spark, store.table_dir(s.id))) for s in store.list_sources()]
-    return spark.createDataFrame(rows, "name string, has_table boolean")
+    """One source of the catalogue is dropped; the others keep their rows, and its own table can't be read any more."""
+    store = _priority_sources(spark, sf)
+    gone = store.list_sources()[0]
+    store.delete_source(gone.id)
+    left = _rows_of(store).withColumn("readable", F.lit(True))
+    try:
+        store.table(gone)
+        dropped = True
+    except KeyError:
+        dropped = D.fs.exists(spark, store.table_dir(gone.id))
+    return left.unionByName(spark.createDataFrame([(gone.name, 0, dropped)], "name string, n_rows bigint, readable boolean"))
 
 
 def q_maintenance_pass(spark, sf):
@@ -673,7 +812,7 @@ ORACLE = {
         "- INTERVAL 1000 DAY THEN 1 ELSE 0 END) AS BIGINT) AS r FROM lineitem) "
         "SELECT d AS rows_deleted, (d > 0 AND (r = 0 OR d >= 0.25 * r)) AS compacted, r AS n_remaining FROM c"),
     "compact_preserves": (
-        "WITH n AS (SELECT l_orderkey % 8 AS f, count(*) AS k FROM lineitem GROUP BY 1) "
+        "WITH n AS (SELECT l_orderkey % (SELECT GREATEST(8, CAST(ceil(count(*) / 200000.0) AS BIGINT)) FROM lineitem) AS f, count(*) AS k FROM lineitem GROUP BY 1) "
         "SELECT (SELECT CAST(count(*) AS BIGINT) FROM lineitem) AS n_rows, CAST(count(*) AS BIGINT) AS n_files, "
         "CAST(SUM(k * (k + 1) / 2) AS BIGINT) AS sum_lines, (SELECT min(l_shipdate) FROM lineitem) AS min_time, "
         "(SELECT max(l_shipdate) FROM lineitem) AS max_time FROM n"),
@@ -740,11 +879,40 @@ ORACLE = {
         "WITH " + _ORDERS_NAMES + ", f AS (SELECT count(DISTINCT name) AS n FROM named) "
         "SELECT CAST(d AS INTEGER) AS days_later, CAST(CASE WHEN d <= 3 THEN n ELSE 0 END AS BIGINT) AS n_files "
         "FROM f, (VALUES (0), (2), (10)) v(d)"),
-    "define_source": ("SELECT n_name AS name, 'r' || CAST(n_regionkey AS VARCHAR) || '/' AS prefix, "
-                      "CAST(n_nationkey AS INTEGER) AS retention_days, CAST(6 AS INTEGER) AS n_fields FROM nation"),
-    "sources_report": ("SELECT n_name AS name, 'path' AS source_type, 'r' || CAST(n_regionkey AS VARCHAR) || '/' AS prefix, "
-                       "CAST(n_nationkey AS INTEGER) AS retention_days, CAST(0 AS BIGINT) AS size_bytes FROM nation"),
-    "drop_source": "SELECT n_name AS name, true AS has_table FROM nation WHERE n_regionkey <> 0",
+    "define_source": (
+        "SELECT o_orderpriority AS name, 'p' || o_orderpriority[1] || '/' AS prefix, CAST(o_orderpriority[1] AS INTEGER) AS retention_days, "
+        "CAST(6 AS INTEGER) AS n_fields, CAST(count(*) AS BIGINT) AS n_rows FROM orders GROUP BY ALL"),
+    "sources_report": (
+        "SELECT o_orderpriority AS name, 'path' AS source_type, 'p' || o_orderpriority[1] || '/' AS prefix, "
+        "CAST(o_orderpriority[1] AS INTEGER) AS retention_days, CAST(count(*) AS BIGINT) AS n_rows, true AS size_agrees FROM orders GROUP BY ALL"),
+    "drop_source": (
+        "SELECT o_orderpriority AS name, CAST(count(*) FILTER (o_orderpriority <> '1-URGENT') AS BIGINT) AS n_rows, "
+        "o_orderpriority <> '1-URGENT' AS readable FROM orders GROUP BY o_orderpriority"),
+    "partition_sizes": _ev("SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS sizes_agree FROM rows"),
+    "rare_needle_page": _ev(
+        ", hits AS (SELECT *, row_number() OVER (ORDER BY " + PAGE_ORDER_SQL + ") AS rn FROM rows WHERE contains(raw, ' #77')) "
+        "SELECT time, level, " + FIELDS_TEXT_SQL + ", source_file, source_line, CAST(1 AS BIGINT) AS reads_of_a_file FROM hits WHERE rn <= 100"),
+    "pick_list": _ev(
+        ", v AS (SELECT DISTINCT accession FROM rows WHERE accession IS NOT NULL) "
+        "SELECT source_file, source_line FROM rows WHERE EXISTS (SELECT 1 FROM v WHERE contains(raw, v.accession))"),
+    "pick_list_matches": _ev(
+        ", v AS (SELECT DISTINCT CASE event_id % 50 WHEN 0 THEN 'user_' || user_id || ' #' || event_id WHEN 1 THEN event_type WHEN 2 THEN 'S' || user_id "
+        "WHEN 4 THEN 'no such' END AS value FROM events) "
+        "SELECT value, CAST(count(*) AS BIGINT) AS n_rows FROM rows JOIN v ON contains(raw, value) GROUP BY value"),
+    "look_up_lines": _ev("SELECT source_file, source_line, raw FROM rows WHERE id % 37 = 0"),
+    "text_skipping": ("SELECT l_shipdate AS time, true AS files_skipped FROM lineitem "
+                      "WHERE contains('order ' || l_orderkey || ' line ' || l_linenumber, 'order 7 line 1')"),
+    "compact_time_order": ("SELECT CAST(count(*) AS BIGINT) AS n_rows, min(l_shipdate) AS min_time, max(l_shipdate) AS max_time, CAST(0 AS BIGINT) AS n_overlaps, "
+                           "true AS several_files FROM lineitem"),
+    "compact_burst": ("SELECT CAST(count(*) AS BIGINT) AS n_rows, TIMESTAMP '1995-06-17' AS min_time, TIMESTAMP '1995-06-17' AS max_time, CAST(0 AS BIGINT) AS n_overlaps, "
+                      "true AS several_files FROM lineitem"),
+    "size_cap": ("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_accounted, true AS kept_are_newest, true AS fits, true AS deleted_some FROM lineitem"),
+    "byte_order_marks": _ev(
+        ", m AS (SELECT *, id % 1000 = 0 AND (id // 1000) % 2 = 0 AS marked FROM lines) "
+        "SELECT source_file AS file_name, CAST(count(*) FILTER (c NOT IN (4, 5) AND NOT marked) AS BIGINT) AS rows_inserted, "
+        "CAST(count(*) FILTER (c = 4 OR marked) AS BIGINT) AS lines_skipped, false AS has_error FROM m GROUP BY source_file"),
+    "autoload_batches": ("WITH " + _ORDERS_NAMES + "SELECT name, CAST(count(*) AS BIGINT) AS n_rows, "
+                         "CAST(ceil((SELECT count(DISTINCT name) FROM named) / 20.0) AS BIGINT) AS n_batches FROM named GROUP BY name"),
     "maintenance_pass": (
         "WITH " + _ORDERS_NAMES + f", cut AS (SELECT TIMESTAMP '{RETENTION_NOW.isoformat(sep=' ')}' - INTERVAL {RETENTION_DAYS} DAY AS t), "
         "n AS (SELECT count(DISTINCT name) AS f, count(*) FILTER (CAST(o_orderdate AS TIMESTAMP) < t) AS d FROM named, cut) "
@@ -809,6 +977,17 @@ QUERIES = {
     "sources_report": q_sources_report,
     "drop_source": q_drop_source,
     "maintenance_pass": q_maintenance_pass,
+    "partition_sizes": q_partition_sizes,
+    "rare_needle_page": q_rare_needle_page,
+    "pick_list": q_pick_list,
+    "pick_list_matches": q_pick_list_matches,
+    "look_up_lines": q_look_up_lines,
+    "text_skipping": q_text_skipping,
+    "compact_time_order": q_compact_time_order,
+    "compact_burst": q_compact_burst,
+    "size_cap": q_size_cap,
+    "byte_order_marks": q_byte_order_marks,
+    "autoload_batches": q_autoload_batches,
 }
 
 

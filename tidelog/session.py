@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # Dynamic partition overwrite: a rewrite touches only the partitions it produces.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "zstd",
+    # A list of up to this many names reaches the Parquet reader as a list, which it tests against dictionaries and Bloom filters.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 

@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 from tidelog.functions import extract as X
 
 SPLIT_COLS = ["source_path", "split_start"]
+#: Objects that the reader decompresses, whose size tells nothing about their lines.
+COMPRESSED = r"\.(gz|bz2|zst|snappy|lz4|deflate)$"
 
 
 def object_path() -> Column:
@@ -46,6 +48,7 @@ def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         object_path().alias("source_path"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("rid"),
+        F.col("_metadata.file_size").alias("file_size"),
         F.col("value"),
     )
 
@@ -57,25 +60,33 @@ def split_table(lines: DataFrame) -> DataFrame:
         F.min("rid").alias("rid0"),
         F.max(F.octet_length("value")).alias("max_len"),
         F.count_if(~X.is_blank(X.strip_cr(F.col("value")))).alias("n_nonblank"),
+        F.sum(F.octet_length("value") + 1).cast("bigint").alias("n_bytes"),
+        F.max("file_size").alias("file_size"),
+        F.min_by(X.is_blank(X.strip_cr(F.col("value"))), F.struct("split_start", "rid")).alias("first_blank"),
     )
+    # The reader swallows a byte-order mark: the lines and their ends are then three bytes short of the file.  The mark stands
+    # before the first value, so that line isn't JSON, nor blank.
+    marked = ((F.col("_short") == 3) | (F.col("_short") == 2)) & ~F.col("source_path").rlike(COMPRESSED)
     w = Window.partitionBy("source_path").orderBy("split_start")
     running = w.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("source_path")
+    per_split = per_split.select("*", (F.col("file_size") - F.sum("n_bytes").over(whole)).alias("_short"))
+    hidden = F.when(marked & F.col("first_blank") & (F.col("split_start") == 0), 1).otherwise(0)
     return per_split.select(
-        *SPLIT_COLS, "rid0",
+        *SPLIT_COLS, "rid0", marked.alias("bom"),
         F.coalesce(F.sum("n_lines").over(running), F.lit(0)).alias("base"),
         F.sum("n_lines").over(whole).alias("file_lines"),
-        F.sum("n_nonblank").over(whole).alias("file_nonblank"),
+        F.sum(F.col("n_nonblank") + hidden).over(whole).alias("file_nonblank"),
         F.max("max_len").over(whole).alias("file_max_len"),
     )
 
 
 def numbered_lines(lines: DataFrame, splits: DataFrame, broadcast_splits: bool) -> DataFrame:
     """Lines of files that pass the line-length rule, with their 1-based line number."""
-    good = splits.where(F.col("file_max_len") < X.MAX_LINE_BYTES).select(*SPLIT_COLS, "rid0", "base")
+    good = splits.where(F.col("file_max_len") < X.MAX_LINE_BYTES).select(*SPLIT_COLS, "rid0", "base", "bom")
     if broadcast_splits:
         good = F.broadcast(good)
-    j = lines.join(good, SPLIT_COLS, "inner")
+    j = lines.join(good, SPLIT_COLS, "inner").where(~(F.col("bom") & (F.col("split_start") == 0) & (F.col("rid") == F.col("rid0"))))
     return j.select(
         "source_path",
         (F.col("base") + (F.col("rid") - F.col("rid0")) + 1).cast("int").alias("source_line"),
