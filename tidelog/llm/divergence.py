@@ -182,18 +182,15 @@ def spill_runs(docs: DataFrame, shards: int, block: int = BLOCK) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, RUN_DDL)
 
 
-def _strings(text: bytes, ends: bytes):
-    at = 0
-    for end in np.frombuffer(ends, "<i4").tolist():
-        yield text[at:end]
-        at = end
+def _strings(text: bytes, ends: bytes) -> list[bytes]:
+    at = np.frombuffer(ends, "<i4").tolist()
+    return [text[a:b] for a, b in zip([0, *at], at)]
 
 
-def _postings(page: dict):
-    lang = page["lang"]
-    for term, source, count, docs in zip(_strings(page["terms"], page["term_ends"]), _strings(page["sources"], page["source_ends"]),
-                                         np.frombuffer(page["counts"], "<i8").tolist(), np.frombuffer(page["docs"], "<i8").tolist(), strict=True):
-        yield lang, term, source, count, docs
+def _postings(page: dict) -> zip:
+    """(term, source, count, docs) of a page, in its order."""
+    return zip(_strings(page["terms"], page["term_ends"]), _strings(page["sources"], page["source_ends"]),
+               np.frombuffer(page["counts"], "<i8").tolist(), np.frombuffer(page["docs"], "<i8").tolist(), strict=True)
 
 
 def merge_runs(runs: DataFrame, least_docs: int) -> DataFrame:
@@ -203,14 +200,17 @@ def merge_runs(runs: DataFrame, least_docs: int) -> DataFrame:
 
     def merge(shard: pa.Table) -> pa.Table:
         out = []
-        postings = heapq.merge(*(_postings(page) for page in shard.to_pylist()))
-        for (lang, term), same in itertools.groupby(postings, key=itemgetter(0, 1)):
-            by_source: dict[bytes, int] = {}
-            docs = 0
-            for _, _, source, n, d in same:
-                by_source[source] = by_source.get(source, 0) + n
-                docs += d
-            if docs >= least_docs:
+        pages: dict[str, list[dict]] = {}
+        for page in shard.to_pylist():
+            pages.setdefault(page["lang"], []).append(page)
+        for lang, runs_of_lang in pages.items():
+            for term, same in itertools.groupby(heapq.merge(*map(_postings, runs_of_lang)), key=itemgetter(0)):
+                postings = list(same)
+                if sum(p[3] for p in postings) < least_docs:
+                    continue
+                by_source: dict[bytes, int] = {}
+                for _, source, n, _ in postings:
+                    by_source[source] = by_source.get(source, 0) + n
                 total, text = sum(by_source.values()), term.decode()
                 out += [(lang, text, source.decode(), n, total, int(k == 0)) for k, (source, n) in enumerate(by_source.items())]
         columns = list(zip(*out)) or [()] * len(KEPT)
@@ -237,16 +237,66 @@ def _distance(a, b) -> Column:
     return F.abs(F.col(a) - F.col(b))
 
 
+def _whole_terms(batches):
+    """Tables that end with the last row of a term."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if rest is not None:
+            rows = pa.concat_tables([rest, rows])
+        new = _new_term(rows)
+        cut = int(np.flatnonzero(new)[-1]) if len(new) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        rest = rows.slice(cut)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _new_term(rows: pa.Table) -> np.ndarray:
+    """Whether a row begins another term than the one before."""
+    new = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        new[1:] = False
+        for c in ("lang", "term"):
+            column = rows[c].combine_chunks()
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _corrections(rows: pa.Table):
+    """((lang, source, other), correction) summed over the terms: rows that lie d apart and have one term, for every d."""
+    term = np.cumsum(_new_term(rows))
+    (lang, langs), (source, sources) = (_ranked(rows[c]) for c in ("lang", "source"))
+    p, zero = rows["p"].to_numpy(), rows["zero"].to_numpy()
+    pair, add = [], []
+    for d in range(1, int(np.bincount(term).max(initial=0))):
+        at = np.flatnonzero(term[d:] == term[:-d])
+        a, b = at, at + d
+        pair.append((lang[a] * len(sources) + source[a]) * len(sources) + source[b])
+        add.append(np.abs(p[a] - p[b]) - np.abs(p[a] - zero[b]) - np.abs(zero[a] - p[b]) + np.abs(zero[a] - zero[b]))
+        if sum(map(len, pair)) > PAIRS:
+            pair, add = [[x] for x in _summed(pair, add)]
+    if pair:
+        langs, sources = ([x.decode() for x in names.to_pylist()] for names in (langs, sources))
+        for key, x in zip(*(c.tolist() for c in _summed(pair, add))):
+            yield (langs[key // len(sources) ** 2], sources[key // len(sources) % len(sources)], sources[key % len(sources)]), x
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(value, first) if len(first) else value
+
+
 def shared_corrections(terms: DataFrame) -> DataFrame:
     """(lang, source, other, correction) over terms that both sources hold, once for each two sources (source < other).
 
     ``terms`` (lang, term, source, p, zero) is dealt by term and streamed; corrections are added up in the task."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa.string()), ("correction", pa.int64())])
 
-    def rows(batches):
-        for batch in batches:
-            yield from zip(*(batch[c].to_pylist() for c in ("lang", "term", "source", "p", "zero")), strict=True)
-
     def run(batches):
         held: Counter = Counter()
 
@@ -254,13 +304,9 @@ def shared_corrections(terms: DataFrame) -> DataFrame:
             keys = list(zip(*held)) or [()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in keys] + [pa.array(held.values(), pa.int64())], schema=schema)
 
-        for (lang, _), same in itertools.groupby(rows(batches), key=itemgetter(0, 1)):
-            sources, p, zero = (list(c) for c in zip(*(r[2:] for r in same)))
-            p, zero = np.array(p, np.int64), np.array(zero, np.int64)
-            for k in range(len(sources) - 1):
-                add = np.abs(p[k] - p[k + 1:]) - np.abs(p[k] - zero[k + 1:]) - np.abs(zero[k] - p[k + 1:]) + np.abs(zero[k] - zero[k + 1:])
-                for other, x in zip(sources[k + 1:], add.tolist()):
-                    held[(lang, sources[k], other)] += x
+        for rows in _whole_terms(batches):
+            for key, x in _corrections(rows):
+                held[key] += x
                 if len(held) >= PAIRS:
                     yield table()
                     held.clear()
