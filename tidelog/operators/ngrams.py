@@ -25,6 +25,7 @@ BITMAP_BITS = 32_768
 #: Grams of a needle that are looked up; fewer only skip less.
 MOST_GRAMS = 64
 
+NAME = "ngrams"
 SCHEMA = "bucket int, event_date date, data_file string, bits binary"
 
 
@@ -42,7 +43,11 @@ def _bit(gram: Column) -> Column:
 
 
 def _at(store: LogStore, sid: str) -> str:
-    return f"{store.table_dir(sid)}/ngrams"
+    return f"{store.table_dir(sid)}/{NAME}"
+
+
+def table(store: LogStore, spec: SourceSpec) -> DataFrame:
+    return store.spark.read.schema(SCHEMA).parquet(_at(store, spec.id))
 
 
 def enabled(store: LogStore, sid: str) -> bool:
@@ -106,7 +111,7 @@ def files_without(store: LogStore, spec: SourceSpec, texts: list[str]) -> DataFr
             byte = F.conv(F.hex(F.substring("bits", p // 8 + 1, 1)), 16, 10).cast("int")
             here = here + F.shiftright(byte, p % 8).bitwiseAND(F.lit(1))
         held = F.when(F.col("bucket") == bucket, here).otherwise(held)
-    rows = store.spark.read.schema(SCHEMA).parquet(_at(store, spec.id)).where(F.col("bucket").isin(0, *wanted))
+    rows = table(store, spec).where(F.col("bucket").isin(0, *wanted))
     # A file that was described twice has equal rows: the greatest of them, then the sum over buckets.
     once = rows.groupBy("event_date", "data_file", "bucket").agg(F.max(held).alias("n"))
     found = once.groupBy("event_date", "data_file").agg(F.sum("n").alias("n"), F.max(F.col("bucket") == 0).alias("covered"))

@@ -190,21 +190,24 @@ def newest_files(store: LogStore, spec: SourceSpec, time_from: datetime | None =
 
 
 def compact_index(store: LogStore, spec: SourceSpec, min_files: int = MANY_FILES) -> bool:
-    """Rewrite both tables without the rows of data files that are gone, once one has many files."""
+    """Rewrite the tables about data files without the rows of those that are gone, once one has many files."""
     h = fs.Handle(store.spark, store.table_dir(spec.id))
-    if max(len(h.sizes(_dir(store, spec.id, n))) for n in ("placement", "file_times")) < min_files:
+    names = [n for n in ("file_times", "placement", ngrams.NAME) if h.exists(_dir(store, spec.id, n))]
+    if max((len(h.sizes(_dir(store, spec.id, n))) for n in names), default=0) < min_files:
         return False
     there = (store.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store.data_dir(spec.id))
              .select(F.element_at(F.split("path", "/"), -2).alias("_dir"), F.element_at(F.split("path", "/"), -1).alias("data_file")))
     of_date = F.coalesce(F.concat(F.lit("event_date="), F.col("event_date").cast("string")), F.lit(NULL_PARTITION))
-    for name, rows in (("placement", placement(store, spec)), ("file_times", file_times(store, spec))):
-        new = _dir(store, spec.id, name) + ".new"
+    tables = {"file_times": (file_times, ["max_time"]), "placement": (placement, ["source_file"]), ngrams.NAME: (ngrams.table, ["bucket", "data_file"])}
+    for name in names:
+        read, key = tables[name]
+        rows = read(store, spec)
         live = rows.withColumn("_dir", of_date).join(there, ["_dir", "data_file"], "left_semi").select(*rows.columns)
-        key = "source_file" if name == "placement" else "max_time"
-        live.hint("rebalance").sortWithinPartitions(key).write.mode("overwrite").option("parquet.bloom.filter.enabled#source_file", "true").parquet(new)
-    old, new = (_dir(store, spec.id, n) for n in ("placement", "file_times"))
-    h.delete(new, True)  # cut short from here on, `ensure` builds both anew
-    h.delete(old, True)
-    h.rename(old + ".new", old)
-    h.rename(new + ".new", new)
+        (live.hint("rebalance").sortWithinPartitions(*key).write.mode("overwrite").option("parquet.bloom.filter.enabled#source_file", "true")
+         .parquet(_dir(store, spec.id, name) + ".new"))
+    # Cut short from here on, `ensure` builds the first two anew, and a source without filters skips nothing.
+    for name in names:
+        h.delete(_dir(store, spec.id, name), True)
+    for name in reversed(names):
+        h.rename(_dir(store, spec.id, name) + ".new", _dir(store, spec.id, name))
     return True
