@@ -64,6 +64,18 @@ def texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+_words: dict[str, dict] = {}
+
+
+def word_cache(owner: str) -> dict:
+    """What a Python worker keeps about words for one operator.  Workers outlive tasks and operators: the cache of an operator
+    goes as soon as another one asks for its own, so that they never add up."""
+    if owner not in _words:
+        _words.clear()
+        _words[owner] = {}
+    return _words[owner]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

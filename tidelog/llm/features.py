@@ -1,6 +1,7 @@
 """Hashed indicator features of texts, and counts of them by class over all labelled rows.
 
-Every distinct word is hashed once per worker and kept; the kept words are bounded by ``KEPT``.
+Every distinct word is hashed once per worker and kept for as long as the worker stays with the operator; the kept words are
+bounded by ``KEPT``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import id_remainder, texts
+from tidelog.llm.common import id_remainder, texts, word_cache
 
 #: Features are hashed into this many buckets: it bounds the models, whatever the corpus.
 BUCKETS = 1 << 18
@@ -25,9 +26,6 @@ KEPT = 400_000
 REPEATS = (0.0, 0.02, 0.1, 0.3, 0.6)
 PREFIXES = (4, 5, 6)
 
-_prefixed: dict[str, np.ndarray] = {}
-_shaped: dict[str, tuple[int, int]] = {}
-
 
 def bucket(kind: str, what: str) -> int:
     """Words share the lower half of the buckets, features of other kinds the upper half."""
@@ -40,11 +38,12 @@ def bare(word: str) -> str:
     return word.strip(string.punctuation).lower()
 
 
-def _word_and_prefixes(word: str) -> np.ndarray:
+def _word_and_prefixes(word: str) -> bytes:
+    """Buckets (int32) of a word and its prefixes."""
     w = bare(word)
     if not w:
-        return np.zeros(0, np.int32)
-    return np.array([bucket("w", w), *(bucket(f"p{n}", w[:n]) for n in PREFIXES if len(w) > n)], np.int32)
+        return b""
+    return np.array([bucket("w", w), *(bucket(f"p{n}", w[:n]) for n in PREFIXES if len(w) > n)], np.int32).tobytes()
 
 
 def shape(word: str) -> str:
@@ -69,15 +68,16 @@ STYLES = ("shouts", "exclaims", "short")
 
 def lexical(text: str) -> np.ndarray:
     """Distinct buckets of a text's words, their prefixes and the patterns of its style."""
-    found = [np.array([bucket("style", x) for x in style(text)], np.int32)]
+    kept = word_cache("prefixes")
+    found = [np.array([bucket("style", x) for x in style(text)], np.int32).tobytes()]
     for w in set(text.split()):
-        x = _prefixed.get(w)
+        x = kept.get(w)
         if x is None:
             x = _word_and_prefixes(w)
-            if len(_prefixed) < KEPT:
-                _prefixed[w] = x
+            if len(kept) < KEPT:
+                kept[w] = x
         found.append(x)
-    return np.unique(np.concatenate(found)).astype(np.int32)
+    return np.unique(np.frombuffer(b"".join(found), np.int32))
 
 
 @functools.lru_cache(1 << 16)
@@ -88,13 +88,14 @@ def _pair(a: int, b: int) -> int:
 def stylistic(text: str) -> np.ndarray:
     """Distinct buckets of word 1-grams, word-shape 1- and 2-grams, and shares of repeated word 2-grams."""
     words = text.split()
+    kept = word_cache("shapes")
     seen, shapes = set(), []
     for w in words:
-        x = _shaped.get(w)
+        x = kept.get(w)
         if x is None:
             x = (bucket("w", bare(w)), bucket("s1", shape(w)))
-            if len(_shaped) < KEPT:
-                _shaped[w] = x
+            if len(kept) < KEPT:
+                kept[w] = x
         seen.add(x[0])
         shapes.append(x[1])
     seen.update(shapes)

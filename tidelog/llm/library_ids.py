@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidelog.llm.common import word_cache
+
 #: Words kept by one worker, and the longest that is kept.
 KEPT = 1_200_000
 KEPT_CHARS = 40
@@ -26,7 +28,8 @@ CLOSE = "\x01"
 _GAPS = "  | \\n|\\n |\\n\\n|[\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 # Outside these letters, lower case and composition may depend on more than the character.
 _NOT_LATIN = "[^\\x00-\\x{24f}]|\\x{130}"
-# A comma or stop that doesn't follow a letter or digit; behind one it is a piece of its own.
+# A comma or stop that doesn't follow a letter or digit; behind one it is a piece of its own.  Not so behind U+0130: in lower
+# case it ends with a combining dot.
 _STOP_IN_RUN = "[^a-zA-Z0-9\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}][.,](?: |\\n|$)"
 
 
@@ -45,10 +48,10 @@ class WordIds:
     ignore case and drop white space.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaces_kept: bool):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaces_kept: bool, name: str = ""):
         self._encode = encode
         self._spaces = spaces_kept
-        self._kept: dict[str, bytes] = {}
+        self._name = f"ids of {name}"
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after another (uint32), and where each begins, with the end of the last."""
@@ -86,7 +89,7 @@ class WordIds:
         return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
 
     def _look_up(self, words: list[str]) -> list[bytes]:
-        kept = self._kept
+        kept = word_cache(self._name)
         out = list(map(kept.get, words))
         missed = [k for k, x in enumerate(out) if x is None]
         if missed:
@@ -139,4 +142,4 @@ def library_ids(path: str, spaces_kept: bool) -> WordIds:
                 start = end + 1
         return out
 
-    return WordIds(encode, spaces_kept)
+    return WordIds(encode, spaces_kept, path)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stored, texts
+from tidelog.llm.common import stored, texts, word_cache
 from tidelog.llm.components import components
 
 WORDS = 5
@@ -44,7 +44,6 @@ _A = _random.integers(0, 1 << 32, HASHES + LONG, dtype=np.uint32) | np.uint32(1)
 _B = _random.integers(0, 1 << 32, HASHES + LONG, dtype=np.uint32)
 _PLACE = _random.integers(0, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _BAND = _random.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-_kept: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,13 +56,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    got = list(map(_kept.get, words))
+    kept = word_cache("shingles")
+    got = list(map(kept.get, words))
     if None in got:
         for k, h in enumerate(got):
             if h is None:
                 got[k] = h = int.from_bytes(hashlib.blake2b(words[k], digest_size=8).digest(), "little")
-                if len(_kept) < KEPT:
-                    _kept[words[k]] = h
+                if len(kept) < KEPT:
+                    kept[words[k]] = h
     return np.array(got, np.uint64)
 
 
