@@ -6,6 +6,7 @@ import pytest
 from conftest_llm import ROWS, vocabulary
 
 from tidelog.llm import bpe, packing, token_files
+from tidelog.llm.common import word_cache
 from tidelog.llm.library_ids import library_ids
 from tidelog.llm.range_coder import decode_segment, encode_segment
 
@@ -27,6 +28,21 @@ def test_words_put_together_are_the_library_s_ids(name, spaces):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == _library(name, texts)[1]
 
 
+@pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_every_character_before_a_stop(name, spaces):
+    """All characters of the basic plane (but surrogates) with a comma or stop behind them, inside and at the end."""
+    chars = [chr(k) for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000]
+    texts = [f"a{c}{'.,'[k % 2]} x{c}{'.,'[k // 2 % 2]}" for k, c in enumerate(chars)] + ["İ.", "KADIKÖYİ, x", "İ. x"]
+    got = library_ids(vocabulary(name), spaces).bytes_of(pa.array(texts))
+    assert [t for t, x, want in zip(texts, got, _library(name, texts)[1]) if np.frombuffer(x, "<u4").tolist() != want] == []
+
+
+def test_word_caches_of_operators_do_not_add_up():
+    a = word_cache("a")
+    a["x"] = 1
+    assert word_cache("a") is a and word_cache("b") == {} and word_cache("a") == {}
+
+
 def test_prefix_dynamic_programming_is_exact_and_decodes():
     texts = TRICKY + [t or "" for _, t in ROWS] + ["aaaaaaaaaaaaab" * 9, "unbelievablyinternationalisation", "ABABABAB", "=========", "hello" * 40]
     own = bpe.prefix_bpe(vocabulary("byte_bpe_50k.json"))

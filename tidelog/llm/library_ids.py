@@ -30,7 +30,7 @@ _GAPS = "  | \\n|\\n |\\n\\n|[\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{
 _NOT_LATIN = "[^\\x00-\\x{24f}]|\\x{130}"
 # A comma or stop that doesn't follow a letter or digit; behind one it is a piece of its own.  Not so behind U+0130: in lower
 # case it ends with a combining dot.
-_STOP_IN_RUN = "[^a-zA-Z0-9\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}][.,](?: |\\n|$)"
+_STOP_IN_RUN = "[^a-zA-Z0-9\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}][.,](?: |\\n|$)"
 
 
 def _text(x: str) -> pa.Scalar:
