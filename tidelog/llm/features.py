@@ -49,7 +49,7 @@ def _word_and_prefixes(word: str) -> bytes:
 def shape(word: str) -> str:
     """Runs of capitals, other letters and digits as A, a and 0; other characters as they are, runs of one shortened to two."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k or (k not in "Aa0" and out[-2:] != [k, k]):
             out.append(k)
