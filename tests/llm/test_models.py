@@ -88,3 +88,11 @@ def test_dual_coordinate_descent_separates():
     w = quality.dual_coordinate_descent(rows, signs, np.array([2.0, -2.0, 0.0, 0.0]))
     scale = np.array([2.0, -2.0, 0.0, 0.0])
     assert all(np.sign(w[x] @ scale[x] + w[-1]) == s for x, s in zip(rows, signs, strict=True))
+
+
+def test_every_piece_of_a_vocabulary_has_its_arc():
+    """Also those whose slots are taken in both tables: each is found by the hash of its own characters."""
+    pieces, _ = language_model.vocabulary(vocabulary("piece_bpe_32k.model"))
+    own = Lattice(pieces)
+    assert len(own.last) and own._find(own.keys[:len(pieces)]).tolist() == list(range(len(pieces)))
+    assert (own._find(own.keys[:len(pieces)] ^ np.uint64(0x5555555555555555)) == len(pieces)).all()

@@ -53,7 +53,7 @@ class Lattice:
             codes = np.frombuffer("".join(pieces[k] for k in own).encode("utf-32-le"), np.uint32).reshape(len(own), n)
             self.keys[own] = _hash(codes)[:, n]
         self.power = np.array([pow(int(_BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
-        # A piece lies in the slot of its hash, or where that is taken in the second table.
+        # A piece lies in the slot of its hash, or where that is taken in the second table, or else in a sorted list.
         none = len(pieces)
         self.first, self.second = (np.full(1 << SLOT_BITS, none, np.int32) for _ in range(2))
         slots = self._slot(self.keys[:none], 0)
@@ -63,7 +63,9 @@ class Lattice:
         slots = self._slot(self.keys[rest], 1)
         _, kept = np.unique(slots, return_index=True)
         self.second[slots[kept]] = rest[kept]
-        self.left_out = np.setdiff1d(rest, rest[kept])  # in neither table: no arc, their scores are never used
+        # The few that neither table holds, in the order of their keys.
+        last = np.setdiff1d(rest, rest[kept])
+        self.last = last[np.argsort(self.keys[last])]
 
     @staticmethod
     def _slot(h: np.ndarray, table: int) -> np.ndarray:
@@ -76,6 +78,10 @@ class Lattice:
         if len(missed):
             again = self.second[self._slot(h[missed], 1)]
             k[missed] = np.where(self.keys[again] == h[missed], again, len(self.pieces))
+            if len(self.last):
+                missed = missed[k[missed] == len(self.pieces)]
+                at = np.searchsorted(self.keys[self.last], h[missed]) % len(self.last)
+                k[missed] = np.where(self.keys[self.last[at]] == h[missed], self.last[at], k[missed])
         return k
 
     def _arcs(self, codes: np.ndarray, scores: np.ndarray):
