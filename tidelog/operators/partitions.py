@@ -106,16 +106,20 @@ def _dated() -> Column:
 
 
 def _by_time(rows: DataFrame, files: dict[str, int]) -> DataFrame:
-    """Rows dealt by date and range of time: each task gets neighbouring ranges, sorted."""
+    """Rows dealt by date and range of time, sorted: every range of every date is a task of its own and becomes one file."""
     many = {p: n for p, n in files.items() if n > 1}
     columns = rows.columns
-    place = F.lit(0)
-    if many:
-        bounds = _bounds(rows, many)
-        rows = rows.withColumn("_date", _dated()).join(bounds, "_date", "left")
-        place = _rank(F.col("_bounds"), _key(), max(many.values()))
-    return (rows.select(*columns, place.alias("_place")).repartitionByRange(sum(files.values()), "event_date", "_place")
-            .sortWithinPartitions("event_date", F.col("time").asc_nulls_last(), "source_file", "source_line").select(*columns))
+    order = ["event_date", F.col("time").asc_nulls_last(), "source_file", "source_line"]
+    if not many:
+        return rows.repartition(len(files), "event_date").sortWithinPartitions(*order)
+    starts, start = [], 0
+    for p, n in files.items():
+        starts.append((_date(p), start))
+        start += n
+    numbered = rows.sparkSession.createDataFrame(starts, "_date date, _start int")
+    placed = rows.withColumn("_date", _dated()).join(numbered, "_date").join(_bounds(rows, many), "_date", "left")
+    place = F.col("_start") + _rank(F.col("_bounds"), _key(), max(many.values()))
+    return placed.select(*columns, place.alias("_place")).repartitionById(start, F.col("_place")).sortWithinPartitions(*order).select(*columns)
 
 
 def _bounds(rows: DataFrame, many: dict[str, int]) -> DataFrame:

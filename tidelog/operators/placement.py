@@ -2,7 +2,7 @@
 
 Two small tables beside the data, appended before data files become visible:
 
-    <table>/placement/   (source_file, event_date, data_file, n_rows)      one row per data file and object in it
+    <table>/placement/   (source_file, event_date, data_file, times and counts)   one row per data file and object in it
     <table>/file_times/  (event_date, data_file, min_time, max_time, n_rows, n_untimed)   one row per data file
 
 Data files are never changed and their names never used again, so a row of a data file that a rewrite replaced is merely dead:
@@ -24,7 +24,8 @@ from tidelog.operators import ngrams
 from tidelog.sources import fs
 from tidelog.spec import SourceSpec
 
-PLACEMENT = "source_file string, event_date date, data_file string, n_rows bigint"
+PLACEMENT = ("event_date date, data_file string, source_file string, min_time timestamp_ntz, max_time timestamp_ntz, "
+             "n_rows bigint, n_untimed bigint")
 TIMES = "event_date date, data_file string, min_time timestamp_ntz, max_time timestamp_ntz, n_rows bigint, n_untimed bigint"
 NULL_PARTITION = "event_date=__HIVE_DEFAULT_PARTITION__"
 #: Files of one of the two tables from which it is rewritten without its dead rows.
@@ -52,41 +53,55 @@ def describe_staged(store: LogStore, spec: SourceSpec, staged: str) -> DataFrame
     if not any(n.startswith("event_date=") for n in h.names(staged)):
         return None
     at = staged + ".files"
-    schema = "event_date date, data_file string, source_file string, min_time timestamp_ntz, max_time timestamp_ntz, n_rows bigint, n_untimed bigint"
     if not h.exists(at + "/_SUCCESS"):
-        describe(store.spark.read.schema(spec.storage_schema()).parquet(staged)).write.mode("overwrite").parquet(at)
-    return store.spark.read.schema(schema).parquet(at)
+        _write(describe(store.spark.read.schema(spec.storage_schema()).parquet(staged)), at)
+    return store.spark.read.schema(PLACEMENT).parquet(at)
+
+
+def _write(found: DataFrame, at: str) -> None:
+    found.sortWithinPartitions("source_file").write.mode("overwrite").option("parquet.bloom.filter.enabled#source_file", "true").parquet(at)
 
 
 def record(store: LogStore, spec: SourceSpec, staged: str) -> None:
     """Add the rows of staged data files to both tables; to be called before the files are moved into the table."""
     ensure(store, spec)
-    found = describe_staged(store, spec, staged)
-    if found is not None:
-        _append(store, spec.id, found)
+    if describe_staged(store, spec, staged) is not None:
         ngrams.append(store, spec, staged)
-        fs.delete(store.spark, staged + ".files", True)
+        _add(store, spec.id, staged + ".files")
+
 
+def _add(store: LogStore, sid: str, at: str) -> None:
+    """A written description joins the tables: its files move to `placement`, after `file_times` has its sums per data file."""
+    _times(store.spark.read.schema(PLACEMENT).parquet(at)).write.mode("append").parquet(_dir(store, sid, "file_times"))
+    h = fs.Handle(store.spark, at)
+    h.mkdirs(_dir(store, sid, "placement"))
+    for name in h.names(at):
+        if name.startswith("part-"):
+            h.rename(f"{at}/{name}", f"{_dir(store, sid, 'placement')}/{name}")
+    h.delete(at, True)
 
-def _append(store: LogStore, sid: str, found: DataFrame) -> None:
-    (found.select("source_file", "event_date", "data_file", "n_rows").hint("rebalance").sortWithinPartitions("source_file")
-     .write.mode("append").option("parquet.bloom.filter.enabled#source_file", "true").parquet(_dir(store, sid, "placement")))
-    (found.groupBy("event_date", "data_file").agg(F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"),
-                                                  F.sum("n_rows").alias("n_rows"), F.sum("n_untimed").alias("n_untimed"))
-     .hint("rebalance").write.mode("append").parquet(_dir(store, sid, "file_times")))
+
+def _times(found: DataFrame) -> DataFrame:
+    return found.groupBy("event_date", "data_file").agg(F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"),
+                                                        F.sum("n_rows").alias("n_rows"), F.sum("n_untimed").alias("n_untimed"))
 
 
 def ensure(store: LogStore, spec: SourceSpec) -> None:
     """Both tables exist; one scan of an older table that has data but no such rows."""
     h = fs.Handle(store.spark, store.table_dir(spec.id))
-    if h.exists(_dir(store, spec.id, "file_times")):
+    both = [_dir(store, spec.id, n) for n in ("placement", "file_times")]
+    if all(map(h.exists, both)):
         return
-    for name in ("placement", "file_times"):
-        h.delete(_dir(store, spec.id, name), True)
+    for at in both:
+        h.delete(at, True)
     if any(n.startswith("event_date=") for n in h.names(store.data_dir(spec.id))):
-        _append(store, spec.id, describe(store.spark.read.schema(spec.storage_schema()).parquet(store.data_dir(spec.id))))
-    for name in ("placement", "file_times"):
-        h.mkdirs(_dir(store, spec.id, name))
+        rows, times = (at + ".new" for at in both)
+        _write(describe(store.spark.read.schema(spec.storage_schema()).parquet(store.data_dir(spec.id))), rows)
+        _times(store.spark.read.schema(PLACEMENT).parquet(rows)).write.mode("overwrite").parquet(times)
+        h.rename(rows, both[0])
+        h.rename(times, both[1])
+    for at in both:
+        h.mkdirs(at)
 
 
 def placement(store: LogStore, spec: SourceSpec) -> DataFrame:
