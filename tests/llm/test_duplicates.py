@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 from conftest_llm import ROWS
 
 from tidelog.llm import exact, imatch, lines, near
@@ -185,3 +186,130 @@ def test_texts_of_one_id_are_one_document(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {3: 3, 14: 3, 20: 3, 30: 30, 40: 40}
     left = near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in left.collect()) == [3, 30, 30, 40]
+
+
+def _xx(data, seed=42):
+    """Spark's xxhash64 of bytes, as a signed number."""
+    x = xxhash.xxh64_intdigest(data, seed=seed & (1 << 64) - 1)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _cut_lines(text):
+    """Units and (place, n, digest) of the chunks of a text, step by step."""
+    wide = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF)]
+    blank, units, k = " \t\n\v\f\r", [], 0
+    while k < len(text):
+        begin = k
+        if any(a <= ord(text[k]) <= b for a, b in wide):
+            k += 1
+        else:
+            while k < len(text) and text[k] not in blank and not any(a <= ord(text[k]) <= b for a, b in wide):
+                k += 1
+        while k < len(text) and text[k] in blank:
+            k += 1
+        units.append(text[begin:k])
+    hashes = [_xx(u.encode()) for u in units]
+    mask = (1 << 64) - 1
+    rolled = [None if i < 2 else hashes[i] & mask ^ (hashes[i - 1] << 21) & mask ^ (hashes[i - 2] << 42) & mask for i in range(len(units))]
+    rolled = [r if r is None or r < 1 << 63 else r - (1 << 64) for r in rolled]
+    ends = [i for i in range(6, len(units) - 4) if all(rolled[i] < rolled[i - d] and rolled[i] <= rolled[i + d] for d in range(1, 5))]
+    spans, begin = [], 0
+    for e in ends + [len(units) - 1] * (len(units) > 0):
+        digest = 42
+        for x in hashes[begin:e + 1]:
+            digest = _xx(x.to_bytes(8, "little", signed=True), digest)
+        spans.append((begin, e + 1 - begin, digest))
+        begin = e + 1
+    return units, spans
+
+
+def _without_repeats(rows):
+    """(id, text) -> text left, chunks removed, by walking every pair of places."""
+    cut = {(i, _xx(t.encode())): _cut_lines(t) for i, t in rows}
+    first, times = {}, Counter()
+    for at in sorted(cut):
+        for place, n, digest in cut[at][1]:
+            if n >= 4:
+                first.setdefault(digest, (*at, place))
+    out = {}
+    for at, (units, spans) in cut.items():
+        runs = []
+        for place, n, digest in spans:
+            f = first.get(digest)
+            if n < 4 or f == (*at, place):
+                continue
+            if runs and runs[-1][0] + runs[-1][1] == place and runs[-1][2] == f[:2] and runs[-1][3] + runs[-1][1] == f[2]:
+                runs[-1][1] += n
+                runs[-1][4] += 1
+            else:
+                runs.append([place, n, f[:2], f[2], 1])
+        gone, chunks = set(), 0
+        for place, n, other, there, count in runs:
+            theirs = cut[other][0]
+            assert units[place:place + n] == theirs[there:there + n]
+            left = right = 0
+            while left < min(32, place, there) and units[place - left - 1].rstrip(" \t\n\v\f\r") == theirs[there - left - 1].rstrip(" \t\n\v\f\r"):
+                left += 1
+            while right < 32 and max(place, there) >= 0 and place + n + right < len(units) and there + n + right < len(theirs) \
+                    and units[place + n + right].rstrip(" \t\n\v\f\r") == theirs[there + n + right].rstrip(" \t\n\v\f\r"):
+                right += 1
+            begin, end = place - left, place + n + right
+            if begin > 0 and (left == 32 or "\n" not in units[begin - 1]):
+                left -= next((k + 1 for k, u in enumerate(units[begin:min(end, begin + 7)]) if "\n" in u), 0)
+            if not (end == len(units) and right < 32):
+                right -= next((k for k, u in enumerate(reversed(units[max(begin, end - 7):end])) if "\n" in u), 0)
+            if left + n + right >= 8 and len("".join(units[place:place + n])) + left + right >= 16:
+                gone |= set(range(place - left, place + n + right))
+                chunks += count
+        text = "".join(u for k, u in enumerate(units) if k not in gone)
+        out[at] = (text.rstrip(" \t\n\v\f\r") if len(units) - 1 in gone else text, chunks, len(spans))
+    return out
+
+
+def _passages(rng, kind, n):
+    latin = ["".join(rng.choice(list("abceghilnorsu"), rng.integers(2, 8))) for _ in range(3000)]
+    if kind == "words":
+        return [" ".join(rng.choice(latin, 50 + k % 51)) for k in range(n)]
+    if kind == "unspaced":
+        return ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 200)) for _ in range(n)]
+    return ["\n".join(" ".join(rng.choice(latin, 8)) for _ in range(6)) for _ in range(n)]
+
+
+def test_left_text_equals_a_walk_over_all_places(spark):
+    """Repeats inside a text and between texts, chains of copies, repeated lines, equal rows, scripts without blanks, odd white space."""
+    rng = np.random.default_rng(11)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    shared = [" ".join(rng.choice(words, rng.integers(5, 40))) for _ in range(12)] + _passages(rng, "unspaced", 3)
+    rows = [(i, t) for i, t in ROWS if i is not None and t is not None]
+    for k in range(60):
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            parts += [" ".join(rng.choice(words, rng.integers(0, 30))), shared[rng.integers(0, 15)]]
+        rows.append((100 + k // 2, str(rng.choice([" ", "\n", "\t \n", "\v"])).join(parts)))
+    rows += [(200, "again\n" * 400), (201, "one two three four five six seven\n" * 100), (100, rows[-1][1]), (200, "again\n" * 400)]
+    expected = Counter()
+    model = _without_repeats(rows)
+    for i, t in rows:
+        expected[(i, *model[(i, _xx(t.encode()))])] += 1
+    got = lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter((r["doc_id"], r["text"], r["removed_chunks"], r["n_chunks"]) for r in got.collect()) == expected
+
+
+def test_shared_passages_of_any_script_go(spark):
+    """Passages of 50 to 100 words, 200 characters without blanks, six lines of eight words: the later copies lose nearly all of them."""
+    rng = np.random.default_rng(12)
+    rows, own = [], []
+    for kind in ("words", "unspaced", "lines"):
+        for p in _passages(rng, kind, 40):
+            for copy in range(2):
+                sides = _passages(rng, "words", 2)
+                own.append(sides)
+                rows.append((len(rows), f"{sides[0]} {p} {sides[1]}" if kind != "lines" else f"{sides[0]}\n{p}\n{sides[1]}"))
+    out = {r["doc_id"]: r["text"] for r in lines.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for k, (i, text) in enumerate(rows):
+        a, b = own[k]
+        if i % 2 == 0:
+            assert out[i] == text
+        else:
+            assert out[i].startswith(a) and out[i].endswith(b)
+            assert len(out[i]) - len(a) - len(b) <= 2 + 0.1 * (len(text) - len(a) - len(b)), (i, out[i])

@@ -1,129 +1,197 @@
 """Content-defined chunks of lines and of parts of lines (operator 10), in DataFrame operations only.
 
-A text is cut into units: short runs of words inside a line, ended by what the last word ends with, by a sentence's end or by
-the line's.  A chunk ends at a unit whose hash is the least among its neighbours' (ends of lines and sentences go before
-others), so a shared passage is cut at the same places wherever it lies.  A chunk of several units that occurs again anywhere,
-in the same or another document, is removed after its text was compared with the first one's, byte for byte, and with
-it the words beside it, up to the next chunk's end, that stand beside the first one too.
-The first occurrence (smallest doc_id, then place) stays.
+A text is cut into units, whatever its line ends are: a word, or one character of a script that is written without blanks, with
+the white space after it.  A rolling hash runs over the units' hashes; a chunk ends at a unit whose rolling hash is the least
+among its neighbours', so a shared passage is cut at the same places wherever it lies, in any language.  Chunks that occur
+again anywhere, in the same or another document, are joined to runs that lie side by side in a first occurrence too.  A run's
+text is compared with the first one's, byte for byte, and grown by the words on both sides that equal the first one's; runs
+of enough words are removed, but for a few words at their edges that belong to a line of other words.  The first occurrence (smallest doc_id, then place) of a chunk stays: what is removed always
+equals something before it, in that order, so one copy of every word of a run is left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import stored, texts
 
-#: A unit ends at a line feed, or at blanks after one of these; scripts without blanks: after one of the second kind.
-AFTER, UNSPACED = ".!?;:,dtDT05аиαιهי", "。！？，、；：的了是在のにはをがで"
-#: Characters of a unit at most.
-LONGEST = 160
-UNIT = f"[^\\n]{{0,{LONGEST}}}?(?:\\n|(?<=[{AFTER}])[ \\t\\r]+(?![ \\t\\r])|[{UNSPACED}])|[^\\n]{{1,{LONGEST}}}"
-#: Chunks of fewer units, or of fewer words, are not looked up.
-LEAST_UNITS, LEAST_WORDS = 2, 8
-BLANKS = " \t\r\n"
+SPACE = "\\x20\\x09-\\x0D"
+#: Characters of scripts that are written without blanks: Thai to Lao, Burmese, Khmer, ideographs and kana.
+UNSPACED = "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u2E80-\\u9FFF\\uF900-\\uFAFF\\uFF00-\\uFFEF\\x{20000}-\\x{3FFFF}"
+UNIT = f"(?:[{UNSPACED}]|[^{SPACE}{UNSPACED}]++)[{SPACE}]*+|[{SPACE}]++"
+#: A chunk's end has the least rolling hash among so many units on each side; chunks have that many and nine units on average.
+AROUND = 4
+#: Units that go into a rolling hash, by shifts of so many bits.
+SHIFTS = (21, 42)
+#: Runs of fewer units or characters, grown, stay.
+LEAST_WORDS, LEAST_CHARS = 8, 16
+#: Units on each side of a run that are compared with the first one's: an end of a passage lies in a chunk, and most chunks are shorter.
+BESIDE = 32
+BLANKS = " \t\n\v\f\r"
+NO_ID = -(1 << 63)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable is."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _units(text: Column) -> Column:
-    """text -> array of its units, which joined give the text; an empty text is one empty unit."""
-    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
+    """text -> array of its units, which joined give the text."""
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+
+
+def _rolling(h: Column) -> Column:
+    """Hashes of units -> rolling hashes; null where there are too few units before."""
+    def at(x: Column, i: Column) -> Column:
+        for k, bits in enumerate(SHIFTS, 1):
+            x = x.bitwiseXOR(F.shiftleft(F.get(h, i - k), bits))
+        return x
+
+    return F.transform(h, at)
 
 
 def _chunks(text: Column) -> Column:
-    """text -> array of (units, text) of its chunks, in order, which joined give the text; each end hangs on three units alone."""
-    def rank(u: Column) -> Column:
-        kind = F.when(F.endswith(u, F.lit("\n")), 0).when(F.substring(u, -2, 2).isin(". ", "! ", "? "), 1).otherwise(2)
-        return F.xxhash64(u).bitwiseAND(F.lit((1 << 40) - 1)) + F.lit(1 << 40) * kind
+    """text -> array of (place, n, digest) of its chunks: first unit, number of units and a hash of the units' hashes."""
+    def is_end(r: Column, x: Column, i: Column) -> Column:
+        # Null, that is no end, near the text's ends: where a chunk ends hangs on units inside the text alone.
+        least = F.lit(True)
+        for k in range(1, AROUND + 1):
+            least = least & (x < F.get(r, i - k)) & (x <= F.get(r, i + k))
+        return least
 
-    def cut(own: Column) -> Column:
-        def ranked(h: Column) -> Column:
-            def is_end(x: Column, i: Column) -> Column:
-                return (i == F.size(h) - 1) | ((i > 0) & (x < F.get(h, i - 1)) & (x <= F.get(h, i + 1)))
+    def spans(h: Column) -> Column:
+        ends = _let(_rolling(h), lambda r: F.filter(F.transform(r, lambda x, i: F.when(is_end(r, x, i), i)), lambda e: e.isNotNull()))
+        ends = F.when(F.size(h) > 0, F.concat(ends, F.array(F.size(h) - 1))).otherwise(F.array().cast("array<int>"))
 
-            ends = F.filter(F.transform(h, lambda x, i: F.when(is_end(x, i), i)), lambda e: e.isNotNull())
-            return F.transform(F.array(ends), lambda e: F.transform(e, lambda end, k: F.struct(
-                (F.when(k == 0, -1).otherwise(F.get(e, k - 1)) + 1).alias("first"), end.alias("last"))))[0]
+        def cut(e: Column) -> Column:
+            firsts = F.transform(e, lambda end, k: F.struct((F.coalesce(F.get(e, k - 1), F.lit(-1)) + 1).alias("place"), end.alias("end")))
+            return F.transform(firsts, lambda s: F.struct(s["place"], (s["end"] - s["place"] + 1).alias("n"),
+                                                          F.xxhash64(F.slice(h, s["place"] + 1, s["end"] - s["place"] + 1)).alias("digest")))
 
-        spans = F.transform(F.array(F.transform(own, rank)), ranked)[0]
-        return F.transform(spans, lambda s: F.struct((s["last"] - s["first"] + 1).alias("units"),
-                                                     F.array_join(F.slice(own, s["first"] + 1, s["last"] - s["first"] + 1), "").alias("text")))
+        return _let(ends, cut)
 
-    return F.transform(F.array(_units(text)), cut)[0]
+    return _let(F.transform(_units(text), lambda u: F.xxhash64(u)), spans)
 
 
 def _trimmed(text: Column) -> Column:
     return F.rtrim(text, F.lit(BLANKS))
 
 
-def _words(text: Column) -> Column:
-    """text -> array of its words, each with the white space after it."""
-    return F.split(text, "(?<=\\s)(?=\\S)")
+def _common(a: Column, b: Column) -> Column:
+    """How many members at the start of two arrays are equal, one by one, but for white space at their ends."""
+    same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.coalesce(_trimmed(p["x"]) == _trimmed(p["y"]), F.lit(False)))
+    return _let(same, lambda s: F.when(F.array_contains(s, False), F.array_position(s, False) - 1).otherwise(F.size(s)).cast("int"))
 
 
-def _common(a: Column, b: Column) -> Column:
-    """How many members at the start of two arrays are equal, one by one."""
-    same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))
-    return F.transform(F.array(same), lambda s: F.when(F.array_contains(s, False), F.array_position(s, False) - 1).otherwise(F.size(s)).cast("int"))[0]
+def _sliced(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every span of ``wanted`` (id, h, spans) with its text and the units beside it, the nearest first."""
+    def slices(u: Column) -> Column:
+        def of(s: Column) -> Column:
+            end = s["place"] + s["n"]
+            left = F.least(s["place"], F.lit(BESIDE))
+            edge = F.least(s["n"], F.lit(LEAST_WORDS))
+            return F.struct(s.alias("span"), F.array_join(F.slice(u, s["place"] + 1, s["n"]), "").alias("body"),
+                            F.slice(u, s["place"] + 1, edge).alias("head"), F.slice(u, end - edge + 1, edge).alias("tail"),
+                            F.reverse(F.slice(u, s["place"] - left + 1, left)).alias("before"), F.slice(u, end + 1, F.lit(BESIDE)).alias("after"))
+
+        return F.transform("spans", of)
+
+    found = rows.join(wanted.hint("merge"), ["id", "h"]).select("id", "h", F.explode(_let(_units(F.col("text")), slices)).alias("s"))
+    return found.select("id", "h", "s.span.*", "s.body", "s.head", "s.tail", "s.before", "s.after")
+
+
+def _grown(left: Column, right: Column) -> tuple[Column, Column]:
+    """How far a run reaches to the left and the right of its chunks.
+
+    Fewer than ``LEAST_WORDS`` words of a line at the run's edges, with other words of that line beside them, stay with their line.
+    """
+    def breaks(units: Column) -> Column:
+        """Place (from 1) of the first of some units at the edge that ends a line; 0 where none does."""
+        return F.array_position(F.transform(F.slice(units, 1, LEAST_WORDS - 1), lambda u: F.contains(u, F.lit("\n"))), True).cast("int")
+
+    begins = (F.col("place") == left) | F.coalesce(F.contains(F.get("before", left), F.lit("\n")), F.lit(False))
+    ends = (F.size("after") == right) & (right < BESIDE)
+    first = breaks(F.concat(F.reverse(F.slice("before", F.lit(1), left)), "head"))
+    last = breaks(F.reverse(F.concat("tail", F.slice("after", F.lit(1), right))))
+    return left - F.when(begins, 0).otherwise(first), right - F.when(ends, 0).otherwise(F.greatest(last - 1, F.lit(0)))
+
+
+def _runs(chunked: DataFrame) -> DataFrame:
+    """id, h, place, n, chunks, first_id, first_h, first_place: runs of chunks that occur before, side by side there too."""
+    # Counts and smallest ids are gathered in every task before they are shuffled; the hash only finds candidates.
+    repeated = stored(chunked.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "repeated-chunks")
+    again = stored(chunked.join(repeated.hint("merge"), "digest").select("digest", "id", "h", "place", "n", "first_id"), "chunk-copies")
+    firsts = again.filter("id = first_id").groupBy("digest").agg(F.min(F.struct("h", "place")).alias("f"))
+    firsts = stored(firsts.select("digest", F.col("f.h").alias("first_h"), F.col("f.place").alias("first_place")), "first-chunks")
+    copies = again.join(firsts.hint("merge"), "digest").filter("id != first_id or h != first_h or place != first_place")
+    copies = copies.select("id", "h", "place", "n", "first_id", "first_h", "first_place").dropDuplicates(["id", "h", "place"])
+    order = Window.partitionBy("id", "h").orderBy("place")
+    goes_on = F.lit(True)
+    for c in ("first_id", "first_h"):
+        goes_on = goes_on & (F.lag(c).over(order) == F.col(c))
+    for c in ("place", "first_place"):
+        goes_on = goes_on & (F.lag(F.col(c) + F.col("n")).over(order) == F.col(c))
+    copies = copies.withColumn("begins", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    copies = copies.withColumn("run", F.sum("begins").over(order))
+    runs = copies.groupBy("id", "h", "run", "first_id", "first_h").agg(
+        F.min("place").alias("place"), F.sum("n").cast("int").alias("n"), F.count(F.lit(1)).alias("chunks"), F.min("first_place").alias("first_place"))
+    return stored(runs.drop("run"), "chunk-runs")
+
+
+def _cuts(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """id, h, chunks, pieces, rest: what is left of each text with something removed, as (place, n) of units and the place of the last piece."""
+    own = runs.groupBy("id", "h").agg(F.collect_list(F.struct("place", "n", "chunks", "first_id", "first_h", "first_place")).alias("spans"))
+    first = runs.select(F.col("first_id").alias("id"), F.col("first_h").alias("h"), F.col("first_place").alias("place"), "n").distinct()
+    first = first.groupBy("id", "h").agg(F.collect_list(F.struct("place", "n")).alias("spans"))
+    firsts = _sliced(rows, first).select(F.col("id").alias("first_id"), F.col("h").alias("first_h"), F.col("place").alias("first_place"), "n",
+                                         *[F.col(c).alias(f"first_{c}") for c in ("body", "before", "after")])
+    equal = _sliced(rows, own).join(firsts.hint("merge"), ["first_id", "first_h", "first_place", "n"]).filter(F.col("body") == F.col("first_body"))
+    left, right = _common(F.col("before"), F.col("first_before")), _common(F.col("after"), F.col("first_after"))
+    equal = equal.withColumns({"left": left, "right": right})
+    reach = _grown(F.col("left"), F.col("right"))
+    equal = equal.select("id", "h", "place", "n", "chunks", F.char_length("body").alias("chars"), reach[0].alias("left"), reach[1].alias("right"))
+    equal = equal.filter((F.col("n") + F.col("left") + F.col("right") >= LEAST_WORDS) & (F.col("chars") + F.col("left") + F.col("right") >= LEAST_CHARS))
+    equal = equal.select("id", "h", "chunks", (F.col("place") - F.col("left")).alias("from"), (F.col("place") + F.col("n") + F.col("right")).alias("to"))
+    earlier = Window.partitionBy("id", "h").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("place", F.coalesce(F.max("to").over(earlier), F.lit(0)))
+    kept = F.when(F.col("from") > F.col("place"), F.struct("place", (F.col("from") - F.col("place")).alias("n")))
+    return equal.groupBy("id", "h").agg(F.sum("chunks").alias("chunks"), F.sort_array(F.collect_list(kept)).alias("pieces"), F.max("to").alias("rest"))
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text (what is left), n_lines, n_chunks, removed_chunks, removed_lines, left_lines: one row for each row of ``docs``.
+    """doc_id, text (what is left), n_lines, n_chunks, removed_chunks, left_lines, removed_lines: one row for each row of ``docs``.
 
-    Lines are cut at line feeds; an empty or null text is one empty line.  ``removed_lines`` are the lines that the text has
-    fewer, ``removed_chunks`` the chunks removed whole.  Where the last chunk goes, the white space before it goes too.
-    Rows that share a doc_id are told apart by a hash
-    of their text; rows equal in both are repeats of one another, and what is removed from one is removed from all
-    but is counted as one occurrence.  A null doc_id comes first.  Empty table: no rows.  Extra columns are not read.
+    Lines are cut at line feeds; an empty or null text is one empty line without chunks.  ``removed_lines`` are the lines that
+    the text has fewer, ``removed_chunks`` the repeated chunks removed.  Where a text's end goes, the white space before it goes too.
+    Rows that share a doc_id are told apart by a hash of their text; rows equal in both are repeats of one another, and what is
+    removed from one is removed from all but is counted as one occurrence.  A null doc_id comes first.  Very long texts are
+    read whole; a task holds one text at a time.  Empty table: no rows.  Extra columns are not read.
     """
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    chunked = rows.select("doc_id", "h", F.posexplode(_chunks(F.col("text"))).alias("place", "chunk"))
-    words = F.size(F.split(F.trim(F.col("chunk.text"), F.lit(BLANKS)), "\\s+"))
-    several = chunked.filter((F.col("chunk.units") >= LEAST_UNITS) & (words >= LEAST_WORDS))
-    # The hash only finds candidates, whose texts are compared.
-    several = several.select(F.xxhash64(_trimmed(F.col("chunk.text"))).alias("digest"), F.struct("doc_id", "h", "place").alias("at"))
-    seen = several.groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    repeated = stored(seen.filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "repeated-chunks")
-    copies = stored(several.join(repeated.hint("merge"), "digest").select("at", "first"), "chunk-copies")
-    is_first = F.col("at").eqNullSafe(F.col("first"))
-
-    # The texts of repeated chunks, first ones too, and of the chunks beside them.
-    wanted = copies.groupBy(F.col("at.doc_id").alias("from_id"), F.col("at.h").alias("from_h")).agg(F.collect_set("at.place").alias("places"))
-    of_row = F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("h") == F.col("from_h"))
-    inside = rows.join(wanted.hint("merge"), of_row).select("doc_id", "h", F.transform(F.array(_chunks(F.col("text"))), lambda c: F.transform("places", lambda p: F.struct(
-        p.alias("place"), _trimmed(F.get(c, p)["text"]).alias("body"),
-        F.coalesce(F.get(c, p - 1)["text"], F.lit("")).alias("before"), F.coalesce(F.get(c, p + 1)["text"], F.lit("")).alias("after"))))[0].alias("all"))
-    bodies = inside.select("doc_id", "h", F.explode("all").alias("c"))
-    bodies = stored(bodies.select(F.struct("doc_id", "h", F.col("c.place").alias("place")).alias("at"), "c.body", "c.before", "c.after").dropDuplicates(["at"]), "chunk-texts")
-    firsts = bodies.select(F.col("at").alias("first"), *[F.col(x).alias(f"first_{x}") for x in ("body", "before", "after")])
-    equal = copies.filter(~is_first).dropDuplicates(["at"]).join(bodies, "at").join(firsts, "first").filter(F.col("body") == F.col("first_body"))
-    trimmed = [F.transform(_words(F.col(x)), _trimmed) for x in ("after", "first_after")]
-    equal = equal.select("at", F.struct(F.col("at.place").alias("place"), _common(F.reverse(_words(F.col("before"))), F.reverse(_words(F.col("first_before")))).alias("left"),
-                                        _common(*trimmed).alias("right")).alias("cut"))
-    # A first occurrence stays whole: no words go from it with the chunk beside it.
-    marks = equal.select("at", "cut").unionByName(copies.filter(is_first).select("at").distinct(), allowMissingColumns=True)
-    removed = stored(marks.groupBy(F.col("at.doc_id").alias("from_id"), F.col("at.h").alias("from_h")).agg(
-        F.collect_list("cut").alias("cuts"), F.collect_list(F.when(F.col("cut").isNull(), F.col("at.place"))).alias("whole")), "removed-chunks")
-    found = rows.join(removed.hint("merge"), of_row, "left").withColumn("chunks", _chunks(F.col("text")))
-
-    none = F.array().cast("array<int>")
-    found = found.select("doc_id", F.col("text").alias("old"), "chunks", F.coalesce("cuts.place", none).alias("places"), F.coalesce("cuts.left", none).alias("lefts"),
-                         F.coalesce("cuts.right", none).alias("rights"), F.coalesce("whole", none).alias("whole"))
-
-    def less(c: Column, k: Column) -> Column:
-        """A chunk's text without the words that go with the chunks beside it."""
-        at = [F.array_position("places", k + d).cast("int") for d in (-1, 1)]
-        head, tail = [F.when(at[0] > 0, F.get("rights", at[0] - 1)).otherwise(0), F.when(at[1] > 0, F.get("lefts", at[1] - 1)).otherwise(0)]
-        cut = F.transform(F.array(_words(c["text"])), lambda w: F.array_join(F.slice(w, head + 1, F.greatest(F.size(w) - head - tail, F.lit(0))), ""))[0]
-        return F.when(F.array_contains("places", k), "").when(F.array_contains("whole", k) | (head + tail == 0), c["text"]).otherwise(cut)
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
+    chunked = rows.select("id", "h", _chunks(F.col("text")).alias("chunks")).select("id", "h", F.size("chunks").alias("of"), F.explode("chunks").alias("c"))
+    chunked = stored(chunked.select("id", "h", "of", "c.*"), "line-chunks")
+    runs = _runs(chunked.filter(F.col("n") >= AROUND))
+    # All joins read this one: texts are shuffled once, and repeats of a row go as one.
+    once = rows.groupBy("id", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    sizes = chunked.groupBy("id", "h").agg(F.max("of").cast("long").alias("n_chunks"))
+    found = once.join(_cuts(once, runs).hint("merge"), ["id", "h"], "left").join(sizes.hint("merge"), ["id", "h"], "left")
+
+    def left(u: Column) -> Column:
+        rest = F.when(F.col("rest") < F.size(u), F.array(F.struct(F.col("rest").alias("place"), (F.size(u) - F.col("rest")).alias("n"))))
+        pieces = F.concat("pieces", F.coalesce(rest, F.array().cast("array<struct<place:int,n:int>>")))
+        joined = F.array_join(F.transform(pieces, lambda p: F.array_join(F.slice(u, p["place"] + 1, p["n"]), "")), "")
+        return F.when(rest.isNull(), _trimmed(joined)).otherwise(joined)
 
     def lines_in(text: Column) -> Column:
         return (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
-    left = F.when(F.size("places") == 0, F.col("old")).otherwise(F.array_join(F.transform("chunks", less), ""))
-    left = F.when(F.array_contains("places", F.size("chunks") - 1), _trimmed(left)).otherwise(left)
-    found = found.select("doc_id", left.alias("text"), lines_in(F.col("old")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"),
-                         F.size("places").cast("long").alias("removed_chunks"))
-    found = found.withColumn("left_lines", F.when((F.col("text") == "") & (F.col("removed_chunks") > 0), F.lit(0).cast("long")).otherwise(lines_in(F.col("text"))))
-    return found.withColumn("removed_lines", F.col("n_lines") - F.col("left_lines")).select(
-        "doc_id", "text", "n_lines", "n_chunks", "removed_chunks", "left_lines", "removed_lines")
+    zero = F.lit(0).cast("long")
+    changed = F.when(F.col("chunks").isNull(), F.col("text")).otherwise(_let(_units(F.col("text")), left))
+    found = found.select("id", "times", changed.alias("text"), lines_in(F.col("text")).alias("n_lines"), F.coalesce("n_chunks", zero).alias("n_chunks"),
+                         F.coalesce("chunks", zero).alias("removed_chunks"))
+    found = found.withColumn("left_lines", F.when((F.col("text") == "") & (F.col("removed_chunks") > 0), zero).otherwise(lines_in(F.col("text"))))
+    found = found.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return found.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "n_lines", "n_chunks", "removed_chunks", "left_lines",
+                        (F.col("n_lines") - F.col("left_lines")).alias("removed_lines"))
