@@ -196,23 +196,13 @@ def _xx(data, seed=42):
 
 def _cut_lines(text):
     """Units and (place, n, digest) of the chunks of a text, step by step."""
-    wide = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF)]
-    blank, units, k = " \t\n\v\f\r", [], 0
-    while k < len(text):
-        begin = k
-        if any(a <= ord(text[k]) <= b for a, b in wide):
-            k += 1
-        else:
-            while k < len(text) and text[k] not in blank and not any(a <= ord(text[k]) <= b for a, b in wide):
-                k += 1
-        while k < len(text) and text[k] in blank:
-            k += 1
-        units.append(text[begin:k])
+    after = "[\t\v\f\r\n\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]"
+    units = re.sub(f"({after})", r"\1 ", text).split(" ")
     hashes = [_xx(u.encode()) for u in units]
     mask = (1 << 64) - 1
     rolled = [None if i < 2 else hashes[i] & mask ^ (hashes[i - 1] << 21) & mask ^ (hashes[i - 2] << 42) & mask for i in range(len(units))]
     rolled = [r if r is None or r < 1 << 63 else r - (1 << 64) for r in rolled]
-    ends = [i for i in range(6, len(units) - 4) if all(rolled[i] < rolled[i - d] and rolled[i] <= rolled[i + d] for d in range(1, 5))]
+    ends = [i for i in range(7, len(units) - 5) if rolled[i] < -(1 << 62) and all(rolled[i] < rolled[i - d] and rolled[i] <= rolled[i + d] for d in range(1, 6))]
     spans, begin = [], 0
     for e in ends + [len(units) - 1] * (len(units) > 0):
         digest = 42
@@ -229,14 +219,14 @@ def _without_repeats(rows):
     first, times = {}, Counter()
     for at in sorted(cut):
         for place, n, digest in cut[at][1]:
-            if n >= 4:
+            if n >= 5:
                 first.setdefault(digest, (*at, place))
     out = {}
     for at, (units, spans) in cut.items():
         runs = []
         for place, n, digest in spans:
             f = first.get(digest)
-            if n < 4 or f == (*at, place):
+            if n < 5 or f == (*at, place):
                 continue
             if runs and runs[-1][0] + runs[-1][1] == place and runs[-1][2] == f[:2] and runs[-1][3] + runs[-1][1] == f[2]:
                 runs[-1][1] += n
@@ -258,10 +248,12 @@ def _without_repeats(rows):
                 left -= next((k + 1 for k, u in enumerate(units[begin:min(end, begin + 7)]) if "\n" in u), 0)
             if not (end == len(units) and right < 32):
                 right -= next((k for k, u in enumerate(reversed(units[max(begin, end - 7):end])) if "\n" in u), 0)
-            if left + n + right >= 8 and len("".join(units[place:place + n])) + left + right >= 16:
+            own = units[place:place + n]
+            if left + sum(u.strip(" \t\n\v\f\r") != "" for u in own) + right >= 8 and len(" ".join(own)) + left + right >= 16:
                 gone |= set(range(place - left, place + n + right))
                 chunks += count
-        text = "".join(u for k, u in enumerate(units) if k not in gone)
+        text = re.sub("([\t\v\f\r\n\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]) ", r"\1",
+                      " ".join(u for k, u in enumerate(units) if k not in gone))
         out[at] = (text.rstrip(" \t\n\v\f\r") if len(units) - 1 in gone else text, chunks, len(spans))
     return out
 

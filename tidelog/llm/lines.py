@@ -1,7 +1,6 @@
 """Content-defined chunks of lines and of parts of lines (operator 10), in DataFrame operations only.
 
-A text is cut into units, whatever its line ends are: a word, or one character of a script that is written without blanks, with
-the white space after it.  A rolling hash runs over the units' hashes; a chunk ends at a unit whose rolling hash is the least
+A text is cut into units, whatever its line ends are: a word, or one character of a script that is written without blanks.  A rolling hash runs over the units' hashes; a chunk ends at a unit whose rolling hash is the least
 among its neighbours', so a shared passage is cut at the same places wherever it lies, in any language.  Chunks that occur
 again anywhere, in the same or another document, are joined to runs that lie side by side in a first occurrence too.  A run's
 text is compared with the first one's, byte for byte, and grown by the words on both sides that equal the first one's; runs
@@ -16,12 +15,12 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import stored, texts
 
-SPACE = "\\x20\\x09-\\x0D"
 #: Characters of scripts that are written without blanks: Thai to Lao, Burmese, Khmer, ideographs and kana.
 UNSPACED = "\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u2E80-\\u9FFF\\uF900-\\uFAFF\\uFF00-\\uFFEF\\x{20000}-\\x{3FFFF}"
-UNIT = f"(?:[{UNSPACED}]|[^{SPACE}{UNSPACED}]++)[{SPACE}]*+|[{SPACE}]++"
-#: A chunk's end has the least rolling hash among so many units on each side; chunks have that many and nine units on average.
-AROUND = 4
+#: A unit ends after each of these, after a line feed and at each blank.
+AFTER = f"[\\t\\x0B\\f\\r{UNSPACED}]"
+#: A chunk's end has the least rolling hash among so many units on each side, and one of the lowest quarter: about 11 units on average.
+AROUND, LOWEST = 5, -(1 << 62)
 #: Units that go into a rolling hash, by shifts of so many bits.
 SHIFTS = (21, 42)
 #: Runs of fewer units or characters, grown, stay.
@@ -37,9 +36,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _spread(text: Column) -> Column:
+    """The text with a blank after each character that ends a unit and is none itself; ``_joined`` takes them away again."""
+    text = F.when(F.rlike(text, F.lit(AFTER)), F.regexp_replace(text, f"({AFTER})", "$1 ")).otherwise(text)
+    return F.replace(text, F.lit("\n"), F.lit("\n "))
+
+
 def _units(text: Column) -> Column:
-    """text -> array of its units, which joined give the text."""
-    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    """text -> array of its units, without the blanks between them; an empty text is one empty unit."""
+    return F.split(_spread(text), " ")
+
+
+def _joined(units: Column) -> Column:
+    """Units -> their text."""
+    text = F.replace(F.array_join(units, " "), F.lit("\n "), F.lit("\n"))
+    return F.when(F.rlike(text, F.lit(AFTER)), F.regexp_replace(text, f"({AFTER}) ", "$1")).otherwise(text)
 
 
 def _rolling(h: Column) -> Column:
@@ -56,7 +67,7 @@ def _chunks(text: Column) -> Column:
     """text -> array of (place, n, digest) of its chunks: first unit, number of units and a hash of the units' hashes."""
     def is_end(r: Column, x: Column, i: Column) -> Column:
         # Null, that is no end, near the text's ends: where a chunk ends hangs on units inside the text alone.
-        least = F.lit(True)
+        least = x < LOWEST
         for k in range(1, AROUND + 1):
             least = least & (x < F.get(r, i - k)) & (x <= F.get(r, i + k))
         return least
@@ -80,41 +91,42 @@ def _trimmed(text: Column) -> Column:
 
 
 def _common(a: Column, b: Column) -> Column:
-    """How many members at the start of two arrays are equal, one by one, but for white space at their ends."""
+    """How many units at the start of two arrays are equal, one by one, but for white space at their ends; none where either is null."""
     same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.coalesce(_trimmed(p["x"]) == _trimmed(p["y"]), F.lit(False)))
-    return _let(same, lambda s: F.when(F.array_contains(s, False), F.array_position(s, False) - 1).otherwise(F.size(s)).cast("int"))
+    return F.coalesce(_let(same, lambda s: F.when(F.array_contains(s, False), F.array_position(s, False) - 1).otherwise(F.size(s)).cast("int")), F.lit(0))
 
 
 def _sliced(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every span of ``wanted`` (id, h, spans) with its text and the units beside it, the nearest first."""
+    """Every span of ``wanted`` (id, h, spans) with its units and those beside it, blanks between them; null where there are none beside."""
     def slices(u: Column) -> Column:
         def of(s: Column) -> Column:
             end = s["place"] + s["n"]
             left = F.least(s["place"], F.lit(BESIDE))
-            edge = F.least(s["n"], F.lit(LEAST_WORDS))
-            return F.struct(s.alias("span"), F.array_join(F.slice(u, s["place"] + 1, s["n"]), "").alias("body"),
-                            F.slice(u, s["place"] + 1, edge).alias("head"), F.slice(u, end - edge + 1, edge).alias("tail"),
-                            F.reverse(F.slice(u, s["place"] - left + 1, left)).alias("before"), F.slice(u, end + 1, F.lit(BESIDE)).alias("after"))
+            return F.struct(s.alias("span"), F.array_join(F.slice(u, s["place"] + 1, s["n"]), " ").alias("body"),
+                            F.when(left > 0, F.array_join(F.slice(u, s["place"] - left + 1, left), " ")).alias("before"),
+                            F.when(end < F.size(u), F.array_join(F.slice(u, end + 1, F.lit(BESIDE)), " ")).alias("after"))
 
         return F.transform("spans", of)
 
     found = rows.join(wanted.hint("merge"), ["id", "h"]).select("id", "h", F.explode(_let(_units(F.col("text")), slices)).alias("s"))
-    return found.select("id", "h", "s.span.*", "s.body", "s.head", "s.tail", "s.before", "s.after")
+    return found.select("id", "h", "s.span.*", "s.body", "s.before", "s.after")
 
 
 def _grown(left: Column, right: Column) -> tuple[Column, Column]:
     """How far a run reaches to the left and the right of its chunks.
 
-    Fewer than ``LEAST_WORDS`` words of a line at the run's edges, with other words of that line beside them, stay with their line.
+    Fewer than ``LEAST_WORDS`` units of a line at the run's edges, with others of that line beside them, stay with their line.
     """
     def breaks(units: Column) -> Column:
         """Place (from 1) of the first of some units at the edge that ends a line; 0 where none does."""
         return F.array_position(F.transform(F.slice(units, 1, LEAST_WORDS - 1), lambda u: F.contains(u, F.lit("\n"))), True).cast("int")
 
-    begins = (F.col("place") == left) | F.coalesce(F.contains(F.get("before", left), F.lit("\n")), F.lit(False))
-    ends = (F.size("after") == right) & (right < BESIDE)
-    first = breaks(F.concat(F.reverse(F.slice("before", F.lit(1), left)), "head"))
-    last = breaks(F.reverse(F.concat("tail", F.slice("after", F.lit(1), right))))
+    none = F.array().cast("array<string>")
+    before, after = F.coalesce("before", none), F.coalesce("after", none)
+    begins = (F.col("place") == left) | F.coalesce(F.contains(F.get(before, left), F.lit("\n")), F.lit(False))
+    ends = (F.size(after) == right) & (right < BESIDE)
+    first = breaks(F.concat(F.reverse(F.slice(before, F.lit(1), left)), F.slice("units", 1, LEAST_WORDS)))
+    last = breaks(F.concat(F.reverse(F.slice(after, F.lit(1), right)), F.slice(F.reverse("units"), 1, LEAST_WORDS)))
     return left - F.when(begins, 0).otherwise(first), right - F.when(ends, 0).otherwise(F.greatest(last - 1, F.lit(0)))
 
 
@@ -148,11 +160,13 @@ def _cuts(rows: DataFrame, runs: DataFrame) -> DataFrame:
     firsts = _sliced(rows, first).select(F.col("id").alias("first_id"), F.col("h").alias("first_h"), F.col("place").alias("first_place"), "n",
                                          *[F.col(c).alias(f"first_{c}") for c in ("body", "before", "after")])
     equal = _sliced(rows, own).join(firsts.hint("merge"), ["first_id", "first_h", "first_place", "n"]).filter(F.col("body") == F.col("first_body"))
-    left, right = _common(F.col("before"), F.col("first_before")), _common(F.col("after"), F.col("first_after"))
-    equal = equal.withColumns({"left": left, "right": right})
+    split = {c: F.split(c, " ") for c in ("after", "first_after")} | {c: F.reverse(F.split(c, " ")) for c in ("before", "first_before")}
+    equal = equal.withColumns(split | {"units": F.split("body", " "), "chars": F.char_length("body")})
+    equal = equal.withColumns({"left": _common(F.col("before"), F.col("first_before")), "right": _common(F.col("after"), F.col("first_after")),
+                               "words": F.size(F.filter("units", lambda u: _trimmed(u) != ""))})
     reach = _grown(F.col("left"), F.col("right"))
-    equal = equal.select("id", "h", "place", "n", "chunks", F.char_length("body").alias("chars"), reach[0].alias("left"), reach[1].alias("right"))
-    equal = equal.filter((F.col("n") + F.col("left") + F.col("right") >= LEAST_WORDS) & (F.col("chars") + F.col("left") + F.col("right") >= LEAST_CHARS))
+    equal = equal.select("id", "h", "place", "n", "chunks", "words", "chars", reach[0].alias("left"), reach[1].alias("right"))
+    equal = equal.filter((F.col("words") + F.col("left") + F.col("right") >= LEAST_WORDS) & (F.col("chars") + F.col("left") + F.col("right") >= LEAST_CHARS))
     equal = equal.select("id", "h", "chunks", (F.col("place") - F.col("left")).alias("from"), (F.col("place") + F.col("n") + F.col("right")).alias("to"))
     earlier = Window.partitionBy("id", "h").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
     equal = equal.withColumn("place", F.coalesce(F.max("to").over(earlier), F.lit(0)))
@@ -163,7 +177,7 @@ def _cuts(rows: DataFrame, runs: DataFrame) -> DataFrame:
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_chunks, removed_chunks, left_lines, removed_lines: one row for each row of ``docs``.
 
-    Lines are cut at line feeds; an empty or null text is one empty line without chunks.  ``removed_lines`` are the lines that
+    Lines are cut at line feeds; an empty or null text is one empty line and one chunk.  ``removed_lines`` are the lines that
     the text has fewer, ``removed_chunks`` the repeated chunks removed.  Where a text's end goes, the white space before it goes too.
     Rows that share a doc_id are told apart by a hash of their text; rows equal in both are repeats of one another, and what is
     removed from one is removed from all but is counted as one occurrence.  A null doc_id comes first.  Very long texts are
@@ -181,7 +195,7 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     def left(u: Column) -> Column:
         rest = F.when(F.col("rest") < F.size(u), F.array(F.struct(F.col("rest").alias("place"), (F.size(u) - F.col("rest")).alias("n"))))
         pieces = F.concat("pieces", F.coalesce(rest, F.array().cast("array<struct<place:int,n:int>>")))
-        joined = F.array_join(F.transform(pieces, lambda p: F.array_join(F.slice(u, p["place"] + 1, p["n"]), "")), "")
+        joined = _joined(F.flatten(F.transform(pieces, lambda p: F.slice(u, p["place"] + 1, p["n"]))))
         return F.when(rest.isNull(), _trimmed(joined)).otherwise(joined)
 
     def lines_in(text: Column) -> Column:
