@@ -92,7 +92,7 @@ def _trimmed(text: Column) -> Column:
 
 def _common(a: Column, b: Column) -> Column:
     """How many units at the start of two arrays are equal, one by one, but for white space at their ends; none where either is null."""
-    same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.coalesce(_trimmed(p["x"]) == _trimmed(p["y"]), F.lit(False)))
+    same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.coalesce((p["x"] == p["y"]) | (_trimmed(p["x"]) == _trimmed(p["y"])), F.lit(False)))
     return F.coalesce(_let(same, lambda s: F.when(F.array_contains(s, False), F.array_position(s, False) - 1).otherwise(F.size(s)).cast("int")), F.lit(0))
 
 
@@ -108,7 +108,7 @@ def _sliced(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return F.transform("spans", of)
 
-    found = rows.join(wanted.hint("merge"), ["id", "h"]).select("id", "h", F.explode(_let(_units(F.col("text")), slices)).alias("s"))
+    found = rows.join(wanted.hint("merge"), ["id", "h"]).select("id", "h", F.explode_outer(_let(_units(F.col("text")), slices)).alias("s"))
     return found.select("id", "h", "s.span.*", "s.body", "s.before", "s.after")
 
 
@@ -184,7 +184,8 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     read whole; a task holds one text at a time.  Empty table: no rows.  Extra columns are not read.
     """
     rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
-    chunked = rows.select("id", "h", _chunks(F.col("text")).alias("chunks")).select("id", "h", F.size("chunks").alias("of"), F.explode("chunks").alias("c"))
+    # No array here is empty; an outer explode spares the filter on emptiness, which would compute every array twice.
+    chunked = rows.select("id", "h", _chunks(F.col("text")).alias("chunks")).select("id", "h", F.size("chunks").alias("of"), F.explode_outer("chunks").alias("c"))
     chunked = stored(chunked.select("id", "h", "of", "c.*"), "line-chunks")
     runs = _runs(chunked.filter(F.col("n") >= AROUND))
     # All joins read this one: texts are shuffled once, and repeats of a row go as one.
