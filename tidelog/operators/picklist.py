@@ -1,44 +1,78 @@
 """Rows that hold any value of a pick list given as a DataFrame of any size (O-27 as data).
 
-Every value is filed under one of its n-grams, the one that fewest values share; a row is looked up by its own distinct
-n-grams, and what meets is tested by `contains`.  Values shorter than a gram are filed under themselves and met by the grams of
-their own length.  No value stands in the plan; both sides are joined by key, so Spark broadcasts the filed values only where
-they are small, and splits a key that many rows share.
+Every value is filed under one of its n-grams of bytes, the one that fewest values share; a row is looked up by the gram at each of
+its bytes, and where one meets, the text around it is tested by `contains`.  Values too short for a gram are filed under themselves
+and met by grams of their own length, long ones under longer grams, which few values share.  No value stands in the plan.  A row
+has a gram for every byte, so that side is never sent anywhere whole: every task holds a list of up to HELD_BYTES; of a longer one
+it holds marks of the grams, and only the rows' grams with a mark are shuffled, with the text around them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ngrams import GRAM, grams
+from tidelog.session import scratch_root
 
 KEY = ("source_file", "source_line")
+#: Bytes of the grams that values are filed under, where they are that long.
+GRAM, LONG_GRAM = 4, 8
+#: Size up to which a filed list is broadcast whole; each of its rows counts as ROW_BYTES beside its text.
+HELD_BYTES = 16 * 1024 * 1024
+ROW_BYTES = 48
+#: Different marks of a longer list's grams: a bound on the rows that are broadcast for it.
+MARKS = 1 << 18
 
 
 def _filed(values: DataFrame) -> DataFrame:
     """(gram, value): each distinct value of at least one character under one of its grams."""
-    distinct = values.select(F.col(values.columns[0]).cast("string").alias("value")).where(F.char_length("value") > 0).distinct()
-    short = distinct.where(F.char_length("value") < GRAM).select(F.col("value").alias("gram"), "value")
-    pairs = distinct.where(F.char_length("value") >= GRAM).select(F.explode(grams(F.col("value"))).alias("gram"), "value")
-    shared = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = pairs.join(shared, "gram").groupBy("value").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    return short.unionByName(rarest.select("gram", "value"))
+    text = F.col(values.columns[0]).cast("string")
+    distinct = values.select(text.alias("value"), text.cast("binary").alias("_text")).where(F.octet_length("_text") > 0).distinct()
+    length = F.octet_length("_text")
+    size = F.when(length >= LONG_GRAM, LONG_GRAM).when(length >= GRAM, GRAM).otherwise(length)
+    placed = distinct.select("value", "_text", size.alias("_size"), F.explode(F.sequence(F.lit(1), length - size + 1)).alias("_at"))
+    pairs = placed.select("value", F.substring("_text", F.col("_at"), F.col("_size")).alias("gram")).distinct()
+    shared = pairs.select("gram", "value", F.count(F.lit(1)).over(Window.partitionBy("gram")).alias("n"))
+    return shared.groupBy("value").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram")).select("gram", "value")
+
+
+def _mark() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(MARKS))
+
+
+def _hits(rows: DataFrame, values: DataFrame, col: str) -> DataFrame:
+    """(source_file, source_line, value) of `matches`, some of them more than once."""
+    scratch_root(rows.sparkSession)
+    filed = _filed(values).checkpoint()
+    sizes = filed.groupBy(F.octet_length("gram").alias("size")).agg(
+        F.sum(F.octet_length("gram") + F.octet_length("value") + ROW_BYTES).alias("bytes"), F.max(F.octet_length("value")).alias("longest")).collect()
+    if not sizes:  # at most GRAM + 1 rows
+        return rows.select(*KEY, F.lit("").alias("value")).limit(0)
+    longest = max(r["longest"] for r in sizes)
+    at, size = F.col("_at"), F.col("_size")
+    placed = (rows.select(*KEY, F.col(col).cast("binary").alias("_text")).where(F.octet_length("_text") > 0)
+              .select("*", F.explode(F.sequence(F.lit(1), F.octet_length("_text"))).alias("_at"))
+              .select("*", F.explode(F.array(*[F.lit(r["size"]) for r in sizes])).alias("_size")))
+    met = placed.where(at + size <= F.octet_length("_text") + 1).select("*", F.substring("_text", at, size).alias("gram"))
+    # A value of this list that holds the gram begins and ends within this much of it.
+    start = F.greatest(F.lit(1), at + size - longest)
+    around = F.substring("_text", start, at + longest - start)
+    if sum(r["bytes"] for r in sizes) <= HELD_BYTES:
+        found = met.join(F.broadcast(filed), "gram").where(F.contains(around, F.col("value").cast("binary")))
+    else:
+        marks = filed.select(_mark().alias("_mark")).distinct()
+        marked = met.withColumn("_mark", _mark()).join(F.broadcast(marks), "_mark", "left_semi").select(*KEY, "gram", around.alias("_around"))
+        # Spark takes the exploded side for as small as the rows, so the kind of join is given.
+        found = marked.join(filed.hint("merge"), "gram").where(F.contains(F.col("_around"), F.col("value").cast("binary")))
+    return found.select(*KEY, "value")
 
 
 def matches(rows: DataFrame, values: DataFrame, col: str = "raw") -> DataFrame:
     """(source_file, source_line, value): every value of the list that a row's text holds."""
-    filed = _filed(values)
-    lengths = [r[0] for r in filed.select(F.char_length("gram")).distinct().collect()]  # at most GRAM numbers
-    found = None
-    for size in sorted(lengths):
-        met = rows.select(*KEY, F.col(col).alias("_text"), F.explode(grams(F.col(col), size)).alias("gram"))
-        hit = met.join(filed.where(F.char_length("gram") == size), "gram").where(F.col("_text").contains(F.col("value"))).select(*KEY, "value")
-        found = hit if found is None else found.unionByName(hit)
-    return rows.select(*KEY, F.lit("").alias("value")).limit(0) if found is None else found.distinct()
+    return _hits(rows, values, col).distinct()
 
 
 def containing_any(rows: DataFrame, values: DataFrame, col: str = "raw") -> DataFrame:
     """The rows whose text holds at least one value; rows are told apart by file and line.  NULL and empty values match nothing."""
-    return rows.join(matches(rows, values, col).select(*KEY).distinct(), list(KEY), "left_semi").select(*rows.columns)
-
+    held = _hits(rows, values, col).select(*KEY).distinct()
+    return rows.join(held.hint("merge"), list(KEY), "left_semi").select(*rows.columns)
