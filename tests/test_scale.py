@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from log_samples import write_lines
 from tidelog.catalog import LogStore
 from tidelog.operators import load as L
+from tidelog.operators import partitions as P
 from tidelog.operators import picklist
+from tidelog.operators import retention as R
+from tidelog.operators import search as Q
 
 
 def plan_of(df):
@@ -32,3 +35,77 @@ def test_pick_list_sends_no_exploded_rows_around(spark, monkeypatch, held):
     held_rows = picklist.containing_any(rows, listed)
     assert plan_of(held_rows).startswith("SortMergeJoin") and "BuildLeft" not in plan_of(held_rows)
     assert {r["source_line"] for r in held_rows.collect()} == {i for _, i, _ in want}
+
+
+def _source(spark, workdir, lines, files=1, **kw):
+    src = os.path.join(workdir, "bucket")
+    for k in range(files):
+        write_lines(os.path.join(src, f"f{k:03d}.ndjson"), lines)
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    return store, store.create_source("scale", "path", {"root": src}, **kw)
+
+
+def test_short_splits_share_tasks(spark, workdir, monkeypatch):
+    """Splits far below their cost of opening get their line numbers in a few tasks, not in one task each."""
+    store, spec = _source(spark, workdir, ['{"level":"L","msg":"%s"}' % ("x" * 80)] * 100, files=30)
+    tasks, real = [], L.N.split_table
+    monkeypatch.setattr(L.N, "split_table", lambda lines: tasks.append(lines.rdd.getNumPartitions()) or real(lines))
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert L.sync_source(store, spec) == 30
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    assert tasks[0] <= 2 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
+    numbers = store.table(spec).groupBy("source_file").agg(F.sort_array(F.collect_list("source_line")).alias("n"))
+    assert [r["n"] for r in numbers.collect()] == [list(range(1, 101))] * 30
+
+
+@pytest.mark.parametrize("burst", [False, True])
+def test_many_files_of_few_tasks(spark, workdir, monkeypatch, burst):
+    """More files than tasks: rows stay, a date's files follow each other, and a task's range is cut by rows."""
+    rnd = random.Random(3)
+    lines = ['{"time":"2024-01-0%d 00:%02d:00","msg":"%s"}' % (1 if burst else 1 + rnd.randrange(3), 0 if burst else rnd.randrange(60), rnd.random()) for _ in range(6000)]
+    store, spec = _source(spark, workdir, lines)
+    L.sync_source(store, spec)
+    before = sorted(map(tuple, store.table(spec).select("time", "source_line", "raw").collect()))
+    monkeypatch.setattr(P, "MOST_TASKS", 6)
+    monkeypatch.setattr(P, "MOST_RANGES", 4)
+    wanted = sum(R._files_wanted(f, 4096) for f in P.file_stats(store, spec.id).values())
+    R.compact(store, spec, file_bytes=4096)
+    assert sorted(map(tuple, store.table(spec).select("time", "source_line", "raw").collect())) == before
+    files = sum(map(len, P.file_stats(store, spec.id).values()))
+    assert 24 < wanted and wanted / 2 < files < 2 * wanted
+    assert P.overlaps(store, spec).agg(F.sum("n_overlaps")).collect()[0][0] == 0
+
+
+def test_deep_page_leaves_out_newer_rows(spark, workdir, monkeypatch):
+    """Beyond the offset that a top-k may hold: the rows of a full sort, also within equal times and among rows without a time."""
+    rnd = random.Random(5)
+    lines = ['{%s"msg":"%d"}' % ("" if rnd.random() < 0.1 else '"time":"2024-01-%02d 00:00:0%d",' % (1 + rnd.randrange(9), rnd.randrange(3)), k) for k in range(500)]
+    store, spec = _source(spark, workdir, lines)
+    L.sync_source(store, spec)
+    want = [tuple(r) for r in store.table(spec).orderBy(*Q.order()).select(*Q.result_columns(spec)).collect()]
+    monkeypatch.setattr(Q, "DEEP_OFFSET", 5)
+    held, real = [], Q._without_newer
+    monkeypatch.setattr(Q, "_without_newer", lambda *a: held.append(real(*a)) or held[-1])
+    for offset in (6, 100, 249, 440, 470, 499, 600):
+        assert [tuple(r) for r in Q.page(store.table(spec), spec, offset, 9).collect()] == want[offset:offset + 10]
+    assert all(offset < 60 for _, offset in held[:4])
+
+
+def test_filters_keep_every_gram(spark, workdir):
+    """Bits of plain, escaped, short and non-ASCII lines are those of all their grams of characters."""
+    from tidelog.operators import ngrams
+    store, spec = _source(spark, workdir, ['{"msg":"plain %d"}' % k for k in range(50)] + ["{}", "null", '{"msg":"caf\\u00e9 \\"q\\""}', '{"msg":"日本語テキスト"}'])
+    L.sync_source(store, spec)
+    ngrams.enable(store, spec)
+    plan = ngrams.filters(spec, store.table(spec))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # different bits first
+    rows = store.table(spec).select("raw", "msg").collect()
+    texts = {t for r in rows for t in (r["raw"], r["msg"] if "\\" in r["raw"] else None) if t}
+    found = {t[k:k + 4] for t in texts for k in range(len(t) - 3)}
+    bits = {(r["bucket"] - 1) * ngrams.BITMAP_BITS + 8 * i + j + 1 for r in ngrams.table(store, spec).where("bucket > 0").collect()
+            for i, byte in enumerate(r["bits"]) for j in range(8) if byte >> j & 1}
+    assert bits == {r[0] for r in spark.createDataFrame([(g,) for g in found], "g string").select(ngrams._bit(F.col("g"))).collect()}
