@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import extract as X
+from tidelog.operators import stats
 from tidelog.spec import SourceSpec
 
 # Fixed values that must match for identical behaviour.
 PAGE_SIZE = 100
+#: Rows before a page that its top-k may hold.
+DEEP_OFFSET = 20_000
 #: Values tested by one expression of a pick list; longer lists are cut into blocks of this size.
 PICK_BLOCK = 1_000
 
@@ -79,9 +82,26 @@ def result_columns(spec: SourceSpec) -> list[Column]:
             F.col("source_file"), F.col("source_line")]
 
 
+def _without_newer(df: DataFrame, spec: SourceSpec, offset: int) -> tuple[DataFrame, int]:
+    """The rows that aren't newer than the one at `offset` in page order, and that row's offset among them.
+
+    Its time is an order statistic, found from bucket counts (`stats`); the rows before it are only counted."""
+    timed = df.where(F.col("time").isNotNull())
+    n = timed.count()
+    if offset >= n:
+        return df.where(F.col("time").isNull()), offset - n
+    at = stats.micros_lit(stats.kth_key_micros(timed, n - 1 - offset, unit=spec.partition_unit))
+    newer = timed.where(F.col("time") > at).count()
+    return df.where(F.col("time").isNull() | (F.col("time") <= at)), offset - newer
+
+
 def page(df: DataFrame, spec: SourceSpec, offset: int = 0, size: int = PAGE_SIZE) -> DataFrame:
-    """Newest-first page plus one look-ahead row (O-23): offset < 0 counts as 0 (T22)."""
+    """Newest-first page plus one look-ahead row (O-23): offset < 0 counts as 0 (T22).
+
+    A top-k holds all rows up to the page in its last task: beyond DEEP_OFFSET rows, those newer than the page are left out first."""
     offset = max(0, int(offset))
+    if offset > DEEP_OFFSET:
+        df, offset = _without_newer(df, spec, offset)
     q = df.orderBy(*order())
     if offset:
         q = q.offset(offset)
