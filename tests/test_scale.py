@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from log_samples import write_lines
-from tidelog.catalog import LogStore
+from tidelog.catalog import MANIFEST_SCHEMA, LogStore, local_frame
 from tidelog.operators import load as L
 from tidelog.operators import partitions as P
 from tidelog.operators import picklist
@@ -109,3 +109,26 @@ def test_filters_keep_every_gram(spark, workdir):
     bits = {(r["bucket"] - 1) * ngrams.BITMAP_BITS + 8 * i + j + 1 for r in ngrams.table(store, spec).where("bucket > 0").collect()
             for i, byte in enumerate(r["bits"]) for j in range(8) if byte >> j & 1}
     assert bits == {r[0] for r in spark.createDataFrame([(g,) for g in found], "g string").select(ngrams._bit(F.col("g"))).collect()}
+
+
+def test_a_load_compiles_its_stages_and_sums_its_lines_up_by_hash(spark, workdir, monkeypatch):
+    """Lines are counted without being sorted, no stage is a method that the JVM only interprets, and Python starts no worker for the names."""
+    src = os.path.join(workdir, "bucket")
+    write_lines(os.path.join(src, "a b.ndjson"), ['{"level":"A"}', "", '{"level":"B"}'])
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("quick", "path", {"root": src})
+    seen, real = [], L.N.split_table
+
+    def looked_at(lines):
+        out = real(lines)
+        seen.append((out._jdf.queryExecution().sparkPlan().toString(), int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))))
+        return out
+
+    monkeypatch.setattr(L.N, "split_table", looked_at)
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    assert L.sync_source(store, spec) == 1
+    (plan, limit), = seen
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and limit <= 8000
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+    assert sorted((r["source_file"], r["source_line"]) for r in store.table(spec).collect()) == [("a b.ndjson", 1), ("a b.ndjson", 3)]
+    assert "LocalTableScan" in plan_of(local_frame(spark, [("quick", "a", None, None)], MANIFEST_SCHEMA))
