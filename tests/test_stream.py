@@ -5,6 +5,8 @@ import pytest
 from log_samples import write_lines
 from tidelog.catalog import LogStore
 from tidelog.operators import load as L
+from tidelog.operators import placement
+from tidelog.sources import fs
 from tidelog.streaming import autoload
 from tidelog.streaming.autoload import done_batches, start_autoload
 
@@ -57,3 +59,21 @@ def test_limited_batches_and_a_batch_that_died_before_its_commit(spark, workdir,
     assert sorted(loaded) == [f"f{k}.ndjson" for k in range(7)]
     assert {r["level"]: r["count"] for r in store.table(spec).groupBy("level").count().collect()} == {f"L{k}": 2 for k in range(7)}
     assert done_batches(store, ckpt) == [0, 1, 2, 3]
+
+
+def test_batches_merge_what_they_add(spark, workdir, monkeypatch):
+    """Manifest and placement don't gain files with every batch for good: a batch merges them once they are many."""
+    src = os.path.join(workdir, "bucket")
+    for k in range(4):
+        write_lines(os.path.join(src, f"f{k}.ndjson"), ['{"level":"L%d"}' % k])
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("merged", "path", {"root": src})
+    merge, index = autoload.compact_manifest, autoload.placement.compact_index
+    monkeypatch.setattr(autoload, "compact_manifest", lambda store, sid: merge(store, sid, 2))
+    monkeypatch.setattr(autoload.placement, "compact_index", lambda store, spec: index(store, spec, 2))
+    start_autoload(store, spec.id, os.path.join(workdir, "ckpt"), available_now=True, max_files=1).awaitTermination()
+    h = fs.Handle(spark, store.root)
+    assert len([n for n in h.names(store.manifest_dir(spec.id)) if n.endswith(".parquet")]) == 1
+    assert len([n for n in h.names(f"{store.table_dir(spec.id)}/file_times") if n.endswith(".parquet")]) == 1
+    assert store.manifest(spec.id).count() == 4 and store.table(spec).count() == 4
+    assert placement.dates_of(store, spec, ["f0.ndjson"]) and not placement.dates_of(store, spec, ["f9.ndjson"])

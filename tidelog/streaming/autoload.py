@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.catalog import LogStore
+from tidelog.catalog import LogStore, compact_manifest
 from tidelog.operators import load as L
+from tidelog.operators import placement
 from tidelog.sources import fs, listing
 
 LISTING_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -68,6 +69,9 @@ def _batch_loader(store: LogStore, sid: str, checkpoint: str):
                 failed[s.file_name] = s.error
         if failed or before:
             fs.write_text(store.spark, _failures(store, sid), json.dumps(failed))
+        # Every batch adds a few small files to these; unmerged, each batch would read those of all before it.
+        compact_manifest(store, sid)
+        placement.compact_index(store, spec)
         fs.write_text(store.spark, record, json.dumps({"batch": epoch_id, "loaded": loaded, "failed": len(failed)}))
     return run
 
