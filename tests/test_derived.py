@@ -1,43 +1,25 @@
-"""The objects that the registered queries load: written and named without the driver visiting them one by one."""
+"""Sources that are loaded in part: the names come from Spark's plan of load groups, never as one list of the driver."""
 import os
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidelog.operators import load as L
 from tidelog.plans import derived as D
-from tidelog.sources import fs, listing
 
-ODD = "logs/a b+c%20[x]{y}-"
 
+def test_part_of_a_source_is_loaded_in_planned_groups(spark, workdir, monkeypatch):
+    rows = [(i, i % 7, "O", datetime(1995, 1 + i % 4, 1), "1-URGENT") for i in range(40)]
+    columns = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows, columns).write.parquet(os.path.join(workdir, "orders.parquet"))
 
-def test_objects_are_written_named_and_listed(spark, workdir, monkeypatch):
-    """Every object holds its lines in order; the folder of parts goes; the driver lists no folder of an object itself."""
-    def one_by_one(*_):
-        raise AssertionError("the driver lists the objects' folders one after another")
+    def whole_list(*_):
+        raise AssertionError("the whole list of names is in the driver")
 
-    monkeypatch.setattr(fs, "glob", one_by_one)
-    k = F.col("id")
-    lines = spark.range(400).select(F.concat(F.lit(ODD), (k % 40).cast("string"), F.lit(".ndjson")).alias("name"), (-k).alias("k"), k.cast("string").alias("line"))
-    root = os.path.join(workdir, "objects")
-    D.write_ndjson(spark, lines, root)
-    assert os.listdir(root) == ["logs"]
-    for i in range(40):
-        with open(os.path.join(root, f"{ODD}{i}.ndjson")) as f:
-            assert f.read().split("\n") == [str(n) for n in range(399, -1, -1) if n % 40 == i] + [""]
-    assert sorted(p.split("/objects/", 1)[1] for p in listing.paths_under(spark, root)) == sorted(f"{ODD}{i}.ndjson" for i in range(40))
-
-
-def test_no_lines_no_objects(spark, workdir):
-    root = os.path.join(workdir, "objects")
-    D.write_ndjson(spark, spark.createDataFrame([], "name string, k bigint, line string"), root)
-    assert os.listdir(root) == []
-
-
-def test_calls_for_many_items_reach_all_and_raise(spark, workdir):
-    h, seen = fs.Handle(spark, workdir), []
-    h.each(seen.append, range(100))
-    assert sorted(seen) == list(range(100))
-    try:
-        h.each(lambda i: 1 // (i - 50), range(100))
-    except ZeroDivisionError:
-        return
-    raise AssertionError("a failed call is lost")
+    monkeypatch.setattr(L, "load_file_list", whole_list)
+    monkeypatch.setattr(L, "GROUP_MAX_FILES", 1)  # several groups, numbered by Spark
+    odd = F.substring("name", 13, 2).cast("int") % 2 == 1
+    store, spec, _ = D.build_source(spark, "orders", workdir, names_filter=odd, cache=False)
+    held = {r["source_file"]: r["n"] for r in store.table(spec).groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert held == {f"orders/1995-0{m}/part-0.ndjson": 10 for m in (1, 3)}
+    assert sorted(r["name"] for r in L.pending_files(store, spec).collect()) == [f"orders/1995-0{m}/part-0.ndjson" for m in (2, 4)]
