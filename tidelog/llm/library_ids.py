@@ -73,8 +73,9 @@ class WordIds:
             split = pc.replace_substring(split, f"{stop} ", f"{apart}{stop} ")
         lists = pc.split_pattern(pc.if_else(whole, _text(""), pc.if_else(stops, ready, split)), " ")
         words = lists.flatten().dictionary_encode()
-        table = self._look_up(words.dictionary.to_pylist())
-        size = np.array([len(b) // 4 for b in table], np.int64)
+        # By way of numpy, as Arrow makes a scalar of each string for a list.
+        table = self._look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
         values = np.frombuffer(b"".join(table), "<u4")
         codes = words.indices.to_numpy(zero_copy_only=False)
         count = size[codes]
