@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from log_samples import write_lines
 from tidelog.catalog import LogStore
@@ -77,3 +78,35 @@ def test_batches_merge_what_they_add(spark, workdir, monkeypatch):
     assert len([n for n in h.names(f"{store.table_dir(spec.id)}/file_times") if n.endswith(".parquet")]) == 1
     assert store.manifest(spec.id).count() == 4 and store.table(spec).count() == 4
     assert placement.dates_of(store, spec, ["f0.ndjson"]) and not placement.dates_of(store, spec, ["f9.ndjson"])
+
+
+def test_a_batch_costs_few_jobs_and_no_new_code(spark, workdir, monkeypatch):
+    """The load's time isn't a constant of the plan, rows about files are written without jobs, and what they take on disk follows their number."""
+    src = os.path.join(workdir, "bucket")
+    store = LogStore(spark, os.path.join(workdir, "store"))
+    spec = store.create_source("cheap", "path", {"root": src})
+    plans, real = [], L.N.parse_rows
+
+    def looked_at(*args):
+        out = real(*args)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(L.N, "parse_rows", looked_at)
+    write_lines(os.path.join(src, "a.ndjson"), ['{"level":"A","time":"2024-01-01 00:00:00"}', '{"level":"B"}'])
+    assert L.sync_source(store, spec) == 1
+    write_lines(os.path.join(src, "b.ndjson"), ['{"level":"C","time":"%s"}' % t for t in ("2024-01-01 00:00:01", "2024-01-02 00:00:00")] + ['{"time":300000000000}'])
+    spark.sparkContext.setJobGroup(workdir, "a load")
+    try:
+        assert L.sync_source(store, spec) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    year = store.manifest(spec.id).selectExpr("string(max(year(ingested_at)))").collect()[0][0]
+    assert len(plans) == 2 and not any(f"{year}-" in p for p in plans)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(workdir)) <= 14
+    for name, most in (("placement", 150_000), ("file_times", 20_000), ("manifest", 20_000)):
+        sizes = [n for f, n in fs.Handle(spark, store.root).sizes(f"{store.table_dir(spec.id)}/{name}") if f.endswith(".parquet")]
+        assert len(sizes) == 2 and max(sizes) < most
+    counted = set(placement.file_times(store, spec).select("event_date", "data_file", "n_rows", F.col("min_time").cast("string")).collect())
+    found = store.table(spec).groupBy("event_date", "_metadata.file_name").agg(F.count(F.lit(1)), F.min("time").cast("string"))
+    assert counted == set(found.collect()) and len(counted) == 5 and {r["rows_ingested"] for r in store.manifest(spec.id).collect()} == {2, 3}
