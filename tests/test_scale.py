@@ -80,6 +80,25 @@ def test_many_files_of_few_tasks(spark, workdir, monkeypatch, burst):
     assert P.overlaps(store, spec).agg(F.sum("n_overlaps")).collect()[0][0] == 0
 
 
+def test_ranges_are_found_by_compiled_code(spark, workdir):
+    """The range of a row is the number of bounds that aren't after it, rows without a time last, and no function over an array is interpreted for it."""
+    rnd = random.Random(11)
+    lines = ['{%s"msg":"%d"}' % ("" if rnd.random() < 0.2 else '"time":"2024-01-0%d 00:00:%02d",' % (1 + rnd.randrange(2), rnd.randrange(8)), k) for k in range(300)]
+    store, spec = _source(spark, workdir, lines, files=2)
+    L.sync_source(store, spec)
+    rows = store.table(spec).where("event_date < '2025-01-01' or time is null").withColumn("event_date", F.lit("2024-01-01").cast("date"))
+    many = {"event_date=2024-01-01": 21, "event_date=2024-01-02": 1}
+    plan = P._by_time(rows, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "LogicalRDD" not in plan
+    bounds = P._bounds(rows, {"event_date=2024-01-01": 21})
+    (cuts,), = bounds.select("_bounds").collect()
+    assert len(cuts) == 20
+    key = lambda r: (r["time"] is None, r["time"] or 0, r["source_file"], r["source_line"])
+    found = P._ranked(rows.withColumn("_date", F.col("event_date")).join(bounds, "_date"), 20).select("time", "source_file", "source_line", "_rank").collect()
+    assert len(found) == 600 and all(r["_rank"] == sum(key(c) <= key(r) for c in cuts) for r in found)
+    assert {r["_rank"] for r in P._ranked(rows.withColumn("_bounds", F.lit(None).cast("array<struct<untimed boolean, time timestamp_ntz, source_file string, source_line int>>")), 20).select("_rank").collect()} == {0}
+
+
 def test_deep_page_leaves_out_newer_rows(spark, workdir, monkeypatch):
     """Beyond the offset that a top-k may hold: the rows of a full sort, also within equal times and among rows without a time."""
     rnd = random.Random(5)
