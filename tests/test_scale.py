@@ -37,6 +37,29 @@ def test_pick_list_sends_no_exploded_rows_around(spark, monkeypatch, held):
     assert {r["source_line"] for r in held_rows.collect()} == {i for _, i, _ in want}
 
 
+def _shuffled(plan):
+    """Rows that each shuffle of an executed plan has written, those for broadcasts left out."""
+    name = plan.getClass().getSimpleName()
+    if name in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "ResultQueryStageExec"):
+        return _shuffled(plan.executedPlan() if name.startswith("Adaptive") else plan.plan())
+    own = [plan.metrics().get("shuffleRecordsWritten").get().value()] if name == "ShuffleExchangeExec" else []
+    return own + [n for k in range(plan.children().size()) for n in _shuffled(plan.children().apply(k))]
+
+
+def test_a_long_pick_list_shuffles_only_what_may_match(spark, monkeypatch):
+    """A list of more values than a small filter tells apart: of the rows' grams those that match are shuffled, and hardly another."""
+    monkeypatch.setattr(picklist, "HELD_BYTES", 0)
+    rnd, n = random.Random(9), 300_000
+    values = spark.range(n).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("v")).union(
+        spark.range(n).where("id < 500").select(F.concat(F.lit("S"), (F.col("id") + 1000).cast("string"))))
+    texts = ["".join(rnd.choice("abcdefgh 0123456789") for _ in range(80)) + ("v000000123" if k % 50 == 0 else " S1234") for k in range(200)]
+    rows = spark.createDataFrame([("f", k, t) for k, t in enumerate(texts)], "source_file string, source_line int, raw string")
+    found = picklist.matches(rows, values)
+    assert sorted((r["source_line"], r["value"]) for r in found.collect()) == [(k, "v000000123" if k % 50 == 0 else "S1234") for k in range(200)]
+    counts = _shuffled(found._jdf.queryExecution().executedPlan())
+    assert len(counts) == 3 and n + 500 < sum(counts) < n + 500 + 2 * 200 + 300
+
+
 def _source(spark, workdir, lines, files=1, **kw):
     src = os.path.join(workdir, "bucket")
     for k in range(files):
